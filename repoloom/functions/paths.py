@@ -149,13 +149,8 @@ def ref_name_problem(ref: Column | str) -> Column:
     )
 
 
-def path_problem(path: Column | str) -> Column:
-    """Lexical reason why a requested path is refused; null when it is safe.
-
-    The path is cleaned segment by segment; one that climbs above the root is
-    refused even when it would come back down.
-    """
-    p = as_col(path)
+def _cleaned(path: Column, finish) -> Column:
+    """`finish` of struct(kept segments, segments climbed above the root)."""
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("above"))
 
     def step(acc: Column, seg: Column) -> Column:
@@ -170,6 +165,22 @@ def path_problem(path: Column | str) -> Column:
             .otherwise(F.struct(F.concat(kept, F.array(seg)).alias("kept"), above.alias("above")))
         )
 
+    return F.aggregate(F.split(path, "/"), start, step, finish)
+
+
+def clean_path(path: Column | str) -> Column:
+    """The path without ".", ".." and doubled slashes; empty for the root."""
+    return _cleaned(as_col(path), lambda acc: F.array_join(acc["kept"], "/"))
+
+
+def path_problem(path: Column | str) -> Column:
+    """Lexical reason why a requested path is refused; null when it is safe.
+
+    A path that climbs above the root is refused even when it would come back
+    down.
+    """
+    p = as_col(path)
+
     def verdict(acc: Column) -> Column:
         return (
             F.when(p.startswith("/"), F.concat(p, F.lit(": absolute paths are not allowed")))
@@ -178,7 +189,7 @@ def path_problem(path: Column | str) -> Column:
             .when(acc["above"] > 0, F.concat(p, F.lit(": escapes the project root")))
         )
 
-    return F.aggregate(F.split(p, "/"), start, step, verdict)
+    return _cleaned(p, verdict)
 
 
 def is_hex_ref(ref: Column | str) -> Column:

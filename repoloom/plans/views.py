@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..numbering import grouped_position
+
 PARTS_PER_FILE = 100_000
 
 
@@ -21,27 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def grouped_position(df: DataFrame, keys: list[str], chunk: Column, order: list[str], out: str) -> DataFrame:
-    """Row number within `keys`, numbered chunk by chunk.
-
-    `chunk` must not decrease along `order`.  Counts per chunk are
-    pre-aggregated; only those counts are summed along a whole key.
-    """
-    df = df.withColumn("_chunk", chunk)
-    sizes = df.groupBy(*keys, "_chunk").count()
-    before = F.sum("count").over(
-        Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = sizes.select(*keys, "_chunk", F.coalesce(before, F.lit(0)).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(*order))
-    return (
-        df.withColumn("_rn", inner)
-        .join(starts, [*keys, "_chunk"])
-        .withColumn(out, (F.col("_before") + F.col("_rn")).cast("int"))
-        .drop("_chunk", "_rn", "_before")
-    )
-
-
 def _pick(number: Column, values: list) -> Column:
     out = F.lit(values[-1]) if not isinstance(values[-1], Column) else values[-1]
     for i in range(len(values) - 2, -1, -1):
@@ -240,7 +221,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey",
     )
     month = F.date_trunc("MONTH", "author_ts").cast("date")
-    numbered = grouped_position(base, ["repo"], month, ["author_ts", "o_orderkey"], "rn")
+    numbered = grouped_position(base, ["repo"], month, ["author_ts", "o_orderkey"], "rn").withColumn("rn", F.col("rn").cast("int"))
     # The parent is the previous commit: the one before within the month, or
     # the last one of the latest earlier month.
     numbered = numbered.withColumn("month", month)
