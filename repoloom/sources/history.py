@@ -20,8 +20,8 @@ def parse_commit_log(lines: DataFrame, extra: list[str] | None = None) -> DataFr
     parts = lines.withColumn("f", fields).where(F.size("f") == 5)
     return parts.select(
         *(extra or []),
-        F.col("f")[0].alias("hash"), F.col("f")[1].alias("author"), F.col("f")[2].alias("email"),
-        utc_rfc3339(F.col("f")[3]).alias("date"), F.col("f")[4].alias("subject"),
+        F.get("f", F.lit(0)).alias("hash"), F.get("f", F.lit(1)).alias("author"), F.get("f", F.lit(2)).alias("email"),
+        utc_rfc3339(F.get("f", F.lit(3))).alias("date"), F.get("f", F.lit(4)).alias("subject"),
     )
 
 
@@ -34,7 +34,7 @@ def parse_remote_refs(lines: DataFrame, extra: list[str] | None = None) -> DataF
     """(hash, name) from text lines(value); lines without a tab are dropped."""
     fields = F.split("value", "\t", 2)
     parts = lines.withColumn("f", fields).where(F.size("f") == 2)
-    return parts.select(*(extra or []), F.col("f")[0].alias("hash"), F.col("f")[1].alias("name"))
+    return parts.select(*(extra or []), F.get("f", F.lit(0)).alias("hash"), F.get("f", F.lit(1)).alias("name"))
 
 
 def read_remote_refs(spark: SparkSession, location: str) -> DataFrame:
