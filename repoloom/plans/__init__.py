@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["search_queries", "registry_queries", "symbol_queries", "reading_queries", "history_queries"]
+MODULES = ["search_queries", "registry_queries", "symbol_queries", "reading_queries", "history_queries", "upkeep_queries"]
 
 
 def _load() -> None:
