@@ -41,32 +41,50 @@ def re2_to_java(pattern: str, *, multiline: bool = True, dotall: bool = False) -
     """Translate `pattern`; `multiline` is RE2's (?m), `dotall` its (?s)."""
     out = ["(?ds)" if dotall else "(?d)"]
     scopes = [multiline]      # value of the m flag, one entry per open group
+    ends: list[bool] = [True]  # whether all finished alternatives end in a word character
+    folds = re.search(r"\(\?[a-z]*i", pattern) is not None
+    # Whether the text so far, and the text before its last item, ends in one.
+    word, word_before = False, False
     i, repeatable, repeated = 0, False, False
     while i < len(pattern):
         ch = pattern[i]
         if ch in "*+?" or (ch == "{" and _REPEAT.match(pattern, i)):
-            i = _repeat(pattern, i, out, repeatable, repeated)
+            start, i = i, _repeat(pattern, i, out, repeatable, repeated)
+            if pattern[start] in "*?{":
+                word = word and word_before
             repeated = True
             continue
         repeated, repeatable = False, True
+        word_before = word
         if ch == "\\":
+            if pattern.startswith("\\b", i) and not folds and (word or _opens_word(pattern, i + 2)):
+                # One side is known, so only the other has to be looked at.
+                out.append(f"(?!{_WORD})" if word else f"(?<!{_WORD})")
+                i += 2
+                continue
+            word = pattern[i + 1 : i + 2] in ("w", "d")
             i = _escape(pattern, i, out)
             continue
         if ch == "[":
+            word = False
             i = _char_class(pattern, i, out)
             continue
         if ch == "(":
             i, flags, opens = _group(pattern, i, out)
+            word = False
             if opens:
                 scopes.append(scopes[-1])
+                ends.append(True)
                 repeatable = False
             if flags is not None and "m" in flags:
                 scopes[-1] = not flags.startswith("-") and "m" in flags.split("-")[0]
             continue
+        word = ch.isascii() and (ch.isalnum() or ch == "_")
         if ch == ")":
             if len(scopes) == 1:
                 raise ValueError("unexpected ): " + pattern)
             scopes.pop()
+            word, word_before = ends.pop() and word_before, False
             out.append(")")
         elif ch == "^":
             out.append("(?<![^\\n])" if scopes[-1] else r"\A")
@@ -74,6 +92,7 @@ def re2_to_java(pattern: str, *, multiline: bool = True, dotall: bool = False) -
             out.append("(?![^\\n])" if scopes[-1] else r"\z")
         elif ch == "|":
             repeatable = False
+            ends[-1] = ends[-1] and word_before
             out.append("|")
         elif ch == ".":
             out.append(".")
@@ -85,6 +104,24 @@ def re2_to_java(pattern: str, *, multiline: bool = True, dotall: bool = False) -
     return "".join(out)
 
 
+def _opens_word(pattern: str, i: int) -> bool:
+    """Whether whatever matches from `i` on must begin with an ASCII word character."""
+    item = re.compile(r"\\[dw]|[0-9A-Za-z_]").match(pattern, i)
+    if item:
+        return pattern[item.end() : item.end() + 1] not in ("*", "?", "{")
+    group = re.compile(r"\((?:\?:|\?P?<\w+>)?(?!\?)").match(pattern, i)
+    if not group or not _opens_word(pattern, group.end()):
+        return False
+    depth, at = 1, group.end()
+    for token in re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]|[()|]", re.S).finditer(pattern, at):
+        depth += {"(": 1, ")": -1}.get(token[0], 0)
+        if token[0] == "|" and depth == 1 and not _opens_word(pattern, token.end()):
+            return False
+        if depth == 0:
+            return pattern[token.end() : token.end() + 1] not in ("*", "?", "{")
+    return False
+
+
 def _repeat(pattern: str, i: int, out: list[str], repeatable: bool, repeated: bool) -> int:
     if repeated:
         raise ValueError("invalid nested repetition operator: " + pattern)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import not_git, path_filter, walk_order
 from ..functions.regexes import path_to_java, re2_to_java
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
-from ..session import salted_join
+from ..session import salted_join, spread
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
@@ -27,11 +27,12 @@ DEFAULT_LIMIT = 200
 def searchable(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
     """Files a search reads."""
     size = F.col("size") if "size" in files.columns else byte_len("content")
-    return files.where(
+    found = files.where(
         not_git("path") & path_filter("path", [i for i in includes if i] or includes and ["\0"],
                                       [e for e in excludes if e], globs=True)
         & (size <= SEARCH_MAX_BYTES)
     ).where(is_text("content"))
+    return spread(found.select("project", "path", "content"), "project", "path")
 
 
 def byte_column(line: Column, java: Column | str) -> Column:
@@ -198,8 +199,7 @@ def grep_batch(files: DataFrame, requests: DataFrame, salts: int = 16) -> DataFr
     requests instead when their measured size allows it.
     """
     asked = compile_requests(requests).where("problem is null").drop("problem")
-    found = searchable(files).select("project", "path", "content")
-    pairs = salted_join(found, asked, ["project"], F.col("path"), salts).where(
+    pairs = salted_join(searchable(files), asked, ["project"], F.col("path"), salts).where(
         (F.col("all_in") | F.exists("keep", lambda p: F.rlike(F.col("path"), p)))
         & ~F.exists("drop", lambda p: F.rlike(F.col("path"), p))
     )

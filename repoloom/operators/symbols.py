@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import SOURCE_LANGS, in_skipped_dir, source_lang
 from ..functions.scan import definitions, enclosing
 from ..functions.text import like_ascii_ci, name_pattern, name_pattern_col, split_list
-from ..session import salted_join
+from ..session import salted_join, spread
 from .limits import cap_all, cap_per_group
 
 DEFAULT_LIMIT = 500
@@ -42,9 +42,8 @@ def extract_definitions(files: DataFrame, skip_dirs: bool = True) -> DataFrame:
                 rows.extend(_rows(row.project, row.path, row.lang, row.content))
             yield pd.DataFrame(rows, columns=columns)
 
-    return sources.select("project", "path", "lang", F.col("content").cast("binary").alias("content")).mapInPandas(
-        run, DEFINITIONS
-    )
+    narrow = sources.select("project", "path", "lang", F.col("content").cast("binary").alias("content"))
+    return spread(narrow, "project", "path").mapInPandas(run, DEFINITIONS)
 
 
 def _rows(project: str, path: str, lang: str, content: bytes | None) -> list[tuple]:

@@ -69,3 +69,14 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_of: Column
     left = big.withColumn("_salt", F.pmod(F.xxhash64(salt_of), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"]).drop("_salt")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Split a table of few input files over all cores before heavy work.
+
+    A table of many files is left as it is: its scan is spread already.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or len(df._jdf.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, *keys)
