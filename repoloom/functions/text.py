@@ -45,10 +45,17 @@ def lines_clean(content: Column | str) -> Column:
 
     def tidy(parts: Column) -> Column:
         n = F.size(parts)
-        kept = F.when(F.get(parts, n - 1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
-        return F.transform(kept, lambda l: F.regexp_replace(l, r"\r\z", ""))
+        return F.when(F.get(parts, n - 1) == "", F.slice(parts, F.lit(1), n - 1)).otherwise(parts)
 
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(let(lines_raw(text), tidy))
+    def bare(l: Column) -> Column:
+        return F.when(l.endswith("\r"), F.substring(l, F.lit(1), F.length(l) - 1)).otherwise(l)
+
+    lines = let(lines_raw(text), tidy)
+    return (
+        F.when(text == "", F.array().cast("array<string>"))
+        .when(text.contains("\r"), F.transform(lines, bare))
+        .otherwise(lines)
+    )
 
 
 def ascii_lower(c: Column | str) -> Column:

@@ -32,7 +32,9 @@ def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB)
     the XML element.  Checks run in this order: path, missing, folder, size,
     binary, line range, range past the end.
     """
-    asked = requests.select("*", clean_path("path").alias("target"), path_problem("path").alias("unsafe"))
+    asked = requests.select(
+        "*", clean_path("path").alias("target"), path_problem("path").alias("unsafe"), line_range("line_range").alias("r")
+    )
     size = F.col("size") if "size" in files.columns else byte_len("content")
     stored = files.where(not_git("path")).select(
         "project", F.col("path").alias("target"), size.cast("long").alias("size"), "content"
@@ -43,7 +45,8 @@ def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB)
 
     whole = F.lit(max(max_kb if max_kb > 0 else READ_MAX_KB, 0) * 1024)
     limit = F.when(F.col("line_range") != "", F.greatest(whole, F.lit(SEARCH_MAX_BYTES))).otherwise(whole)
-    rng = line_range("line_range")
+    # Requests are parsed before the join, once each.
+    rng = F.col("r")
     error = (
         F.when(F.col("unsafe").isNotNull(), F.col("unsafe"))
         .when(F.col("is_dir"), "is a directory")
@@ -54,8 +57,8 @@ def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB)
         .when(~is_text("content"), F.concat(F.lit("binary file ("), F.col("size").cast("string"), F.lit(" bytes), not emitted")))
         .when(rng["problem"].isNotNull(), F.concat(F.lit("lines flag: "), rng["problem"]))
     )
-    checked = j.select("req_id", "pos", "path", error.alias("error"), rng.alias("r"), F.when(error.isNull(), F.col("content")).alias("content"))
-    body = F.when(F.col("content").isNotNull(), let(lines_clean("content"), lambda lines: _slice(lines, F.col("r"))))
+    checked = j.select("req_id", "pos", "path", error.alias("error"), "r", "content")
+    body = F.when(F.col("error").isNull(), let(lines_clean("content"), lambda lines: _slice(lines, F.col("r"))))
     return checked.withColumn("b", body).select(
         "req_id", "pos", "path", F.col("b.first").alias("first"), F.col("b.last").alias("last"), "error",
         F.col("b.note").alias("note"),
@@ -85,7 +88,8 @@ def _slice(lines: Column, rng: Column) -> Column:
     count = F.greatest(last - first + 1, F.lit(0).cast("long")).cast("int")
     start = F.least(first, total + 1).cast("int")
     numbered = number_lines(F.slice(lines, start, count), first, F.length(last.cast("string")))
-    text = F.array_join(F.transform(numbered, lambda l: F.concat(cdata_escape(l), F.lit("\n"))), "")
+    # A line prefix ends in a blank, so escaping the whole is escaping each line.
+    text = cdata_escape(F.when(F.size(numbered) > 0, F.concat(F.array_join(numbered, "\n"), F.lit("\n"))).otherwise(""))
     return F.struct(
         F.when(~outside, first).alias("first"), F.when(~outside, last).alias("last"),
         F.when(outside, note).alias("note"), F.when(~outside, text).alias("text"),

@@ -53,15 +53,15 @@ def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
     """Replace the index of every project in parsed(project).
 
     A project left without symbols still has to lose its old rows, which a
-    dynamic overwrite alone would keep: such a project gets one row with a
-    null name, and `read_index` leaves those rows out.
+    dynamic overwrite alone would keep: every project gets one row with a null
+    name, and `read_index` leaves those rows out.
     """
     rows = symbols.select(*SYMBOLS.fieldNames())
     done = parsed.select("project").distinct()
-    empty = done.join(rows.select("project").distinct(), "project", "left_anti").select(
+    marks = done.select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields if f.name != "project"], "project"
     )
-    out = rows.join(done, "project", "left_semi").select(*SYMBOLS.fieldNames()).unionByName(empty)
+    out = rows.join(done, "project", "left_semi").select(*SYMBOLS.fieldNames()).unionByName(marks)
     (
         # Rebalance splits a huge project over several files and keeps small
         # ones in one; sorting by name lets footers skip row groups.
@@ -72,7 +72,7 @@ def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """Symbols proper, without the rows that mark an empty project."""
+    """Symbols proper, without the rows that mark a project as indexed."""
     return read_symbols(spark, root).where(F.col("name").isNotNull())
 
 
