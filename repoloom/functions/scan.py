@@ -282,7 +282,9 @@ def _member(code: str, m: re.Match, owner: str, java: bool, braces: dict, parens
         prefix = re.sub(rf"@{ID}(?:\.{ID})*(?:\s*\([^()]*(?:\([^()]*\)[^()]*)*\))?", " ", prefix)
         prefix = prefix if _JAVA_PREFIX.match(prefix) else None
         words = re.sub(r"\b(?:public|private|protected|static|final|abstract|native|strictfp|synchronized|default)\b|<[^()]*?>(?=\s)", " ", prefix or "").split()
-        if prefix is None or (not words and m[1] != owner) or "new" in words or "return" in words:
+        if prefix is None or (not words and m[1] != owner) or {"new", "return", "record"} & set(words):
+            return None
+        if prefix.rstrip().endswith(","):     # an enum constant
             return None
     else:
         # Without semicolons a member starts on its own line.
