@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -10,10 +10,14 @@ from ..operators import maintain, registry
 from . import views
 from .catalog import query
 
-AT = F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
 AT_SQL = "timestamp '2024-06-01 12:00:00'"
 
 
+def now() -> Column:
+    """The time every change is stamped with."""
+    return F.lit("2024-06-01 12:00:00").cast("timestamp_ntz")
+
+
 @query("valid_names", r"""
 select page_id, name, case when name = '' then 'empty' when name in ('.', '..') then 'dots'
  when contains(name, '/') or contains(name, '\') then 'separator' when contains(name, '@') then 'at sign'
@@ -225,7 +229,7 @@ def _replaced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     odd = F.substring("project", -1, 1).isin("1", "3")
     parsed = s.where(odd).select("project").distinct()
     fresh = s.where((F.col("line") % 4 == 0) & ~F.col("project").endswith("1"))
-    return maintain.replace_symbols(s, _brand_checkouts(spark, sf_dir), fresh, parsed, AT)
+    return maintain.replace_symbols(s, _brand_checkouts(spark, sf_dir), fresh, parsed, now())
 
 
 @query("replace_symbols", "select * from symbols where right(project, 1) not in ('1', '3') or (line % 4 = 0 and right(project, 1) <> '1')")
@@ -299,7 +303,7 @@ from checkouts""")
 def set_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = views.checkouts(spark, sf_dir)
     moves = c.where("kind = 'branch'").select(
-        "id", F.concat("ref", F.lit("2")).alias("ref"), F.lit("tag").alias("kind"), F.md5("id").alias("commit_hash"), AT.alias("updated_at"))
+        "id", F.concat("ref", F.lit("2")).alias("ref"), F.lit("tag").alias("kind"), F.md5("id").alias("commit_hash"), now().alias("updated_at"))
     return maintain.set_snapshots(c, moves)
 
 

@@ -11,7 +11,7 @@ from ..sources import tables
 from ..streaming import refs as streams
 from . import views
 from .catalog import query
-from .registry_queries import AT, AT_SQL
+from .registry_queries import AT_SQL, now
 from .search_queries import LINES, PATTERN, first_match
 
 # Checkouts the ref events speak of: r0..r19 with one per event type, of which
@@ -56,7 +56,7 @@ select id, not lost as ok, ref, kind, prev as prev_commit, case when lost then c
 
 @query("advance", ADVANCE_SQL)
 def advance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return maintain.advance(*_moving(spark, sf_dir), AT)
+    return maintain.advance(*_moving(spark, sf_dir), now())
 
 
 @query("update_all", f"""
@@ -65,7 +65,7 @@ def update_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report; as symbols it counts one row per click."""
     projects, heads, resolved = _moving(spark, sf_dir)
     index = views.ref_events(views.table(spark, sf_dir, "events")).where("ref = 'click'").select(F.col("id").alias("project"))
-    return maintain.update_report(maintain.advance(projects, heads, resolved, AT), projects, index)
+    return maintain.update_report(maintain.advance(projects, heads, resolved, now()), projects, index)
 
 
 ARRIVALS_SQL = """
@@ -89,7 +89,7 @@ select url, case when name <> '' then name when url like '%/..' then '' else reg
  case when url like '%/..' then 'no name in URL' when name like 'bad/%' then 'bad name: separator' when url like 'https://example.com/%.git' then 'already tracked' else 'registered' end as outcome from ({ARRIVALS_SQL})""")
 def register_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = maintain.register_fetch(
-        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", AT)
+        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", now())
     return out.select("url", "name", "outcome")
 
 
@@ -98,7 +98,7 @@ select n as id, n as repo, 'main' as ref, 'branch' as kind, md5(url) as commit_h
  select url, regexp_extract(regexp_replace(url, '\\.git$', ''), '([^/:]*)$', 1) as n from ({ARRIVALS_SQL}) where url like 'git@%' or url like 'https://a.%')""")
 def register_fetch_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = maintain.register_fetch(
-        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", AT)
+        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", now())
     return maintain.new_checkouts(out).select("id", "repo", "ref", "kind", "commit_hash", "path")
 
 
@@ -125,7 +125,7 @@ select id, repo, ref, case when ref = 'bad..ref' then 'bad ref: dot dot' when re
  when holder is not null then concat('folder used by ', holder) when claimer <> id then concat('folder used by ', claimer) when ref = 'v2' then 'ref not resolved' else 'pinned' end as outcome from j""")
 def pin_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
     pins, known = _pins(spark, sf_dir)
-    out = maintain.pin_checkouts(views.checkouts(spark, sf_dir), views.symbols(spark, sf_dir), pins, known, "/data", AT)
+    out = maintain.pin_checkouts(views.checkouts(spark, sf_dir), views.symbols(spark, sf_dir), pins, known, "/data", now())
     return out.select("id", "repo", "ref", "outcome")
 
 
