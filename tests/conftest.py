@@ -7,7 +7,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+for folder in (os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))):
+    sys.path.insert(0, folder)
 
 
 @pytest.fixture(scope="session")
