@@ -12,6 +12,7 @@ from ..functions.linediff import is_binary, line_counts, unified
 from ..functions.paths import not_git, path_filter
 from ..functions.text import lines_raw, utf8_prefix
 from ..numbering import grouped_position
+from ..session import materialize, spread
 
 MAX_KB = 256
 CAP_MARKER = "\n[truncated by --max-kb]\n"
@@ -61,14 +62,20 @@ def diff_files(old: DataFrame, new: DataFrame, paths: Sequence[str] = (), rename
 
 
 def _with_contents(changed: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """Changed files beside both contents; unchanged ones are never moved."""
+    """Changed files beside both contents; unchanged ones are never moved.
+
+    The list of changed files is written first: it is narrow, it is read
+    three times, and finding it hashes both snapshots.
+    """
+    changed = materialize(changed)
     before = F.coalesce("old_path", F.when(F.col("status") != "A", F.col("path")))
     keys = changed.withColumn("before", before)
     a = old.select("project", F.col("path").alias("before"), F.col("content").cast("binary").alias("old"))
     b = new.select("project", "path", F.col("content").cast("binary").alias("new"))
     a = a.join(keys.select("project", "before"), ["project", "before"], "left_semi")
     b = b.join(keys.where("status <> 'D'").select("project", "path"), ["project", "path"], "left_semi")
-    return keys.join(a, ["project", "before"], "left").join(b, ["project", "path"], "left").drop("before")
+    both = keys.join(a, ["project", "before"], "left").join(b, ["project", "path"], "left").drop("before")
+    return spread(both, "project", "path")
 
 
 def diff_stat(old: DataFrame, new: DataFrame, paths: Sequence[str] = (), renames: bool = True) -> DataFrame:

@@ -37,6 +37,11 @@ def total_files(files: DataFrame, includes: Sequence[str] = (), excludes: Sequen
 
 
 def lang_histogram(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
+    """Files and share per language, most files first."""
+    return lang_counts(files, includes, excludes).orderBy("project", F.desc("file_count"), "name")
+
+
+def lang_counts(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
     """Files and share per language; nothing for a project of unknown files only.
 
     The windows run over the aggregated labels, of which there are a few
@@ -55,5 +60,4 @@ def lang_histogram(files: DataFrame, includes: Sequence[str] = (), excludes: Seq
         .withColumn("labels", F.count("*").over(whole))
         .where((F.col("labels") > 1) | (F.col("name") != OTHER))
         .select("project", "name", "file_count", "share")
-        .orderBy("project", F.desc("file_count"), "name")
     )

@@ -19,10 +19,9 @@ def _folders(files: DataFrame, missing: DataFrame) -> DataFrame:
     above = F.transform(
         F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
     )
-    known = files.select("project", F.explode(above).alias("target")).distinct()
-    return known.join(missing.select("project", "target").distinct(), ["project", "target"], "left_semi").withColumn(
-        "is_dir", F.lit(True)
-    )
+    known = files.select("project", F.explode(above).alias("target"))
+    asked = missing.select("project", "target").distinct()
+    return known.join(asked, ["project", "target"], "left_semi").distinct().withColumn("is_dir", F.lit(True))
 
 
 def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB) -> DataFrame:

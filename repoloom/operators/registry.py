@@ -70,6 +70,14 @@ def repo_checkouts(checkouts: DataFrame, repos: DataFrame, wanted: DataFrame) ->
     return default_first(projects(checkouts, repos).join(wanted.select("repo").distinct(), "repo", "left_semi"))
 
 
+def info(handles: DataFrame, checkouts: DataFrame, repos: DataFrame) -> DataFrame:
+    """For each tracked handle(handle): its repo with all checkouts, and itself."""
+    own = checkouts.join(handles.select(F.col("handle").alias("id")).distinct(), "id", "left_semi").select(
+        F.col("id").alias("handle"), F.col("repo").alias("name"), checkout_struct().alias("checkout")
+    )
+    return list_repos(checkouts, repos).join(own, "name")
+
+
 def lookup(requests: DataFrame, checkouts: DataFrame, repos: DataFrame) -> DataFrame:
     """requests(handle) with the checkout found, or why there is none.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import as_col
 from ..functions.paths import file_ext
 from ..functions.text import let, utf8_prefix
-from .listing import lang_histogram, total_files, visible
+from .listing import lang_counts, total_files, visible
 
 README_BYTES = 32 * 1024
 EXCERPT_LINES = 40
@@ -60,12 +60,12 @@ def important_rank(name: Column | str) -> Column:
 
 def important_files(files: DataFrame) -> DataFrame:
     """Root-level files worth a look, by category and then name."""
+    return _important(files).orderBy("project", "category", F.lower("name"), "name")
+
+
+def _important(files: DataFrame) -> DataFrame:
     root = visible(files).where(~F.col("path").contains("/"))
-    return (
-        root.select("project", F.col("path").alias("name"), important_rank("path").alias("category"))
-        .where("category is not null")
-        .orderBy("project", "category", F.lower("name"), "name")
-    )
+    return root.select("project", F.col("path").alias("name"), important_rank("path").alias("category")).where("category is not null")
 
 
 def find_readme(files: DataFrame) -> DataFrame:
@@ -173,13 +173,13 @@ def summary(files: DataFrame) -> DataFrame:
 
     Every part is aggregated per project before the parts meet.
     """
-    languages = lang_histogram(files).groupBy("project").agg(
+    languages = lang_counts(files).groupBy("project").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct((-F.col("file_count")).alias("o"), "name", "file_count", "share"))),
             lambda s: F.struct(s["name"].alias("name"), s["file_count"].alias("file_count"), s["share"].alias("share")),
         ).alias("languages")
     )
-    key_files = important_files(files).groupBy("project").agg(
+    key_files = _important(files).groupBy("project").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("category", F.lower("name").alias("low"), "name"))), lambda s: s["name"]
         ).alias("important_files")

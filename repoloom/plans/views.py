@@ -220,17 +220,17 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("o_orderstatus").alias("branch"),
         "o_orderkey",
     )
-    month = F.date_trunc("MONTH", "author_ts").cast("date")
-    numbered = grouped_position(base, ["repo"], month, ["author_ts", "o_orderkey"], "rn").withColumn("rn", F.col("rn").cast("int"))
-    # The parent is the previous commit: the one before within the month, or
-    # the last one of the latest earlier month.
-    numbered = numbered.withColumn("month", month)
-    ends = numbered.groupBy("repo", "month").agg(F.max_by("hash", "rn").alias("last"))
-    ends = ends.select("repo", "month", F.lag("last").over(Window.partitionBy("repo").orderBy("month")).alias("carry"))
-    within = F.lag("hash").over(Window.partitionBy("repo", "month").orderBy("rn"))
+    day = F.to_date("author_ts")
+    numbered = grouped_position(base, ["repo"], day, ["author_ts", "o_orderkey"], "rn").withColumn("rn", F.col("rn").cast("int"))
+    # The parent is the previous commit: the one before within the day, or
+    # the last one of the latest earlier day.
+    numbered = numbered.withColumn("day", day)
+    ends = numbered.groupBy("repo", "day").agg(F.max_by("hash", "rn").alias("last"))
+    ends = ends.select("repo", "day", F.lag("last").over(Window.partitionBy("repo").orderBy("day")).alias("carry"))
+    within = F.lag("hash").over(Window.partitionBy("repo", "day").orderBy("rn"))
     return (
         numbered.withColumn("within", within)
-        .join(ends, ["repo", "month"])
+        .join(ends, ["repo", "day"])
         .select("repo", "hash", F.coalesce("within", "carry").alias("parent"), "author", "email",
                 "author_ts", "subject", "branch", "rn")
     )

@@ -19,6 +19,8 @@ FILES = T.StructType([
     T.StructField("content", T.BinaryType(), True),
 ])
 
+_BATCH_BYTES = 32 << 20
+
 
 def corpus_scan(spark: SparkSession, location: str) -> DataFrame:
     """The landed files table without anything below a `.git` entry."""
@@ -34,6 +36,8 @@ def read_manifest(manifest: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
         for batch in batches:
             for project, path, location in batch[["project", "path", "location"]].itertuples(index=False):
                 try:
@@ -41,7 +45,13 @@ def read_manifest(manifest: DataFrame) -> DataFrame:
                         data = handle.read()
                 except OSError:
                     continue
-                yield pd.DataFrame({"project": [project], "path": [path], "size": [len(data)], "content": [data]})
+                rows.append((project, path, len(data), data))
+                held += len(data)
+                if held >= _BATCH_BYTES:
+                    yield pd.DataFrame(rows, columns=FILES.fieldNames())
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=FILES.fieldNames())
 
     return manifest.where(not_git("path")).mapInPandas(read, FILES)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..numbering import grouped_position, with_halo
+from ..operators.limits import cap_per_group
 
 _SCHEMA = (
     "type string, data struct<path: struct<text: string>, lines: struct<text: string>, "
@@ -14,7 +15,7 @@ _SCHEMA = (
 _BLOCK = 4096
 
 
-def parse_grep_events(lines: DataFrame, context: int, seq_block: int = 1_000_000) -> DataFrame:
+def parse_grep_events(lines: DataFrame, context: int, limit: int = 0, seq_block: int = 1_000_000) -> DataFrame:
     """Matches with context from lines(stream, seq, value).
 
     A context line belongs to the match before it while that match has fewer
@@ -25,7 +26,8 @@ def parse_grep_events(lines: DataFrame, context: int, seq_block: int = 1_000_000
     A match is decided by at most 2 * context rows before it and `context`
     after it, so a stream is cut into blocks that overlap by that much and no
     window spans a whole stream.  `seq_block` bounds how many sequence numbers
-    are numbered in one task.
+    are numbered in one task.  With `limit`, the first matches of each stream
+    are kept and `truncated` says whether there were more.
     """
     parsed = lines.select("stream", "seq", F.from_json("value", _SCHEMA).alias("e"))
     kinds = ["begin", "match", "end"] + (["context"] if context > 0 else [])
@@ -45,8 +47,9 @@ def parse_grep_events(lines: DataFrame, context: int, seq_block: int = 1_000_000
     )
     matches = framed.where("home and type = 'match'")
     after = _run("ahead") if context > 0 else F.array().cast("array<string>")
-    return matches.select("stream", "seq", "path", "line", "column", "text", _before(context).alias("context_before"),
-                          after.alias("context_after"))
+    out = matches.select("stream", "seq", "path", "line", "column", "text", _before(context).alias("context_before"),
+                         after.alias("context_after"))
+    return cap_per_group(out, ["stream"], ["seq"], limit) if limit > 0 else out
 
 
 def _run(rows: str) -> Column:

@@ -44,6 +44,15 @@ def read_latest(spark: SparkSession, location: str) -> DataFrame:
     return latest_refs(stored)
 
 
+def files_of(files: DataFrame, projects: DataFrame) -> DataFrame:
+    """Files of the given projects.
+
+    The comparison holds for every project; it tells Spark that the list is
+    selective, so that only the partitions in it are read.
+    """
+    return files.join(projects.where(F.col("project") > ""), "project", "left_semi")
+
+
 def incremental_index(
     moves: DataFrame, files: DataFrame, root: str, checkpoint: str
 ) -> StreamingQuery:
@@ -56,8 +65,7 @@ def incremental_index(
 
     def run(batch: DataFrame, number: int) -> None:
         moved = latest_refs(batch).select(F.col("id").alias("project"))
-        touched = files.join(moved, "project", "left_semi")
-        write_symbols(build_index(touched), moved, root)
+        write_symbols(build_index(files_of(files, moved)), moved, root)
 
     return moves.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -239,3 +239,29 @@ def test_grep_stream(spark, make_files):
     found = streams.grep_stream(streams.table_stream(spark, "project string, path string, content binary", f"{where}/in"), "needle", excludes=["b"])
     streams.store_stream(found, f"{where}/out", f"{where}/ck").awaitTermination()
     assert [(r.path, r.line) for r in spark.read.parquet(f"{where}/out").collect()] == [("a", 1)]
+
+
+def test_moved_projects_prune_the_scan(spark, make_files):
+    """Re-indexing reads only the partitions of the projects that moved."""
+    where = scratch_dir(spark)
+    for p in "abc":
+        make_files({"x.py": "def one(): pass\n"}, p).write.mode("append").partitionBy("project").parquet(f"{where}/files")
+    move_rows(spark, MOVES[:1]).write.parquet(f"{where}/moves")
+    files, moves = spark.read.parquet(f"{where}/files"), spark.read.parquet(f"{where}/moves")
+    touched = streams.files_of(files, streams.latest_refs(moves).select(F.col("id").alias("project")))
+    assert "dynamicpruning" in touched._jdf.queryExecution().executedPlan().toString()
+    assert [r.project for r in touched.collect()] == ["a"]
+
+
+def test_caps(spark):
+    refs = spark.createDataFrame([("r", f"refs/tags/v{i}", "h") for i in range(4)], "repo string, full_name string, hash string")
+    objects = spark.createDataFrame([], "repo string, hash string, target string")
+    got = history.tags(refs, objects, limit=3).collect()
+    assert [t.name for t in got] == ["v0", "v1", "v2"] and all(t.truncated for t in got)
+
+
+def test_many_heads_of_one_repo(spark):
+    edges = random_graph(9, 90)
+    heads = spark.createDataFrame([("r", f"c{i}") for i in range(90)], "repo string, head string")
+    got = history.reachable(graph(spark, edges), heads).collect()
+    assert {(r.head, r.hash) for r in got} == {(f"c{i}", h) for i in range(90) for h in ancestors(edges, f"c{i}")}

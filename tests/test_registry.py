@@ -153,3 +153,18 @@ def test_landing_keeps_hidden_names(spark, tmp_path):
     back = corpus_scan(spark, str(tmp_path / "files"))
     assert ids(back, "path") == [".github/ci.yml", "_x/y", "pkg/__init__.py", "plain.txt"]
     assert {(r.project, r.size) for r in back.collect()} == {("p@v1", 2)}
+
+
+def test_info(spark, store):
+    repos, checkouts, _ = store
+    row = registry.info(spark.createDataFrame([("a@v1",), ("zz",)], "handle string"), checkouts, repos).collect()
+    assert [(r.name, r.checkout.id, len(r.checkouts)) for r in row] == [("a", "a@v1", 3)]
+
+
+def test_salted_join_is_the_join(spark):
+    from repoloom.session import salted_join
+
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(60)], "k string, v int")
+    small = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k3", "z"), ("k0", "w")], "k string, w string")
+    got = salted_join(big, small, ["k"], F.col("v"), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
