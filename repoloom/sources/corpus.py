@@ -19,12 +19,13 @@ FILES = T.StructType([
     T.StructField("content", T.BinaryType(), True),
 ])
 
+LANDED = T.StructType([*FILES.fields, T.StructField("sha256", T.StringType(), True)])
 _BATCH_BYTES = 32 << 20
 
 
 def corpus_scan(spark: SparkSession, location: str) -> DataFrame:
     """The landed files table without anything below a `.git` entry."""
-    return spark.read.schema(FILES).parquet(location).where(not_git("path"))
+    return spark.read.schema(LANDED).parquet(location).where(not_git("path"))
 
 
 def read_manifest(manifest: DataFrame) -> DataFrame:
@@ -82,9 +83,13 @@ def manifest_of(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
 
 
 def land_files(files: DataFrame, location: str) -> None:
-    """Write files rows, replacing the partitions of the projects present."""
+    """Write files rows with their content hash, replacing the projects present.
+
+    Comparing two landed snapshots then reads hashes, not contents.
+    """
+    hashed = files.select(*FILES.fieldNames(), F.sha2("content", 256).alias("sha256"))
     (
-        files.hint("rebalance", F.col("project"))
+        hashed.hint("rebalance", F.col("project"))
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy("project").parquet(location)
     )

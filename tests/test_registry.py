@@ -155,6 +155,19 @@ def test_landing_keeps_hidden_names(spark, tmp_path):
     assert {(r.project, r.size) for r in back.collect()} == {("p@v1", 2)}
 
 
+def test_landed_snapshots_compare_without_contents(spark, make_files, tmp_path):
+    from repoloom.operators.diff import diff_files
+
+    sides = []
+    for name, text in (("old", "1"), ("new", "2")):
+        files = make_files({"a": text, "b": "same"}).withColumn("size", F.octet_length("content").cast("long"))
+        land_files(files, str(tmp_path / name))
+        sides.append(corpus_scan(spark, str(tmp_path / name)))
+    changed = diff_files(*sides, renames=False)
+    assert [(r.path, r.status) for r in changed.collect()] == [("a", "M")]
+    assert "content" not in changed._jdf.queryExecution().executedPlan().toString()
+
+
 def test_info(spark, store):
     repos, checkouts, _ = store
     row = registry.info(spark.createDataFrame([("a@v1",), ("zz",)], "handle string"), checkouts, repos).collect()
