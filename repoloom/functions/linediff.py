@@ -164,7 +164,7 @@ def _hunk(a: list[bytes], b: list[bytes], group: list[tuple[int, int, int, int]]
     body += [b" " + l for l in a[at:a1]]
     text = b"".join(l if l.endswith(b"\n") else l + b"\n\\ No newline at end of file\n" for l in body)
     heading = next((l for l in reversed(a[:a0]) if re.match(rb"[A-Za-z_$]", l)), b"").strip()[:80]
-    span = f"@@ -{_range(a0, a1)} +{_range(b0, b1)} @@" + (" " + heading.decode("utf-8", "replace") if heading else "")
+    span = f"@@ -{_range(a0, a1)} +{_range(b0, b1)} @@" + (" " + heading.decode("utf-8", "ignore") if heading else "")
     return span + "\n" + text.decode("utf-8", "replace")
 
 

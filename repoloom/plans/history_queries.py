@@ -256,8 +256,37 @@ def diff_stat_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.diff_stat_bag(*_snapshots(spark, sf_dir))
 
 
-@query("diff_unified")
+# The changes of the second snapshot are known: files come, go, or grow at the end.
+UNIFIED_SQL = f"""
+with c as (select *, chr(10) as nl, right(old, 1) = chr(10) as old_ended, right(new, 1) = chr(10) as new_ended from ({STATUS_SQL})),
+l as (select *, case when old is null or old = '' then [] when old_ended then string_split(old, nl)[:-2] else string_split(old, nl) end as a,
+ case when new is null or new = '' then [] when new_ended then string_split(new, nl)[:-2] else string_split(new, nl) end as b,
+ case when old is null then '0000000' else left(sha1(concat('blob ', octet_length(encode(old)), chr(0), old)), 7) end as old_id,
+ case when new is null then '0000000' else left(sha1(concat('blob ', octet_length(encode(new)), chr(0), new)), 7) end as new_id from c),
+h as (select *, greatest(1, len(a) - case when old_ended then 2 else 3 end) as s, concat('diff --git a/', path, ' b/', path, nl,
+  case status when 'A' then concat('new file mode 100644', nl) when 'D' then concat('deleted file mode 100644', nl) else '' end, 'index ', old_id, '..', new_id, case status when 'M' then ' 100644' else '' end, nl) as head,
+ concat(nl, chr(92), ' No newline at end of file') as bare from l),
+t as (select *, coalesce(trim(list_last(list_filter(a[1:s - 1], lambda x: regexp_matches(x, '^[A-Za-z_$]'))), concat(' ', chr(9), nl, chr(13))), '') as title from h),
+g as (select *, coalesce((select left(title, cast(max(i) as int)) from range(0, 81) r(i) where octet_length(encode(left(title, cast(i as int)))) <= 80), '') as section from t)
+select project, path, status, case
+ when status = 'A' and new = '' or status = 'D' and old = '' then head
+ when status = 'A' then concat(head, '--- /dev/null', nl, '+++ b/', path, nl, '@@ -0,0 +1', case when len(b) = 1 then '' else concat(',', len(b)) end, ' @@', nl, '+', array_to_string(b, concat(chr(10), '+')), case when new_ended then '' else bare end, nl)
+ when status = 'D' then concat(head, '--- a/', path, nl, '+++ /dev/null', nl, '@@ -1', case when len(a) = 1 then '' else concat(',', len(a)) end, ' +0,0 @@', nl, '-', array_to_string(a, concat(chr(10), '-')), case when old_ended then '' else bare end, nl)
+ else concat(head, '--- a/', path, nl, '+++ b/', path, nl, '@@ -', case when len(a) = 0 then '0,0' when len(a) - s = 0 then cast(s as varchar) else concat(s, ',', len(a) - s + 1) end, ' +', case when len(b) - s = 0 then cast(s as varchar) else concat(s, ',', len(b) - s + 1) end, ' @@', case when section = '' then '' else concat(' ', section) end, nl,
+  case when old_ended or len(a) = 0 then concat(array_to_string(list_transform(a[s:], lambda x: concat(' ', x, nl)), ''), array_to_string(list_transform(b[len(a) + 1:], lambda x: concat('+', x)), chr(10)))
+   else concat(array_to_string(list_transform(a[s:len(a) - 1], lambda x: concat(' ', x, nl)), ''), '-', a[-1], bare, nl, '+', array_to_string(b[len(a):], concat(chr(10), '+'))) end, bare, nl) end as patch
+from g"""
+
+
+@query("diff_unified", UNIFIED_SQL)
 def diff_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = diff.diff_unified(*_snapshots(spark, sf_dir), renames=False)
+    return out.select("project", "path", "status", "patch")
+
+
+@query("diff_renamed_patches")
+def diff_renamed_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patches with exact renames found."""
     return diff.diff_unified(*_snapshots(spark, sf_dir))
 
 
@@ -271,9 +300,12 @@ def diff_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("project", "path", F.regexp_extract("patch", r"(?m)^(@@ [-+,0-9 ]+ @@)", 1).alias("span")).where("span <> ''")
 
 
-@query("diff_capped")
+@query("diff_capped", f"""
+with u as ({UNIFIED_SQL}), d as (select project, string_agg(patch, '' order by path) as doc from u group by project),
+k as (select project, doc, octet_length(encode(doc)) > 8192 as truncated, left(doc, 8193) as head from d)
+select project, truncated, case when truncated then concat(left(head, cast((select max(i) from range(0, 8193) r(i) where octet_length(encode(left(head, cast(i as int)))) <= 8192) as int)), chr(10), '[truncated by --max-kb]', chr(10)) else doc end as diff from k""")
 def diff_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diff.diff_documents(*_snapshots(spark, sf_dir), max_kb=8)
+    return diff.diff_documents(*_snapshots(spark, sf_dir), renames=False, max_kb=8)
 
 
 @query("diff_endpoints", """
