@@ -12,7 +12,7 @@ from ..functions.linediff import is_binary, line_counts, unified
 from ..functions.paths import not_git, path_filter
 from ..functions.text import lines_raw, utf8_prefix
 from ..numbering import grouped_position
-from ..session import materialize, spread
+from ..session import materialize, salted_join, selective, spread
 
 MAX_KB = 256
 CAP_MARKER = "\n[truncated by --max-kb]\n"
@@ -194,7 +194,7 @@ def diff_endpoints(from_ref: Column, to_ref: Column) -> tuple[Column, Column]:
 def snapshot_pairs(files: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(old, new) files of pairs(pair, old, new) of checkouts, named by the pair."""
     def side(which: str) -> DataFrame:
-        names = pairs.select(F.col(which).alias("project"), "pair")
-        return files.join(names, "project").drop("project").withColumnRenamed("pair", "project")
+        names = selective(pairs.select(F.col(which).alias("project"), "pair"))
+        return salted_join(files, names, ["project"], F.col("path"), 16).drop("project").withColumnRenamed("pair", "project")
 
     return side("old"), side("new")

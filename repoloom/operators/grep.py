@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import not_git, path_filter, walk_order
 from ..functions.regexes import path_to_java, re2_to_java
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
-from ..session import salted_join, spread
+from ..session import salted_join, selective, spread
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
@@ -198,7 +198,7 @@ def grep_batch(files: DataFrame, requests: DataFrame, salts: int = 16) -> DataFr
     of all files is spread over `salts` tasks, and Spark broadcasts the
     requests instead when their measured size allows it.
     """
-    asked = compile_requests(requests).where("problem is null").drop("problem")
+    asked = compile_requests(selective(requests)).where("problem is null").drop("problem")
     pairs = salted_join(searchable(files), asked, ["project"], F.col("path"), salts).where(
         (F.col("all_in") | F.exists("keep", lambda p: F.rlike(F.col("path"), p)))
         & ~F.exists("drop", lambda p: F.rlike(F.col("path"), p))

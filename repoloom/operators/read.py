@@ -9,6 +9,7 @@ from ..functions.paths import clean_path, not_git, path_problem
 from ..functions.text import (
     READ_MAX_KB, SEARCH_MAX_BYTES, byte_len, cdata_escape, is_text, let, line_range, lines_clean, number_lines, xml_attr,
 )
+from ..session import selective
 
 VERSION = "1"
 
@@ -20,7 +21,7 @@ def _folders(files: DataFrame, missing: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")
     )
     known = files.select("project", F.explode(above).alias("target"))
-    asked = missing.select("project", "target").distinct()
+    asked = selective(missing.select("project", "target").distinct())
     return known.join(asked, ["project", "target"], "left_semi").distinct().withColumn("is_dir", F.lit(True))
 
 
@@ -31,7 +32,7 @@ def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB)
     the XML element.  Checks run in this order: path, missing, folder, size,
     binary, line range, range past the end.
     """
-    asked = requests.select(
+    asked = selective(requests).select(
         "*", clean_path("path").alias("target"), path_problem("path").alias("unsafe"), line_range("line_range").alias("r")
     )
     size = F.col("size") if "size" in files.columns else byte_len("content")

@@ -162,8 +162,10 @@ def excerpt(text: Column | str) -> Column:
 def readme_excerpts(files: DataFrame) -> DataFrame:
     """(project, path, excerpt) from the first 32 KiB of each README."""
     chosen = find_readme(files)
-    # Only possible READMEs carry their contents into the join.
-    likely = files.where(~F.col("path").contains("/") & F.lower("path").startswith("readme"))
+    # Only possible READMEs carry their contents into the join.  The first
+    # letter is a filter parquet can use to skip the rest of a sorted table.
+    path = F.col("path")
+    likely = files.where((path.startswith("R") | path.startswith("r")) & ~path.contains("/") & F.lower(path).startswith("readme"))
     heads = likely.select("project", "path", utf8_prefix("content", README_BYTES).alias("head"))
     return heads.join(chosen, ["project", "path"]).select("project", "path", excerpt("head").alias("excerpt"))
 

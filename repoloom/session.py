@@ -71,6 +71,24 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_of: Column
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
+def selective(df: DataFrame, key: str = "project") -> DataFrame:
+    """The rows of a list of projects, marked as a selective filter.
+
+    Every key passes the comparison.  Its presence lets Spark prune the
+    partitions of a table joined on `key` to those in the list.
+    """
+    return df.where(F.col(key) > "")
+
+
+def rows_of(table: DataFrame, projects: DataFrame, salt_of: Column, salts: int = 16) -> DataFrame:
+    """The rows of `table` that belong to one of projects(project).
+
+    Partitions of other projects are not read, and a project holding a large
+    share of the table is spread over `salts` tasks.
+    """
+    return salted_join(table, selective(projects.select("project").distinct()), ["project"], salt_of, salts)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Split a table of few input files over all cores before heavy work.
 

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grep import grep_lines
 from ..operators.symbols import build_index
+from ..session import rows_of
 from ..sources.tables import write_symbols
 
 REF_EVENTS = "id string, ts timestamp_ntz, ref string, kind string, commit_hash string"
@@ -44,15 +45,6 @@ def read_latest(spark: SparkSession, location: str) -> DataFrame:
     return latest_refs(stored)
 
 
-def files_of(files: DataFrame, projects: DataFrame) -> DataFrame:
-    """Files of the given projects.
-
-    The comparison holds for every project; it tells Spark that the list is
-    selective, so that only the partitions in it are read.
-    """
-    return files.join(projects.where(F.col("project") > ""), "project", "left_semi")
-
-
 def incremental_index(
     moves: DataFrame, files: DataFrame, root: str, checkpoint: str
 ) -> StreamingQuery:
@@ -65,7 +57,7 @@ def incremental_index(
 
     def run(batch: DataFrame, number: int) -> None:
         moved = latest_refs(batch).select(F.col("id").alias("project"))
-        write_symbols(build_index(files_of(files, moved)), moved, root)
+        write_symbols(build_index(rows_of(files, moved, F.col("path"))), moved, root)
 
     return moves.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

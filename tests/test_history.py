@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import linediff
 from repoloom.operators import diff, history
-from repoloom.session import scratch_dir
+from repoloom.session import rows_of, scratch_dir
 from repoloom.sources import tables
 from repoloom.sources.history import parse_commit_log, parse_remote_refs
 from repoloom.streaming import refs as streams
@@ -248,7 +248,7 @@ def test_moved_projects_prune_the_scan(spark, make_files):
         make_files({"x.py": "def one(): pass\n"}, p).write.mode("append").partitionBy("project").parquet(f"{where}/files")
     move_rows(spark, MOVES[:1]).write.parquet(f"{where}/moves")
     files, moves = spark.read.parquet(f"{where}/files"), spark.read.parquet(f"{where}/moves")
-    touched = streams.files_of(files, streams.latest_refs(moves).select(F.col("id").alias("project")))
+    touched = rows_of(files, streams.latest_refs(moves).select(F.col("id").alias("project")), F.col("path"))
     assert "dynamicpruning" in touched._jdf.queryExecution().executedPlan().toString()
     assert [r.project for r in touched.collect()] == ["a"]
 
