@@ -163,10 +163,15 @@ def advance(projects: DataFrame, heads: DataFrame, resolved: DataFrame, at: Colu
 
 
 def update_report(advanced: DataFrame, checkouts: DataFrame, symbols: DataFrame) -> DataFrame:
-    """One row per checkout: outcome, commits and the size of its index."""
+    """One row per checkout: outcome, commits and the size of its index.
+
+    A checkout that could not be advanced shows its error and nothing else.
+    """
+    count = F.when(F.col("ok"), F.col("symbol_count"))
     return advanced.join(count_symbols(checkouts, symbols), "id", "left").select(
-        F.col("id").alias("name"), "ok", "ref", "kind", "prev_commit", "commit", "changed",
-        F.coalesce("symbol_count", F.lit(0)).cast("long").alias("symbol_count"), "error",
+        F.col("id").alias("name"), "ok",
+        *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("ref", "kind", "prev_commit", "commit")], "changed",
+        F.coalesce(count, F.lit(0)).cast("long").alias("symbol_count"), "error",
     )
 
 

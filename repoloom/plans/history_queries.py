@@ -103,10 +103,10 @@ def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("head_kind", f"""
 select id, h.repo, coalesce(branch, t.name, substring(h.hash, 1, 12)) as ref, case when branch is not null then 'branch' when t.name is not null then 'tag' else 'commit' end as kind, h.hash
-from (select concat(repo, '@', rn) as id, repo, case when rn % 3 = 0 then branch end as branch, hash from commits where rn % 5 = 0) h
+from (select concat(repo, '@', rn) as id, repo, case when rn % 3 = 0 then branch end as branch, hash from commits) h
 left join (select repo, hash, min(name) as name from ({TAGS_SQL}) group by all) t on h.repo = t.repo and h.hash = t.hash""")
 def head_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = views.commits(spark, sf_dir).where("rn % 5 = 0").select(
+    heads = views.commits(spark, sf_dir).select(
         F.concat("repo", F.lit("@"), F.col("rn").cast("string")).alias("id"), "repo",
         F.when(F.col("rn") % 3 == 0, F.col("branch")).alias("branch"), "hash")
     return history.head_kinds(heads, history.tags(views.refs(spark, sf_dir), views.tag_objects(spark, sf_dir)))
@@ -139,12 +139,12 @@ def resolve_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("remote_precedence", """
-with q as (select concat(repo, ':', rn) as req_id, repo, concat('v', rn) as ref, hash from commits where rn % 25 = 0)
-select req_id, q.repo, q.ref, 'tag' as kind, q.hash as commit_hash, cast(null as varchar) as problem from q""")
+select concat(repo, ':', rn) as req_id, repo, concat('v', rn) as ref, case when rn % 25 = 0 then 'tag' else 'branch' end as kind,
+ case when rn % 25 = 0 then hash else '0000' end as commit_hash, cast(null as varchar) as problem from commits""")
 def remote_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On refresh the remote decides: its peeled tag beats the tag object and
     a branch of the same name."""
-    asked = views.commits(spark, sf_dir).where("rn % 25 = 0").select(
+    asked = views.commits(spark, sf_dir).select(
         F.concat("repo", F.lit(":"), F.col("rn").cast("string")).alias("req_id"), "repo",
         F.concat(F.lit("v"), F.col("rn").cast("string")).alias("ref"), F.lit(True).alias("refresh"))
     remote = views.remote_refs(spark, sf_dir)

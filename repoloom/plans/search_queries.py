@@ -199,19 +199,35 @@ def grep_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REQUESTED = [
-    ("full", "src0", r"\w+tion\b", [], []),
-    ("scoped", "src1", r"^[A-Z]\S+ the", ["src", "pkg/**"], ["*.go"]),
-    ("globbed", "src1", r"(?i)THE", ["*.m?"], []),
-    ("nothing", "src2", r"qqqq+", [], []),
-    ("twice", "src0", r"er[.,]$", [], ["vendor"]),
-    ("refused", "src0", r"(?=a)", [], []),
+    ("full", r"\w+tion\b", [], []),
+    ("scoped", r"^[A-Z]\S+ the", ["src", "pkg/**"], ["*.go"]),
+    ("globbed", r"(?i)THE", ["*.m?"], []),
+    ("nothing", r"qqqq+", [], []),
+    ("twice", r"er[.,]$", [], ["vendor"]),
+    ("refused", r"(?=a)", [], []),
 ]
+HIT = f"""select concat(project, ':{{}}') as req_id, project, path, line, {{}} as "column", text from ({LINES}) where regexp_matches(text, '{{}}')"""
 
 
-@query("grep_batch", f"""
-select 'full' as req_id, project, path, line, {first_match(chr(92) + 'w+tion' + chr(92) + 'b')} as "column", text from ({LINES}) where project = 'src0' and regexp_matches(text, '\\w+tion\\b')
-union all select 'scoped', project, path, line, {first_match('^[A-Z]' + chr(92) + 'S+ the')}, text from ({LINES}) where project = 'src1' and regexp_matches(text, '^[A-Z]\\S+ the') and (path like 'src/%' or path like 'pkg/%') and path not like '%.go'
-union all select 'globbed', project, path, line, {first_match('(?i)THE')}, text from ({LINES}) where project = 'src1' and regexp_matches(text, '(?i)THE') and regexp_matches(path, '\\.m[^/]$')
-union all select 'twice', project, path, line, {first_match('er[.,]$')}, text from ({LINES}) where project = 'src0' and regexp_matches(text, 'er[.,]$') and path not like 'vendor/%'""")
+def hit(name: str, pattern: str, scope: str = "") -> str:
+    """SQL for the hits of one request in every project."""
+    return HIT.format(name, first_match(pattern), pattern) + scope
+
+
+@query("grep_batch", " union all ".join([
+    hit("full", r"\w+tion\b"),
+    hit("scoped", r"^[A-Z]\S+ the", " and (path like 'src/%' or path like 'pkg/%') and path not like '%.go'"),
+    hit("globbed", "(?i)THE", r" and regexp_matches(path, '\.m[^/]$')"),
+    hit("twice", "er[.,]$", " and path not like 'vendor/%'"),
+]))
 def grep_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.grep_batch(views.files(spark, sf_dir), spark.createDataFrame(REQUESTED, grep.REQUESTS))
+    """Six requests per project, one of them refused."""
+    texts = F.array(*[
+        F.struct(F.lit(n).alias("n"), F.lit(p).alias("pattern"),
+                 F.array(*[F.lit(i) for i in inc]).cast("array<string>").alias("includes"),
+                 F.array(*[F.lit(e) for e in exc]).cast("array<string>").alias("excludes"))
+        for n, p, inc, exc in REQUESTED
+    ])
+    asked = views.repos(spark, sf_dir).select(F.col("name").alias("project"), F.explode(texts).alias("r")).select(
+        F.concat("project", F.lit(":"), "r.n").alias("req_id"), "project", "r.pattern", "r.includes", "r.excludes")
+    return grep.grep_batch(views.files(spark, sf_dir), asked)

@@ -60,7 +60,7 @@ def advance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("update_all", f"""
-with a as ({ADVANCE_SQL}) select a.id as name, ok, ref, kind, prev_commit, commit, changed, (select count(*) from events e where e.event_type = 'click' and concat('r', e.user_id % 20, '@click') = a.id) as symbol_count, error from a""")
+with a as ({ADVANCE_SQL}) select a.id as name, ok, case when ok then ref end as ref, case when ok then kind end as kind, case when ok then prev_commit end as prev_commit, case when ok then commit end as commit, changed, (select count(*) from events e where e.event_type = 'click' and concat('r', e.user_id % 20, '@click') = a.id) as symbol_count, error from a""")
 def update_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report; as symbols it counts one row per click."""
     projects, heads, resolved = _moving(spark, sf_dir)
@@ -186,7 +186,7 @@ def schema_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A store of another version is emptied; then the repos are saved again."""
     where = scratch_dir(spark)
     tables.ensure_schema(spark, where, version=0)
-    tables.save_table(views.repos(spark, sf_dir).limit(1), where, "repos")
+    tables.save_table(views.repos(spark, sf_dir).withColumn("url", F.lit("old")), where, "repos")
     tables.ensure_schema(spark, where)
     tables.save_table(views.repos(spark, sf_dir), where, "repos")
     return tables.load_table(spark, where, "repos")
