@@ -107,8 +107,18 @@ def utc_rfc3339(c: Column | str) -> Column:
     raw = as_col(c)
     shape = r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(\.\d+)?(Z|[+-]\d\d:\d\d)\z"
     parsed = F.when(raw.rlike(shape), F.try_to_timestamp(raw))
-    in_utc = F.to_utc_timestamp(parsed, F.current_timezone())
-    return F.coalesce(F.date_format(in_utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"), raw)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.coalesce(iso_utc(epoch + F.make_dt_interval(secs=F.unix_seconds(parsed))), raw)
+
+
+def iso_utc(c: Column | str) -> Column:
+    """A zone-less timestamp that holds UTC, as text with whole seconds.
+
+    Goes through text, because formatting would pass through the session's
+    time zone and its missing hours.
+    """
+    text = as_col(c).cast("timestamp_ntz").cast("string")
+    return F.concat(F.replace(F.substring(text, 1, 19), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
 def first_line(c: Column | str) -> Column:

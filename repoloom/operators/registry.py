@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import checkout_dir, id_ref, id_repo
+from ..functions.text import iso_utc
 
 
 def projects(checkouts: DataFrame, repos: DataFrame) -> DataFrame:
@@ -29,16 +30,11 @@ def default_first(projects_df: DataFrame) -> DataFrame:
     return projects_df.orderBy("repo", (F.col("id") == F.col("repo")).desc(), "id")
 
 
-def iso(c: str) -> Column:
-    """A UTC timestamp as text with whole seconds."""
-    return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-
-
 def checkout_struct() -> Column:
     """The public shape of a checkout."""
     return F.struct(
         "id", "ref", "kind", F.col("commit_hash").alias("commit"), "path",
-        iso("updated_at").alias("updated_at"), iso("parsed_at").alias("parsed_at"),
+        iso_utc("updated_at").alias("updated_at"), iso_utc("parsed_at").alias("parsed_at"),
     )
 
 
@@ -59,7 +55,7 @@ def list_repos(checkouts: DataFrame, repos: DataFrame, per_row: int = 1000) -> D
         .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         .select(
             F.col("repo").alias("name"), "url", F.col("repo_path").alias("path"), "shallow",
-            iso("fetched_at").alias("fetched_at"), "part", "parts",
+            iso_utc("fetched_at").alias("fetched_at"), "part", "parts",
             F.transform("entries", lambda e: e["c"]).alias("checkouts"),
         )
     )

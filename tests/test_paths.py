@@ -131,7 +131,9 @@ def test_utf8_prefix(spark):
 
 
 def test_dates(spark):
-    cases = [("2024-05-01T12:00:00+02:00", "2024-05-01T10:00:00Z"), ("not a date", "not a date"), ("2024-05-01T12:00:00Z", "2024-05-01T12:00:00Z")]
+    cases = [("2024-05-01T12:00:00+02:00", "2024-05-01T10:00:00Z"), ("not a date", "not a date"), ("2024-05-01T12:00:00Z", "2024-05-01T12:00:00Z"),
+             ("2024-03-10T02:30:00Z", "2024-03-10T02:30:00Z"), ("2024-11-03T05:30:00Z", "2024-11-03T05:30:00Z"), ("2024-11-03T06:30:00Z", "2024-11-03T06:30:00Z"),
+             ("1969-12-31T23:59:59.5-01:00", "1970-01-01T00:59:59Z")]
     assert column_of(spark, [(d,) for d, _ in cases], "d string", text.utc_rfc3339("d")) == [w for _, w in cases]
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")
     try:
