@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack
+from .simhash import simhash_classes
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +30,9 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each language and encoded length: counts, totals and truncated totals at that context limit."""
     return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose fingerprints are linked at two differing bits or fewer."""
+    return simhash_classes(table(spark, sf_dir, "documents"))
