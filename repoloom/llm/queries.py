@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import contamination_report
 from .packing import pack
 from .simhash import simhash_classes
 from .token_counts import token_counts
@@ -36,3 +37,29 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents whose fingerprints are linked at two differing bits or fewer."""
     return simhash_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in a window of ten words of a benchmark item."""
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+ORACLES["op4_decontamination"] = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark),
+windows as (
+  select distinct item_id, size, array_to_string(w[p:p + size - 1], ' ') as s
+  from (select item_id, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as p from b where len(w) > 0)),
+places as (
+  select doc_id, size, p, array_to_string(w[p:p + size - 1], ' ') as s
+  from (select doc_id, w, size, unnest(range(1, len(w) - size + 2)) as p from d, (select distinct size from windows))),
+met as (select doc_id, p, size, item_id from places join windows using (size, s)),
+hits as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + size)) as q from met) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as names
+  from (select distinct doc_id, cast(item_id as varchar) as item from met) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join hits using (doc_id) left join items using (doc_id)"""
