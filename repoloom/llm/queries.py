@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import contamination_report
 from .packing import pack
+from .secrets import secrets_report
 from .simhash import simhash_classes
 from .token_counts import token_counts
 
@@ -63,3 +64,36 @@ items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
   sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join hits using (doc_id) left join items using (doc_id)"""
+
+
+@query
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document; equal texts are scanned once."""
+    return secrets_report(table(spark, sf_dir, "documents"))
+
+
+def _secret_rows(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
+    """SQL for (doc_id, rank, kind, start, end) of a pattern's matches."""
+    return f"""
+  select doc_id, {rank} as rank, '{kind}' as kind, stop - size as start, stop, ok from (
+    select doc_id, size, ok, sum(gap + size) over (partition by doc_id order by n rows unbounded preceding) as stop from (
+      select doc_id, unnest(range(1, len(m) + 1)) as n, length(unnest(m)) as size, length(unnest(g[1:len(m)])) as gap, length(unnest(v)) >= {least} as ok
+      from (select doc_id, regexp_extract_all(t, '{pattern}') as m, string_split_regex(t, '{pattern}') as g,
+        regexp_extract_all(t, '{pattern}', {group}) as v from d where regexp_matches(t, '{pattern}'))))"""
+
+
+ORACLES["op10_secrets"] = f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+s as ({" union all ".join([
+    _secret_rows(0, "assign", "(?i)(password|passwd|secret|token|api_?key)[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", 2, 12),
+    _secret_rows(1, "access", "AKIA[A-Z0-9]+", 0, 18), _secret_rows(2, "hex", "[0-9a-f]+", 0, 16),
+    _secret_rows(3, "github", "gh[oprsu]_[A-Za-z0-9]{36,}", 0, 0), _secret_rows(4, "slack", "xox[abprs]-[A-Za-z0-9-]{16,}", 0, 0),
+    _secret_rows(5, "google", "AIza[A-Za-z0-9_-]{35,}", 0, 0),
+    _secret_rows(6, "jwt", "eyJ[A-Za-z0-9_-]{8,}\\.eyJ[A-Za-z0-9_-]{8,}\\.[A-Za-z0-9_-]{8,}", 0, 0),
+    _secret_rows(7, "pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 0)])}),
+k as (select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (rank = 1) as n_access, count(*) filter (rank = 2) as n_hex,
+  string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, rank) filter (rank < 3) as base,
+  string_agg(kind || ':' || cast(start as bigint) || ':' || cast(stop as bigint), ',' order by start, rank) as spans from s where ok group by doc_id)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+  sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join k using (doc_id)"""
