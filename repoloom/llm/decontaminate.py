@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from itertools import repeat
 
@@ -190,8 +189,8 @@ def automata(items: DataFrame, id_col: str = "item_id", text_col: str = "text",
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """(id, text, n_words, spans, items) for every row of docs, without a shuffle.
+                       item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS, cut: bool = False) -> DataFrame:
+    """(id, n_words, spans, items, text) for every row of docs, without a shuffle.
 
     spans: array of (first, end) word positions, merged, of the words inside
     any occurrence of a window; items: the ids of items with an occurring
@@ -205,18 +204,19 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     for n, make in enumerate(shares):
         shipped = docs.sparkSession.sparkContext.broadcast(make())
 
-        def matched(batches, shipped=shipped):
+        def matched(batches, shipped=shipped, last=n + 1 == len(shares)):
             automaton = shipped.value
             for batch in batches:
-                spans, names, counts = [], [], []
+                spans, names, counts, texts = [], [], [], []
                 for text, old, had in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
                     words = words_of(text)
                     new, found = automaton.matches(words)
                     spans.append([list(s) for s in (_merged([*map(tuple, old), *new]) if old else new)])
                     names.append(sorted(found | set(had or ())))
                     counts.append(len(words))
+                    texts.append(text if not last else without_spans(text, spans[-1]) if cut and spans[-1] else None)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())],
+                    [batch.column(0), pa.array(texts, pa.string()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(names, pa.list_(pa.string())), pa.array(counts, pa.int64())],
                     names=["id", "text", "spans", "items", "n_words"])
 
         rows = rows.select("id", "text", "spans", "items").mapInArrow(matched, ddl)
@@ -260,16 +260,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     carried = [c for c in docs.columns if c not in (id_col, text_col)]
     packed = docs.select(F.struct(*[F.col(c) for c in [id_col, text_col, *carried]]).alias("row"), F.col(text_col).alias("text"))
     # the row travels as the id, so that nothing has to be joined back
-    found = find_contamination(packed, items, id_col="row", text_col="text", **options)
-
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        return text.combine(spans, lambda t, s: without_spans(t, s) if len(s) else t)
+    found = find_contamination(packed, items, id_col="row", text_col="text", cut=True, **options)
 
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
     kept = found.where(hit <= F.col("n_words") * coverage)
-    text = F.when(F.size("spans") > 0, cut("text", "spans")).otherwise(F.col(f"id.{text_col}"))
-    out = kept.withColumn("new_text", text)
+    out = kept.withColumn("new_text", F.coalesce("text", F.col(f"id.{text_col}")))
     columns = {c: F.col(f"id.{c}") for c in docs.columns} | {text_col: F.col("new_text")}
     if "n_chars" in docs.columns:
         columns["n_chars"] = F.when(F.size("spans") > 0, F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("id.n_chars"))
