@@ -12,6 +12,7 @@ from .packing import pack
 from .quality import quality_scores, train
 from .secrets import secrets_report
 from .simhash import simhash_classes
+from .suffixes import dedup_report
 from .token_counts import token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +42,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that stand in a repeated string of 200 bytes."""
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from the labels that are not held out."""
