@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination_report
+from .fingerprints import edited_report
 from .packing import pack
 from .quality import quality_scores, train
 from .secrets import secrets_report
 from .simhash import simhash_classes
 from .suffixes import dedup_report
 from .token_counts import token_counts
+from .url_filters import filter_urls, host_of, path_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -112,3 +115,79 @@ k as (select doc_id, count(*) filter (rank = 0) as n_assign, count(*) filter (ra
 select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
   sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join k using (doc_id)"""
+
+
+@query
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    return edited_report(table(spark, sf_dir, "documents"))
+
+
+def _digit(of: Column, n: int) -> Column:
+    """Place of the n-th hex digit of the MD5 of a value, from 1 on."""
+    return F.locate(F.substring(F.md5(of), n, 1), F.lit("0123456789abcdef"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """List entries for the hosts, domains, folders and urls of the pages, dated by digits of their hashes."""
+    named = pages.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host is not null")
+    hosts = named.select("host").distinct()
+    first = F.regexp_extract("path", r"^(/[^/?]*/)", 1)
+    values = (
+        hosts.select(F.lit("hosts").alias("list"), F.lit("host").alias("kind"), F.col("host").alias("value"))
+        .union(hosts.select(F.lit("domains"), F.lit("domain"), F.regexp_extract("host", r"([^.]+[.][^.]+)$", 1)))
+        .union(named.where(first != "").select(F.lit("folders"), F.lit("prefix"), F.concat("host", first)))
+        .union(named.select(F.lit("urls"), F.lit("url"), F.concat("host", "path")))
+    ).where("value <> ''").distinct()
+    digit = lambda n: _digit(F.col("value"), n)
+    start = F.date_add(F.lit("2024-01-01").cast("date"), digit(2) * 15 + digit(3))
+    listed = values.where(digit(1) <= 8).select(
+        "list", "kind", "value", F.when(F.col("kind") == "prefix", "allow").otherwise("block").alias("action"), start.alias("dated"), digit(4).alias("d4"), digit(5).alias("d5"))
+    gone = listed.where("d4 <= 10").select("list", "kind", "value", F.lit("remove").alias("action"), F.date_add("dated", F.col("d4") * 9).alias("dated"))
+    back = listed.where("d5 <= 6").select("list", "kind", "value", F.lit("allow").alias("action"), F.date_add("dated", F.col("d5") * 20).alias("dated"))
+    return listed.drop("d4", "d5").union(gone).union(back)
+
+
+@query
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url against the list entries in force on the day of its fetch, which its id gives."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")))
+    return filter_urls(captures, dated_entries(pages))
+
+
+def _place(n: int) -> str:
+    return f"strpos('0123456789abcdef', substr(md5(value), {n}, 1))"
+
+
+ORACLES["op2_url_filters"] = f"""
+with p as (select distinct page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as at,
+    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as rest from pages),
+n as (select *, case when rest like '/%' then rest else '/' || rest end as path from p),
+v as (select distinct 'hosts' as list, 'host' as kind, host as value from n where host is not null
+  union select distinct 'domains', 'domain', regexp_extract(host, '([^.]+[.][^.]+)$', 1) from n where host is not null
+  union select distinct 'folders', 'prefix', host || regexp_extract(path, '^(/[^/?]*/)', 1) from n where host is not null and regexp_matches(path, '^/[^/?]*/')
+  union select distinct 'urls', 'url', host || path from n where host is not null),
+l as (select list, kind, value, case when kind = 'prefix' then 'allow' else 'block' end as action,
+    date '2024-01-01' + cast({_place(2)} * 15 + {_place(3)} as integer) as dated, {_place(4)} as d4, {_place(5)} as d5
+  from v where value <> '' and {_place(1)} <= 8),
+e as (select list, kind, value, action, dated from l
+  union all select list, kind, value, 'remove', dated + cast(d4 * 9 as integer) from l where d4 <= 10
+  union all select list, kind, value, 'allow', dated + cast(d5 * 20 as integer) from l where d5 <= 6),
+-- of one day's entries allow wins over block over remove, which is their order by name
+i as (select list, kind, value, min(action) as action, dated as since,
+    lead(dated) over (partition by list, kind, value order by dated) as until from e group by list, kind, value, dated),
+c as (
+  select page_id, url, at, 'url' as kind, host || path as value from n where host is not null
+  union all select page_id, url, at, 'host', host from n where host is not null
+  union all select page_id, url, at, 'domain', array_to_string(string_split(host, '.')[k:], '.')
+    from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as k from n where host is not null)
+  union all select page_id, url, at, 'prefix', host || array_to_string(string_split(split_part(path, '?', 1), '/')[1:k], '/') || '/'
+    from (select *, unnest(range(1, len(string_split(split_part(path, '?', 1), '/')))) as k from n where host is not null)),
+m as (select page_id, url, at, i.list, i.kind, i.value, i.action,
+    row_number() over (partition by page_id, url, at order by list_position(['url', 'prefix', 'host', 'domain'], i.kind), -length(i.value), i.action, i.list) as place,
+    count(*) over (partition by page_id, url, at) as n_active
+  from c join i on c.kind = i.kind and c.value = i.value and at >= since and (until is null or at < until) and i.action <> 'remove')
+select p.page_id, p.url, p.at as fetched_at, coalesce(n_active, 0) as n_active, coalesce(action = 'block', false) as blocked, list, kind, value
+from p left join (select * from m where place = 1) m on p.page_id is not distinct from m.page_id and p.url is not distinct from m.url"""
