@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination_report
+from .extract import page_texts
 from .fingerprints import edited_report
 from .packing import pack
 from .quality import quality_scores, train
@@ -123,9 +124,15 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op8_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def _digit(of: Column, n: int) -> Column:
     """Place of the n-th hex digit of the MD5 of a value, from 1 on."""
-    return F.locate(F.substring(F.md5(of), n, 1), F.lit("0123456789abcdef"))
+    return F.call_function("locate", F.substring(F.md5(of), n, 1), F.lit("0123456789abcdef"))
 
 
 def dated_entries(pages: DataFrame) -> DataFrame:
@@ -161,7 +168,7 @@ def _place(n: int) -> str:
 
 
 ORACLES["op2_url_filters"] = f"""
-with p as (select distinct page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as at,
+with p as (select distinct page_id, url, date '2024-01-01' + cast(page_id % 366 as integer) as fday,
     nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') as host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) as rest from pages),
 n as (select *, case when rest like '/%' then rest else '/' || rest end as path from p),
@@ -179,15 +186,15 @@ e as (select list, kind, value, action, dated from l
 i as (select list, kind, value, min(action) as action, dated as since,
     lead(dated) over (partition by list, kind, value order by dated) as until from e group by list, kind, value, dated),
 c as (
-  select page_id, url, at, 'url' as kind, host || path as value from n where host is not null
-  union all select page_id, url, at, 'host', host from n where host is not null
-  union all select page_id, url, at, 'domain', array_to_string(string_split(host, '.')[k:], '.')
+  select page_id, url, fday, 'url' as kind, host || path as value from n where host is not null
+  union all select page_id, url, fday, 'host', host from n where host is not null
+  union all select page_id, url, fday, 'domain', array_to_string(string_split(host, '.')[k:], '.')
     from (select *, unnest(range(1, len(string_split(host, '.')) + 1)) as k from n where host is not null)
-  union all select page_id, url, at, 'prefix', host || array_to_string(string_split(split_part(path, '?', 1), '/')[1:k], '/') || '/'
+  union all select page_id, url, fday, 'prefix', host || array_to_string(string_split(split_part(path, '?', 1), '/')[1:k], '/') || '/'
     from (select *, unnest(range(1, len(string_split(split_part(path, '?', 1), '/')))) as k from n where host is not null)),
-m as (select page_id, url, at, i.list, i.kind, i.value, i.action,
-    row_number() over (partition by page_id, url, at order by list_position(['url', 'prefix', 'host', 'domain'], i.kind), -length(i.value), i.action, i.list) as place,
-    count(*) over (partition by page_id, url, at) as n_active
-  from c join i on c.kind = i.kind and c.value = i.value and at >= since and (until is null or at < until) and i.action <> 'remove')
-select p.page_id, p.url, p.at as fetched_at, coalesce(n_active, 0) as n_active, coalesce(action = 'block', false) as blocked, list, kind, value
+m as (select page_id, url, fday, i.list, i.kind, i.value, i.action,
+    row_number() over (partition by page_id, url, fday order by list_position(['url', 'prefix', 'host', 'domain'], i.kind), -length(i.value), i.action, i.list) as place,
+    count(*) over (partition by page_id, url, fday) as n_active
+  from c join i on c.kind = i.kind and c.value = i.value and fday >= since and (until is null or fday < until) and i.action <> 'remove')
+select p.page_id, p.url, p.fday as fetched_at, coalesce(n_active, 0) as n_active, coalesce(action = 'block', false) as blocked, list, kind, value
 from p left join (select * from m where place = 1) m on p.page_id is not distinct from m.page_id and p.url is not distinct from m.url"""

@@ -219,8 +219,12 @@ def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
     return order, np.cumsum(known[:-1]) - 1
 
 
-def repeated_windows(regions: list[bytes], counts: list[int], length: int = LENGTH) -> list[np.ndarray]:
-    """For each region, which of its windows occur at least twice, a region standing for `counts` equal ones."""
+def repeated_windows(regions: list[bytes], counts: list[int], length: int = LENGTH, low: list | None = None, high: list | None = None) -> list[np.ndarray]:
+    """For each region, which of its windows occur at least twice, a region standing for `counts` equal ones.
+
+    With `low` and `high`, the least and the greatest id of each region's
+    documents, only windows of at least two documents count.
+    """
     text = np.frombuffer(b"".join(r + bytes([SEPARATOR]) for r in regions) + bytes([END]), np.uint8)
     sizes = np.array([len(r) for r in regions])
     begin = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
@@ -228,9 +232,19 @@ def repeated_windows(regions: list[bytes], counts: list[int], length: int = LENG
     for at, size, count in zip(begin.tolist(), sizes.tolist(), counts, strict=True):
         weight[at:at + size - length + 1] = count
     order, group = repeats(text, length)
-    total = np.bincount(group, weight[order].astype(float))
+    if low is None:
+        several = np.bincount(group, weight[order].astype(float)) > 1.5
+    else:
+        of = np.repeat(np.arange(len(regions)), sizes + 1)
+        of = np.append(of, len(regions))[order]
+        real = weight[order] > 0
+        numbers = {v: n for n, v in enumerate(sorted({*low, *high}, key=repr))}
+        least = np.append([numbers[v] for v in low], 0)[of]
+        most = np.append([numbers[v] for v in high], 0)[of]
+        begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        several = np.minimum.reduceat(np.where(real, least, len(numbers)), begins) < np.maximum.reduceat(np.where(real, most, -1), begins)
     twice = np.empty(len(text), bool)
-    twice[order] = total[group] > 1.5
+    twice[order] = several[group]
     return [twice[at:at + size - length + 1] for at, size in zip(begin.tolist(), sizes.tolist(), strict=True)]
 
 
@@ -240,16 +254,19 @@ def spans_of(marks: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _solve(part: pd.DataFrame) -> pd.DataFrame:
+def _solve(part: pd.DataFrame, apart: bool) -> pd.DataFrame:
     part = part.sort_values(["key", "content"])
-    marks = repeated_windows([bytes(b) for b in part["bytes"]], part["count"].tolist())
+    ends = (part["low"].tolist(), part["high"].tolist()) if apart else ()
+    marks = repeated_windows([bytes(b) for b in part["bytes"]], part["count"].tolist(), LENGTH, *ends)
     out = [(k, c, a, b) for k, c, m in zip(part["key"], part["content"], marks, strict=True) for a, b in spans_of(m)]
     return pd.DataFrame(out, columns=["key", "content", "a", "b"])
 
 
-def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK, apart: bool = False) -> DataFrame:
     """(id, a, b): window starts [a, b) of keyed documents whose 200 bytes also start anywhere else.
 
+    With `apart`, in another document (one with another id).
+
     Windows are grouped by content: equal windows have the same key.  Runs of
     a key whose gram occurs once go at once.  Equal runs are counted and kept once,
     and the distinct ones are laid into blocks of about `block` bytes by key;
@@ -262,16 +279,19 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> Data
     runs = window_runs(docs)
     keys = stored(runs.groupBy("key").agg(F.sum("grams").alias("total")).where("total > 1").select("key"))
     met = stored(runs.drop("grams").join(keys, "key"))
-    distinct = met.groupBy("key", "content").agg(F.count("*").alias("count"), F.min(F.struct("id", "start", "n")).alias("one"))
-    distinct = stored(distinct.select("key", "content", "count", "one.*"))
+    distinct = met.groupBy("key", "content").agg(
+        F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "n")).alias("one"))
+    distinct = stored(distinct.select("key", "content", "count", "low", "high", "one.*"))
     crowded = stored(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
     size = distinct.join(crowded, "key", "left_anti").agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
     blocks = max(1, -(-size // block))
 
     asked = distinct.join(crowded, "key", "left_anti").withColumn("single", F.lit(False)).unionByName(
-        met.join(crowded, "key", "left_semi").withColumns({"single": F.lit(True), "count": F.lit(1).cast("long")}))
-    lists = asked.groupBy("id").agg(F.collect_list(F.struct("key", "content", "count", "start", "n", "single")).alias("asked"))
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("count", pa.int64()), ("bytes", pa.binary()), ("id", pa.int64() if kind == "bigint" else pa.string()), ("start", pa.int64())])
+        met.join(crowded, "key", "left_semi").withColumns({"single": F.lit(True), "count": F.lit(1).cast("long"), "low": F.col("id"), "high": F.col("id")}))
+    lists = asked.groupBy("id").agg(F.collect_list(F.struct("key", "content", "count", "low", "high", "start", "n", "single")).alias("asked"))
+    name = pa.int64() if kind == "bigint" else pa.string()
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("count", pa.int64()), ("low", name), ("high", name),
+                        ("bytes", pa.binary()), ("id", name), ("start", pa.int64())])
 
     def cut(batches):
         def each():
@@ -281,24 +301,25 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK) -> Data
                     for w in wants:
                         part = data[w["start"]:w["start"] + w["n"] + LENGTH - 1]
                         if not w["single"]:
-                            yield w["key"], w["content"], w["count"], part, None, None
+                            yield w["key"], w["content"], w["count"], w["low"], w["high"], part, None, None
                             continue
                         _, wide = gram_hashes(np.frombuffer(part, np.uint8))
                         n = np.arange(len(part) - LENGTH + 1)
                         for k, (a, b) in enumerate(zip(wide[n].view(np.int64).tolist(), wide[n + LENGTH - 128].view(np.int64).tolist(), strict=True)):
-                            yield a, b, 1, None, key, w["start"] + k
+                            yield a, b, 1, key, key, None, key, w["start"] + k
         return batches_of(each(), schema, 5_000)
 
     joined = docs.join(lists.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("id", "text", "asked")
-    pieces = stored(joined.mapInArrow(cut, f"key long, content long, count long, bytes binary, id {kind}, start long"))
+    pieces = stored(joined.mapInArrow(cut, f"key long, content long, count long, low {kind}, high {kind}, bytes binary, id {kind}, start long"))
     solved = stored(
         pieces.where("bytes is not null").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-        .groupBy("block").applyInPandas(_solve, "key long, content long, a long, b long"))
+        .groupBy("block").applyInPandas(lambda part: _solve(part, apart), "key long, content long, a long, b long"))
     spans = stored(solved.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
     # a key and content may be asked for of several rows that repeat an id; the spans are the same
     ranges = met.join(spans, ["key", "content"]).select("id", F.col("start").alias("s"), F.inline(F.array_distinct("spans"))).select("id", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
     single = pieces.where("bytes is null").select("key", "content", "id", "start")
-    twice = stored(single.groupBy("key", "content").agg(F.count("*").alias("c")).where("c > 1").select("key", "content"))
+    several = F.min("id") < F.max("id") if apart else F.count("*") > 1
+    twice = stored(single.groupBy("key", "content").agg(several.alias("c")).where("c").select("key", "content"))
     return ranges.unionByName(single.join(twice, ["key", "content"]).select("id", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
 
 
