@@ -266,7 +266,8 @@ def glob_to_java(pattern: str) -> str | None:
     except ValueError:
         return None
     flags, body = body[:4], body[4:]
-    prefix = "" if "/" in pattern else "(?:[\\s\\S]*/)?"
+    # without a slash only the last segment counts, whatever the pattern could cross
+    prefix = "" if "/" in pattern else r"(?:[\s\S]*/)?(?=[^/]*\z)"
     return rf"{flags}\A{prefix}(?:{body})\z"
 
 
@@ -282,3 +283,9 @@ def path_to_java(pattern: str) -> str | None:
     if is_glob(pattern):
         return glob_to_java(pattern)
     return rf"\A{quote(pattern.removesuffix('/'))}(?:\z|/)"
+
+
+def repeats_group(pattern: str) -> bool:
+    """Whether an RE2 pattern puts `*`, `+` or a count after a group."""
+    plain = re.sub(r"\\Q[\s\S]*?(?:\\E|\Z)|\\[\s\S]|\[\^?\]?(?:\[:[^\]]*:\]|\\[\s\S]|[^\]])*\]", "x", pattern)
+    return re.search(r"\)(?:[*+]|\{\d)", plain) is not None

@@ -35,8 +35,15 @@ def byte_len(c: Column | str) -> Column:
 
 
 def lines_raw(content: Column | str) -> Column:
-    """Split on newline; the piece after a final newline is kept."""
-    return F.split(as_col(content).cast("string"), "\n")
+    """Split on newline; the piece after a final newline is kept.
+
+    Content that is not UTF-8 is split byte by byte, so that its lines keep
+    their bytes.
+    """
+    text = as_col(content).cast("string")
+    single = F.split(F.decode(text.cast("binary"), "ISO-8859-1"), "\n")
+    return F.when(F.is_valid_utf8(text), F.split(text, "\n")).otherwise(
+        F.transform(single, lambda line: F.encode(line, "ISO-8859-1").cast("string")))
 
 
 def lines_clean(content: Column | str) -> Column:
@@ -122,8 +129,8 @@ def iso_utc(c: Column | str) -> Column:
 
 
 def first_line(c: Column | str) -> Column:
-    """Text before the first newline, trimmed."""
-    return F.trim(F.substring_index(as_col(c), "\n", 1))
+    """Text before the first newline, without white space around it."""
+    return F.regexp_replace(F.substring_index(as_col(c), "\n", 1), r"(?U)\A\s+|\s+\z", "")
 
 
 def short_hash(c: Column | str) -> Column:

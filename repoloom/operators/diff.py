@@ -12,9 +12,11 @@ from ..functions.linediff import is_binary, line_counts, unified
 from ..functions.paths import not_git, path_filter
 from ..functions.text import lines_raw, utf8_prefix
 from ..numbering import grouped_position
-from ..session import materialize, salted_join, selective, spread
+from ..session import materialize, salted_join, selective
 
 MAX_KB = 256
+# An uncapped document comes in parts of about this size.
+PART_BYTES = 4 * 1024 * 1024
 CAP_MARKER = "\n[truncated by --max-kb]\n"
 # Shortest text a changed file can add to a patch.
 _LEAST_PATCH = 19
@@ -78,7 +80,7 @@ def _with_contents(changed: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     a = a.join(keys.select("project", "before"), ["project", "before"], "left_semi")
     b = b.join(keys.where("status <> 'D'").select("project", "path"), ["project", "path"], "left_semi")
     both = keys.join(a, ["project", "before"], "left").join(b, ["project", "path"], "left").drop("before")
-    return spread(both, "project", "path")
+    return both
 
 
 def diff_stat(old: DataFrame, new: DataFrame, paths: Sequence[str] = (), renames: bool = True) -> DataFrame:
@@ -155,15 +157,13 @@ def diff_documents(
     A patch takes at least 19 bytes, so only the first max_kb * 1024 / 19
     changed files of a project can show; the others are dropped before any
     contents are read.  What is put together is bounded by the cap, except
-    for the size of the one patch that crosses it, which is cut first.
+    for the size of the one patch that crosses it, which is cut first.  With
+    0 nothing is cut: the documents then come in parts (column `part`, from 0).
     """
     if max_kb <= 0:
-        raise ValueError("an uncapped diff is read per file: use diff_unified")
+        return _whole_documents(diff_unified(old, new, paths, renames))
     cap = max_kb * 1024
-    spark = old.sparkSession
     most = cap // _LEAST_PATCH + 1
-    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) < most:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(most))
     by_path = Window.partitionBy("project").orderBy("path")
     first = diff_files(old, new, paths, renames).withColumn("nth", F.row_number().over(by_path)).where(F.col("nth") <= most)
     pieces = _patched(first.drop("nth"), old, new)
@@ -179,6 +179,17 @@ def diff_documents(
     return grouped.select("project", text.alias("diff"), (F.col("bytes") > cap).alias("truncated"))
 
 
+def _whole_documents(patches: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """(project, part, diff, truncated): all patches in path order, a part being closed once it has `part_bytes`."""
+    sized = patches.withColumn("size", F.octet_length("patch").cast("long"))
+    before = F.sum("size").over(Window.partitionBy("project").orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    # sums move without the texts
+    parts = sized.select("project", "path", F.floor(F.coalesce(before, F.lit(0)) / part_bytes).alias("nth"))
+    dense = parts.withColumn("part", F.dense_rank().over(Window.partitionBy("project").orderBy("nth")) - 1).drop("nth")
+    grouped = sized.join(dense, ["project", "path"]).groupBy("project", "part").agg(F.array_sort(F.collect_list(F.struct("path", "patch"))).alias("ps"))
+    return grouped.select("project", "part", F.array_join(F.transform("ps", lambda p: p["patch"]), "").alias("diff"), F.lit(False).alias("truncated"))
+
+
 def diff_endpoints(from_ref: Column, to_ref: Column) -> tuple[Column, Column]:
     """The two sides a diff request compares.
 

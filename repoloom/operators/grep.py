@@ -12,13 +12,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import not_git, path_filter, walk_order
-from ..functions.regexes import path_to_java, re2_to_java
+from ..functions.regexes import path_to_java, re2_to_java, repeats_group
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
-from ..session import salted_join, selective, spread
+from ..session import salted_join, selective
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
@@ -32,16 +33,46 @@ def searchable(files: DataFrame, includes: Sequence[str] = (), excludes: Sequenc
                                       [e for e in excludes if e], globs=True)
         & (size <= SEARCH_MAX_BYTES)
     ).where(is_text("content"))
-    return spread(found.select("project", "path", "content"), "project", "path")
+    return found.select("project", "path", "content")
 
 
 def byte_column(line: Column, java: Column | str) -> Column:
-    """1-based byte offset of the first match in `line`."""
+    """1-based byte offset of the first match in `line`.
+
+    A line that is not UTF-8 is read byte by byte instead, so that a byte
+    counts once whatever it stands for.
+    """
     java = java if isinstance(java, Column) else F.lit(java)
-    before = F.call_function(
-        "regexp_extract", line, F.concat(F.lit(r"(?s)\A(.*?)(?:"), java, F.lit(")")), F.lit(1)
-    )
-    return (F.octet_length(before) + 1).cast("int")
+
+    def before(text: Column) -> Column:
+        return F.call_function("regexp_extract", text, F.concat(F.lit(r"(?s)\A(.*?)(?:"), java, F.lit(")")), F.lit(1))
+
+    single = F.decode(line.cast("binary"), "ISO-8859-1")
+    broken = ~F.is_valid_utf8(line) & F.rlike(single, java)
+    return (F.when(broken, F.char_length(before(single))).otherwise(F.octet_length(before(line))) + 1).cast("int")
+
+
+def first_byte(line: Column, pattern: str) -> Column:
+    """1-based byte offset of the first match in `line`, or 0 if there is none.
+
+    Java's matcher recurses once for each repetition of a group, so on a long
+    line such a pattern can end the executor.  A pattern that repeats a group
+    is matched by RE2 itself (through Arrow, in linear time and on bytes), any
+    other one in the JVM; which of the two depends on the pattern alone.
+    """
+    if not repeats_group(pattern):
+        java = re2_to_java(pattern)
+        return F.when(line.rlike(java), byte_column(line, java)).otherwise(0)
+    re2_to_java(pattern)  # refuses what is no RE2 pattern
+
+    @F.arrow_udf("int")
+    def found(lines: pa.Array) -> pa.Array:
+        import pyarrow.compute as pc
+
+        at = pc.find_substring_regex(lines, f"(?m:{pattern})")
+        return pc.add(pc.fill_null(at, -1), 1).cast(pa.int32())
+
+    return found(line)
 
 
 def grep_lines(
@@ -53,14 +84,18 @@ def grep_lines(
     context the lines stream through a generator; with it, hits are cut out of
     the line array before they become rows.
     """
-    java = re2_to_java(pattern)
     found = searchable(files, includes, excludes)
-    if context <= 0:
+    if context <= 0 or repeats_group(pattern):
         lines = found.select("project", "path", F.posexplode(lines_raw("content")).alias("at", "text"))
-        hits = lines.where(F.col("text").rlike(java)).select(
-            "project", "path", (F.col("at") + 1).alias("line"), byte_column(F.col("text"), java).alias("column"), "text"
-        )
-        return hits
+        placed = lines.withColumn("column", first_byte(F.col("text"), pattern)).where("column > 0")
+        hits = placed.select("project", "path", (F.col("at") + 1).alias("line"), "column", "text")
+        if context <= 0:
+            return hits
+        spots = hits.groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("line", "column"))).alias("spots"))
+        near = found.join(spots, ["project", "path"]).withColumn("lines", lines_raw("content"))
+        around = F.transform("spots", lambda s: _with_context(F.col("lines"), s["line"], s["line"], s["column"], context))
+        return near.select("project", "path", F.explode(around).alias("m")).select("project", "path", "m.*")
+    java = re2_to_java(pattern)
     matches = let(
         lines_raw("content"),
         lambda lines: F.transform(
@@ -149,6 +184,12 @@ def cap_matches(matches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
 
 def grep_counts(files: DataFrame, pattern: str, **filters: Sequence[str]) -> DataFrame:
     """Matching lines and all lines per file, for files with a match."""
+    if repeats_group(pattern):
+        found = searchable(files, **filters)
+        hits = grep_lines(files, pattern, **filters).groupBy("project", "path").agg(F.count("*").cast("int").alias("matches"))
+        split = lines_raw("content")
+        sizes = found.select("project", "path", let(split, lambda lines: F.size(lines) - F.when(F.get(lines, F.size(lines) - 1) == "", 1).otherwise(0)).alias("lines"))
+        return sizes.join(hits, ["project", "path"]).select("project", "path", "matches", "lines")
     java = re2_to_java(pattern)
     counted = searchable(files, **filters).select(
         "project", "path",

@@ -11,13 +11,11 @@ def cap_per_group(df: DataFrame, keys: list[str], order: list[Column | str], lim
 
     One row more than the cap is kept until the flag is known.  The filter on
     the row number lets Spark cut every group before the shuffle, so a huge
-    group sends at most limit + 1 rows per task.
+    group sends at most limit + 1 rows per task (for caps below the session's
+    spark.sql.optimizer.windowGroupLimitThreshold; the rows are the same).
     """
     if limit <= 0:
         return df.withColumn("truncated", F.lit(False))
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000")) <= limit:
-        spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", str(limit + 1))
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     probe = ranked.where(F.col("_rn") <= limit + 1)
     seen = F.count("*").over(Window.partitionBy(*keys))

@@ -7,7 +7,7 @@ writes the results.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import checkout_dir, checkout_id, name_from_url, ref_name_problem, repo_name_problem
@@ -179,19 +179,20 @@ def register_fetch(repos: DataFrame, checkouts: DataFrame, arrivals: DataFrame,
     """Outcome of arrivals(url, name, ref, kind, commit_hash, shallow).
 
     The name defaults to the one the URL implies; outcome is "registered" or
-    why not.  `new_repos` and `new_checkouts` turn it into rows to insert.
+    why not.  Of several arrivals with one name the first by URL, ref and
+    commit has it.  `new_repos` and `new_checkouts` turn it into rows to insert.
     """
     name = F.when(F.coalesce("name", F.lit("")) != "", F.col("name")).otherwise(name_from_url("url"))
-    taken = checkouts.select(F.col("id").alias("name"), F.lit(True).alias("taken"))
-    named = arrivals.withColumn("name", name)
-    first = named.groupBy("name").agg(F.min("url").alias("first_url"))
+    taken = checkouts.select(F.col("id").alias("name")).union(repos.select("name")).distinct().withColumn("taken", F.lit(True))
+    claim = Window.partitionBy("name").orderBy("url", "ref", "commit_hash")
+    named = arrivals.withColumn("name", name).withColumn("claim", F.row_number().over(claim))
     problem = (
         F.when(F.col("name") == "", "no name in URL")
         .when(repo_name_problem("name").isNotNull(), F.concat(F.lit("bad name: "), repo_name_problem("name")))
         .when(F.col("taken"), "already tracked")
-        .when(F.col("url") != F.col("first_url"), "name claimed by another arrival")
+        .when(F.col("claim") > 1, "name claimed by another arrival")
     )
-    return named.join(taken, "name", "left").join(first, "name").select(
+    return named.join(taken, "name", "left").select(
         "url", "name", F.coalesce(problem, F.lit("registered")).alias("outcome"),
         F.coalesce("ref", F.lit("")).alias("ref"), "kind", "commit_hash", "shallow",
         F.concat(F.lit(root.rstrip("/") + "/"), "name").alias("path"), at.alias("at"),
@@ -219,12 +220,13 @@ def new_checkouts(outcome: DataFrame) -> DataFrame:
 def pin_checkouts(
     checkouts: DataFrame, symbols: DataFrame, pins: DataFrame, resolved: DataFrame, root: str, at: Column
 ) -> DataFrame:
-    """Outcome of pins(repo, ref): existing (with its symbol count), pinned, or why not.
+    """Outcome of pins(repo, ref): existing (as stored, with its symbol count), pinned, or why not.
 
     resolved(repo, ref, kind, commit_hash) names the commits; a pin whose
-    folder another checkout uses (ignoring case) is refused, and so is the
-    later one of two pins that would share a folder.
+    path another checkout of the repo uses (ignoring case) is refused, and so
+    is the later one of two pins that would share a folder.
     """
+    base = root.rstrip("/") + "/"
     counts = count_symbols(checkouts, symbols)
     asked = (
         pins.select("repo", "ref").distinct()
@@ -232,15 +234,14 @@ def pin_checkouts(
         .withColumn("folder", checkout_dir("repo", "ref"))
     )
     default = checkouts.where("id = repo").select("repo", F.lit(True).alias("tracked"))
-    existing = checkouts.join(counts, "id").select("id", "symbol_count", F.lit(True).alias("exists"))
-    used = checkouts.where("id <> repo").groupBy(
-        "repo", F.lower(checkout_dir("repo", "ref")).alias("key")
-    ).agg(F.min("id").alias("holder"))
+    existing = checkouts.join(counts, "id").select(
+        "id", "symbol_count", F.lit(True).alias("exists"), F.col("kind").alias("old_kind"), F.col("commit_hash").alias("old_hash"), F.col("path").alias("old_path"))
+    used = checkouts.where("id <> repo").groupBy("repo", F.lower("path").alias("held")).agg(F.min("id").alias("holder"))
     claims = asked.groupBy("repo", F.lower("folder").alias("key")).agg(F.min("id").alias("claimer"))
     what = resolved.select("repo", "ref", "kind", "commit_hash")
     j = (
-        asked.withColumn("key", F.lower("folder"))
-        .join(default, "repo", "left").join(existing, "id", "left").join(used, ["repo", "key"], "left")
+        asked.withColumn("key", F.lower("folder")).withColumn("held", F.lower(F.concat(F.lit(base), "folder")))
+        .join(default, "repo", "left").join(existing, "id", "left").join(used, ["repo", "held"], "left")
         .join(claims, ["repo", "key"]).join(what, ["repo", "ref"], "left")
     )
     problem = (
@@ -253,7 +254,8 @@ def pin_checkouts(
         .otherwise("pinned")
     )
     return j.select(
-        "id", "repo", "ref", problem.alias("outcome"), "kind", "commit_hash",
+        "id", "repo", "ref", problem.alias("outcome"), F.when(F.col("exists"), F.col("old_kind")).otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("exists"), F.col("old_hash")).otherwise(F.col("commit_hash")).alias("commit_hash"),
         F.coalesce("symbol_count", F.lit(0)).cast("long").alias("symbol_count"),
-        F.concat(F.lit(root.rstrip("/") + "/"), "folder").alias("path"), at.alias("at"),
+        F.when(F.col("exists"), F.col("old_path")).otherwise(F.concat(F.lit(base), "folder")).alias("path"), at.alias("at"),
     )

@@ -32,14 +32,16 @@ def read_files(files: DataFrame, requests: DataFrame, max_kb: int = READ_MAX_KB)
     the XML element.  Checks run in this order: path, missing, folder, size,
     binary, line range, range past the end.
     """
-    asked = selective(requests).select(
+    asked = requests.select(
         "*", clean_path("path").alias("target"), path_problem("path").alias("unsafe"), line_range("line_range").alias("r")
     )
     size = F.col("size") if "size" in files.columns else byte_len("content")
     stored = files.where(not_git("path")).select(
         "project", F.col("path").alias("target"), size.cast("long").alias("size"), "content"
     )
-    found = asked.join(stored, ["project", "target"], "left")
+    # Contents are narrowed to the requested files first: that side of a semi join may be broadcast.
+    wanted = stored.join(selective(asked.select("project", "target").distinct()), ["project", "target"], "left_semi")
+    found = asked.join(wanted, ["project", "target"], "left")
     dirs = _folders(files.where(not_git("path")), asked.join(stored.select("project", "target"), ["project", "target"], "left_anti"))
     j = found.join(dirs, ["project", "target"], "left")
 

@@ -6,13 +6,13 @@ from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import SOURCE_LANGS, in_skipped_dir, source_lang
 from ..functions.scan import definitions, enclosing
 from ..functions.text import like_ascii_ci, name_pattern, name_pattern_col, split_list
-from ..session import salted_join, spread
+from ..session import salted_join
 from .limits import cap_all, cap_per_group
 
 DEFAULT_LIMIT = 500
@@ -43,7 +43,7 @@ def extract_definitions(files: DataFrame, skip_dirs: bool = True) -> DataFrame:
             yield pd.DataFrame(rows, columns=columns)
 
     narrow = sources.select("project", "path", "lang", F.col("content").cast("binary").alias("content"))
-    return spread(narrow, "project", "path").mapInPandas(run, DEFINITIONS)
+    return narrow.mapInPandas(run, DEFINITIONS)
 
 
 def _rows(project: str, path: str, lang: str, content: bytes | None) -> list[tuple]:
@@ -192,15 +192,29 @@ REQUESTS = "req_id string, project string, name string, kinds array<string>, lan
 
 
 def find_symbols_batch(symbols: DataFrame, requests: DataFrame, limit: int = DEFAULT_LIMIT, salts: int = 8) -> DataFrame:
-    """Many symbol requests, each against its checkout, each with its cap."""
-    asked = requests.select("req_id", "project", name_pattern_col("name").alias("pattern"), "kinds", "langs")
+    """Many symbol requests, each against its checkout, each with its cap.
+
+    A request's own limit goes before `limit`; 0 keeps all.  Null lists, like
+    empty ones, let all pass.
+    """
+    none = F.array().cast("array<string>")
+    cap = F.coalesce("limit", F.lit(limit)) if "limit" in requests.columns else F.lit(limit)
+    asked = requests.select(
+        "req_id", "project", name_pattern_col(F.coalesce("name", F.lit(""))).alias("pattern"), F.coalesce("kinds", none).alias("kinds"),
+        F.coalesce("langs", none).alias("langs"), cap.alias("cap"))
     pairs = salted_join(symbols, asked, ["project"], F.concat("path", "name"), salts)
     keep = (
         ((F.col("pattern") == "") | like_ascii_ci("name", F.col("pattern")))
         & ((F.size("kinds") == 0) | F.array_contains("kinds", F.col("kind")))
         & ((F.size("langs") == 0) | F.array_contains("langs", F.col("lang")))
     )
-    return cap_per_group(_shown(pairs.where(keep), "req_id"), ["req_id"], ["path", "line", "name"], limit)
+    found = _shown(pairs.where(keep), "req_id", "cap")
+    if "limit" not in requests.columns:
+        return cap_per_group(found.drop("cap"), ["req_id"], ["path", "line", "name"], limit)
+    order = Window.partitionBy("req_id").orderBy("path", "line", "name")
+    ranked = found.withColumns({"_rn": F.row_number().over(order), "_all": F.count("*").over(Window.partitionBy("req_id"))})
+    kept = ranked.where((F.col("cap") <= 0) | (F.col("_rn") <= F.col("cap")))
+    return kept.withColumn("truncated", (F.col("cap") > 0) & (F.col("_all") > F.col("cap"))).drop("_rn", "_all", "cap")
 
 
 def compare_versions(symbols: DataFrame, pairs: DataFrame) -> DataFrame:

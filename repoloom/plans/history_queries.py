@@ -49,9 +49,33 @@ def log_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("log_by_joins", f"select c.repo, h.head, hash from commits c join ({HEADS_SQL}) h on c.repo = h.repo and c.rn <= h.head_rn")
 def log_by_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The walk for histories too long for one task, for every repo."""
+    """All commits that the heads of every repo reach."""
     c = _graph(spark, sf_dir)
-    return history.reachable(c, _heads(c), task_commits=0)
+    return history.reachable(c, _heads(c))
+
+
+# Every fifth commit merges a side commit that left the trunk three commits before.
+MERGED_SQL = """
+select repo, hash, parent as up from commits where parent is not null
+union all select repo, hash, md5(concat(hash, 's')) from commits where rn % 5 = 0
+union all select a.repo, md5(concat(a.hash, 's')), b.hash from commits a join commits b on a.repo = b.repo and b.rn = a.rn - 3 where a.rn % 5 = 0"""
+
+
+@query("log_merges", f"""
+select * from (with recursive up as ({MERGED_SQL}),
+heads as (select repo, md5(concat(hash, 's')) as head from commits where rn % 50 = 0),
+walk as (select repo, head, head as hash from heads union select w.repo, w.head, up.up from walk w join up on up.repo = w.repo and up.hash = w.hash)
+select repo, head, hash from walk) q""")
+def log_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What some side commits reach in histories full of merges."""
+    c = views.commits(spark, sf_dir)
+    side = F.md5(F.concat("hash", F.lit("s")))
+    merge = F.col("rn") % 5 == 0
+    trunk = c.select("repo", "hash", F.array_compact(F.array("parent", F.when(merge, side))).alias("parents"))
+    before = c.select("repo", (F.col("rn") + 3).alias("rn"), F.col("hash").alias("base"))
+    sides = c.where(merge).join(before, ["repo", "rn"], "left").select("repo", side.alias("hash"), F.array_compact(F.array("base")).alias("parents"))
+    heads = c.where(F.col("rn") % 50 == 0).select("repo", side.alias("head"))
+    return history.reachable(trunk.unionByName(sides), heads)
 
 
 def _raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,6 +47,14 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.files(spark, sf_dir).where(keep).select("project", "path")
 
 
+@query("glob_base_name", r"""
+select project, path from files
+where regexp_matches(path, '(^|/)f[^/]*7[^/]*$') or regexp_matches(path, '(^|/)R[^x/][^/]*$')""")
+def glob_base_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Globs without a slash look at the last segment, whatever they could cross."""
+    return views.files(spark, sf_dir).where(paths.path_filter("path", ["f**7**", "R[^x]**"], globs=True)).select("project", "path")
+
+
 @query("dir_counts", """
 select project, case when contains(path, '/') then regexp_extract(path, '^(.*)/[^/]*$', 1) else '.' end as dir, count(*) as file_count
 from files group by 1, 2""")
@@ -149,6 +157,14 @@ def grep_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_lines(views.files(spark, sf_dir), "(?i)É[a-z]*MENT", ["*.md"], ["src"])
 
 
+REPEATED = r"(\w+tion,? )+\w+|(?:an|th)+[a-z]*ing\b"
+
+
+@query("grep_repeated_groups", f"select project, path, line, {first_match(REPEATED)} as \"column\", text from ({LINES}) where regexp_matches(text, '{REPEATED}')")
+def grep_repeated_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grep.grep_lines(views.files(spark, sf_dir), REPEATED)
+
+
 @query("grep_empty_lines", f"select project, path, line, 1 as \"column\", text from ({LINES}) where text = ''")
 def grep_empty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`^$` also hits the empty piece after a final newline."""

@@ -161,6 +161,21 @@ def symbols_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.find_symbols_batch(s, asked, limit=12)
 
 
+@query("symbols_batch_limits", f"""
+with asked as (select distinct project as req_id, project, cast(substring(md5(project), 1, 1) in ('0', '1', '2', '3', '4', '5', '6', '7') as int) * 7 as lim from symbols)
+select req_id, {SHOWN}, lim > 0 and hits > lim as truncated from (
+ select a.req_id, a.lim, s.*, row_number() over (partition by a.req_id order by s.path, s.line, s.name) as rn, count(*) over (partition by a.req_id) as hits
+ from symbols s join asked a on s.project = a.project where s.kind <> 'type') where lim = 0 or rn <= lim""")
+def symbols_batch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests with limits of their own, 0 for all, and null lists."""
+    s = views.symbols(spark, sf_dir).where("kind <> 'type'")
+    none = F.lit(None).cast("array<string>")
+    asked = s.select("project").distinct().select(
+        F.col("project").alias("req_id"), "project", F.lit("").alias("name"), none.alias("kinds"), none.alias("langs"),
+        F.when(F.substring(F.md5("project"), 1, 1) < "8", 7).otherwise(0).alias("limit"))
+    return ops.find_symbols_batch(s, asked)
+
+
 VERSIONS_SQL = """
 select project, path, name, kind, line, end_line, parent from symbols
 union all select concat(project, '@v2'), path, case when line % 12 = 4 then concat(name, '_new') else name end, kind,

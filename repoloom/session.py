@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Caps of up to this many rows per group are cut before the shuffle.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "20000",
 }
 
 
@@ -74,10 +76,10 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], salt_of: Column
 def selective(df: DataFrame, key: str = "project") -> DataFrame:
     """The rows of a list of projects, marked as a selective filter.
 
-    Every key passes the comparison.  Its presence lets Spark prune the
-    partitions of a table joined on `key` to those in the list.
+    Every key passes the comparison, the empty one too.  Its presence lets
+    Spark prune the partitions of a table joined on `key` to those in the list.
     """
-    return df.where(F.col(key) > "")
+    return df.where(F.col(key) >= "")
 
 
 def rows_of(table: DataFrame, projects: DataFrame, salt_of: Column, salts: int = 16) -> DataFrame:
@@ -88,13 +90,3 @@ def rows_of(table: DataFrame, projects: DataFrame, salt_of: Column, salts: int =
     """
     return salted_join(table, selective(projects.select("project").distinct()), ["project"], salt_of, salts)
 
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Split a table of few input files over all cores before heavy work.
-
-    A table of many files is left as it is: its scan is spread already.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or len(df._jdf.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores, *keys)

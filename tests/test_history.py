@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repoloom.functions import linediff
 from repoloom.operators import diff, history
-from repoloom.session import rows_of, scratch_dir
+from repoloom.session import materialize, rows_of, scratch_dir
 from repoloom.sources import tables
 from repoloom.sources.history import parse_commit_log, parse_remote_refs
 from repoloom.streaming import refs as streams
@@ -43,13 +43,12 @@ def random_graph(seed, n=60):
     return edges
 
 
-def test_both_walks_find_the_ancestors(spark):
+def test_walk_finds_the_ancestors(spark):
     edges = random_graph(5) + [("q", "solo", ["missing"])]
     commits = graph(spark, edges)
     heads = spark.createDataFrame([("r", "c59"), ("r", "c30"), ("q", "solo")], "repo string, head string")
     want = {("r", "c59", h) for h in ancestors(edges, "c59")} | {("r", "c30", h) for h in ancestors(edges, "c30")} | {("q", "solo", "solo")}
     assert {tuple(r) for r in history.reachable(commits, heads).collect()} == want
-    assert {tuple(r) for r in history.reachable(commits, heads, task_commits=0).collect()} == want
 
 
 def test_log(spark):
@@ -260,6 +259,25 @@ def test_caps(spark):
     assert [t.name for t in got] == ["v0", "v1", "v2"] and all(t.truncated for t in got)
 
 
+def test_rows_grow_with_commits_not_with_merges(spark, monkeypatch):
+    counted = []
+
+    def store(df, where=None):
+        df = materialize(df, where)
+        counted.append(df.count())
+        return df
+
+    monkeypatch.setattr(history, "materialize", store)
+    edges, n = [("r", "c0", [])], 600
+    for i in range(1, n):
+        edges += [("r", f"s{i}", [f"c{i - 1}"]), ("r", f"c{i}", [f"c{i - 1}", f"s{i}"])]
+    edges.append(("r", "none", None))
+    heads = spark.createDataFrame([("r", f"c{n - 1}"), ("r", "none"), ("r", "unknown"), ("r", "s7")], "repo string, head string")
+    got = {(r.head, r.hash) for r in history.reachable(graph(spark, edges), heads).collect()}
+    assert got == {(f"c{n - 1}", h) for h in ancestors(edges[:-1], f"c{n - 1}")} | {("none", "none")} | {("s7", h) for h in ancestors(edges[:-1], "s7")}
+    assert max(counted) <= 3 * len(edges)
+
+
 def test_many_heads_of_one_repo(spark):
     edges = random_graph(9, 90)
     heads = spark.createDataFrame([("r", f"c{i}") for i in range(90)], "repo string, head string")
