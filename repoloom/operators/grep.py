@@ -15,11 +15,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.paths import not_git, path_filter, walk_order
 from ..functions.regexes import path_to_java, re2_to_java, repeats_group
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
-from ..session import salted_join, selective
+from ..session import selective
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
@@ -210,8 +211,8 @@ REQUESTS = (
 
 
 def compile_requests(requests: DataFrame) -> DataFrame:
-    """Requests with their Java patterns; `problem` says why one is refused."""
-    schema = "req_id string, project string, java string, keep array<string>, drop array<string>, all_in boolean, problem string"
+    """Requests with their Java patterns; `problem` says why one is refused, `re2` is set where RE2 has to match."""
+    schema = "req_id string, project string, java string, re2 string, keep array<string>, drop array<string>, all_in boolean, problem string"
 
     def paths(patterns: object) -> list[str]:
         return [j for p in (() if patterns is None else patterns) if (j := path_to_java(p)) is not None]
@@ -224,28 +225,44 @@ def compile_requests(requests: DataFrame) -> DataFrame:
                     java, problem = re2_to_java(pattern), None
                 except ValueError as error:
                     java, problem = None, str(error)
-                rows.append((req_id, project, java, paths(includes), paths(excludes),
+                re2 = pattern if problem is None and repeats_group(pattern) else None
+                rows.append((req_id, project, java, re2, paths(includes), paths(excludes),
                              includes is None or len(includes) == 0, problem))
-            yield pd.DataFrame(rows, columns=["req_id", "project", "java", "keep", "drop", "all_in", "problem"])
+            yield pd.DataFrame(rows, columns=["req_id", "project", "java", "re2", "keep", "drop", "all_in", "problem"])
 
     return requests.select("req_id", "project", "pattern", "includes", "excludes").mapInPandas(run, schema)
 
 
-def grep_batch(files: DataFrame, requests: DataFrame, salts: int = 16) -> DataFrame:
+def grep_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
     """Many requests against many checkouts in one job.
 
-    A request names its checkout, so requests meet files by project.  That
-    join moves file contents, hence the salt: a project holding a large share
-    of all files is spread over `salts` tasks, and Spark broadcasts the
-    requests instead when their measured size allows it.
+    The requests of a checkout are one array, so each file is joined and split
+    once whatever their number.  Spark broadcasts the requests when their
+    measured size allows it, and else splits a checkout that holds a large
+    share of the files (adaptive skew joins).  Patterns that repeat a group
+    are matched by RE2, as in first_byte().
     """
-    asked = compile_requests(selective(requests)).where("problem is null").drop("problem")
-    pairs = salted_join(searchable(files), asked, ["project"], F.col("path"), salts).where(
-        (F.col("all_in") | F.exists("keep", lambda p: F.rlike(F.col("path"), p)))
-        & ~F.exists("drop", lambda p: F.rlike(F.col("path"), p))
-    )
-    lines = pairs.select("req_id", "project", "path", "java", F.posexplode(lines_raw("content")).alias("at", "text"))
-    return lines.where(F.rlike("text", F.col("java"))).select(
-        "req_id", "project", "path", (F.col("at") + 1).alias("line"),
-        byte_column(F.col("text"), F.col("java")).alias("column"), "text",
-    )
+    asked = compile_requests(requests).where("problem is null").drop("problem")
+    held = selective(asked.groupBy("project").agg(F.collect_list(F.struct("req_id", "java", "re2", "keep", "drop", "all_in")).alias("asked")))
+    wanted = F.filter("asked", lambda r: (r["all_in"] | F.exists(r["keep"], lambda p: F.rlike(F.col("path"), p)))
+                      & ~F.exists(r["drop"], lambda p: F.rlike(F.col("path"), p)))
+    met = searchable(files).join(held, "project").withColumn("asked", wanted).where(F.size("asked") > 0)
+    lines = met.select("project", "path", "asked", F.posexplode(lines_raw("content")).alias("at", "text"))
+    fits = F.filter("asked", lambda r: r["re2"].isNotNull() | F.rlike(F.col("text"), r["java"]))
+    each = lines.select("project", "path", "at", "text", F.explode(fits).alias("r")).select("project", "path", "at", "text", "r.req_id", "r.java", "r.re2")
+    plain = each.where("re2 is null").withColumn("column", byte_column(F.col("text"), F.col("java")))
+    re2 = each.where("re2 is not null").withColumn("column", _first_bytes(F.col("text"), F.col("re2"))).where("column > 0")
+    return plain.unionByName(re2).select("req_id", "project", "path", (F.col("at") + 1).alias("line"), "column", "text")
+
+
+@F.arrow_udf(T.IntegerType())
+def _first_bytes(lines: pa.Array, patterns: pa.Array) -> pa.Array:
+    """first_byte() for a pattern in each row."""
+    import pyarrow.compute as pc
+
+    out = np.zeros(len(lines), np.int32)
+    for pattern in pc.unique(patterns).to_pylist():
+        rows = np.flatnonzero(pc.equal(patterns, pattern).to_numpy(zero_copy_only=False))
+        at = pc.find_substring_regex(lines.take(pa.array(rows)), f"(?m:{pattern})")
+        out[rows] = pc.fill_null(at, -1).to_numpy(zero_copy_only=False) + 1
+    return pa.array(out)

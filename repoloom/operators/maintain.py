@@ -132,9 +132,11 @@ def advance(projects: DataFrame, heads: DataFrame, resolved: DataFrame, at: Colu
     heads(id, commit_hash) is the commit each checkout had checked out,
     resolved(id, kind, commit_hash, problem) what its ref names now.  A commit
     pin never moves.  A checkout changed when either hash is unknown or they
-    differ; its time is stamped only when something moved.
+    differ; its time is stamped only when something moved.  Where heads has a
+    `branch`, a checkout on a local branch has that as its ref from now on.
     """
-    before = heads.select("id", F.col("commit_hash").alias("before"))
+    branch = F.col("branch") if "branch" in heads.columns else F.lit(None).cast("string")
+    before = heads.select("id", F.col("commit_hash").alias("before"), branch.alias("on_branch"))
     now = resolved.select(
         "id", F.col("kind").alias("now_kind"), F.col("commit_hash").alias("now_hash"), F.col("problem").alias("why")
     )
@@ -145,7 +147,7 @@ def advance(projects: DataFrame, heads: DataFrame, resolved: DataFrame, at: Colu
     after = F.when(pinned, F.col("commit_hash")).otherwise(F.coalesce("now_hash", blank))
     kind = F.when(pinned | ~found, F.col("kind")).otherwise(F.col("now_kind"))
     p = p.select(
-        "id", "repo", "ref", kind.alias("new_kind"), "kind", F.coalesce("before", blank).alias("prev_commit"),
+        "id", "repo", F.when(pinned, F.col("ref")).otherwise(F.coalesce("on_branch", "ref")).alias("ref"), kind.alias("new_kind"), "kind", F.coalesce("before", blank).alias("prev_commit"),
         after.alias("commit"), F.col("commit_hash").alias("recorded"), "updated_at", "parsed_at",
         F.when(~pinned & ~found, F.coalesce("why", F.lit("ref not resolved"))).alias("error"),
     )

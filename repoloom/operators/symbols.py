@@ -118,11 +118,10 @@ def build_index(files: DataFrame) -> DataFrame:
 
 def extract_totals(files: DataFrame) -> DataFrame:
     """Files parsed and symbols found per project; projects without sources count 0."""
-    parsed = files.where(source_lang("path").isNotNull() & ~in_skipped_dir("path")).groupBy("project").agg(
-        F.count("*").alias("files_parsed")
-    )
+    is_parsed = source_lang("path").isNotNull() & ~in_skipped_dir("path")
+    listed = files.groupBy("project").agg(F.count(F.when(is_parsed, 1)).alias("files_parsed"))
     found = build_index(files).groupBy("project").agg(F.count("*").alias("symbols"))
-    return files.select("project").distinct().join(parsed, "project", "left").join(found, "project", "left").select(
+    return listed.join(found, "project", "left").select(
         "project", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("files_parsed", "symbols")]
     )
 

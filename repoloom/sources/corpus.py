@@ -61,7 +61,8 @@ def manifest_of(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
     """manifest rows for folders the driver can list: {project: root folder}.
 
     Each root is listed in its own task; an unreadable subfolder is skipped
-    and an unreadable root fails the job.
+    and an unreadable root fails the job.  The rows are then dealt out by
+    location, so the files of one root are read by many tasks.
     """
     schema = "project string, path string, location string"
 
@@ -79,7 +80,9 @@ def manifest_of(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
                             "location": full,
                         })
 
-    return spark.createDataFrame(list(roots.items()), "project string, root string").mapInPandas(walk, schema)
+    walked = spark.createDataFrame(list(roots.items()), "project string, root string").mapInPandas(walk, schema)
+    # a number, because Spark would coalesce so few bytes of names into one partition again
+    return walked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "location")
 
 
 def land_files(files: DataFrame, location: str) -> None:

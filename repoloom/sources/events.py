@@ -39,7 +39,8 @@ def parse_grep_events(lines: DataFrame, context: int, limit: int = 0, seq_block:
         F.regexp_replace("e.data.lines.text", r"\n+\z", "").alias("text"),
     )
     dense = grouped_position(events, ["stream"], F.floor(F.col("seq") / seq_block), ["seq"], "at")
-    spread = with_halo(dense, "at", _BLOCK, 2 * context, max(context, 1))
+    # a halo reaches the neighbouring block only, so a block is at least as long
+    spread = with_halo(dense, "at", max(_BLOCK, 2 * context), 2 * context, max(context, 1))
     near = Window.partitionBy("stream", "block").orderBy("at")
     item = F.struct("type", "text")
     framed = spread.withColumn("ahead", F.collect_list(item).over(near.rowsBetween(1, max(context, 1)))).withColumn(

@@ -71,6 +71,20 @@ def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
     )
 
 
+def drop_symbols(removed: DataFrame, root: str) -> int:
+    """Delete the index of the checkouts in removed(project) from disk; how many there were.
+
+    Only the folder names of the removed checkouts come to the driver.
+    """
+    spark = removed.sparkSession
+    stored = read_symbols(spark, root).select("project", F.regexp_replace(F.input_file_name(), r"/[^/]*\z", "").alias("folder")).distinct()
+    folders = [r.folder for r in stored.join(removed.select("project").distinct(), "project", "left_semi").select("folder").distinct().collect()]
+    for folder in folders:
+        fs, path = _fs(spark, folder)
+        fs.delete(path, True)
+    return len(folders)
+
+
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """Symbols proper, without the rows that mark a project as indexed."""
     return read_symbols(spark, root).where(F.col("name").isNotNull())

@@ -283,3 +283,27 @@ def test_many_heads_of_one_repo(spark):
     heads = spark.createDataFrame([("r", f"c{i}") for i in range(90)], "repo string, head string")
     got = history.reachable(graph(spark, edges), heads).collect()
     assert {(r.head, r.hash) for r in got} == {(f"c{i}", h) for i in range(90) for h in ancestors(edges, f"c{i}")}
+
+
+def test_dropped_checkouts_leave_the_stored_index(spark, tmp_path):
+    from repoloom.sources import tables
+
+    rows = [(p, "a.py", n, "class", 1, 2, None, "python") for p in ("one", "two", "x@v") for n in ("A", "B")]
+    index = spark.createDataFrame(rows, "project string, path string, name string, kind string, line int, end_line int, parent string, lang string")
+    tables.write_symbols(index, index.select("project"), str(tmp_path))
+    gone = spark.createDataFrame([("one",), ("x@v",), ("never",)], "project string")
+    assert tables.drop_symbols(gone, str(tmp_path)) == 2
+    assert {r.project for r in tables.read_symbols(spark, str(tmp_path)).collect()} == {"two"}
+
+
+def test_hints_and_uncapped_documents(spark, make_files):
+    refs = spark.createDataFrame([("r", "refs/heads/m", "h"), ("q", "refs/tags/t", "h")], "repo string, full_name string, hash string")
+    objects = spark.createDataFrame([], "repo string, hash string, target string")
+    repos = spark.createDataFrame([("r", True), ("q", False)], "name string, shallow boolean")
+    assert "r" in history.branches(refs, repos=repos).first().hint and history.tags(refs, objects, repos=repos).first().hint is None
+    old, new = make_files({"a": "1\n", "b": "2\n"}), make_files({"a": "3\n", "b": "4\n", "c": "5\n"})
+    parts = diff.diff_documents(old, new, max_kb=0).orderBy("project", "part").collect()
+    patches = [r.patch for r in diff.diff_unified(old, new).orderBy("path").collect()]
+    assert "".join(r.diff for r in parts) == "".join(patches) and not any(r.truncated for r in parts)
+    small = diff._whole_documents(diff.diff_unified(old, new), 10).orderBy("part").collect()
+    assert [r.part for r in small] == [0, 1, 2] and [r.diff for r in small] == patches
