@@ -93,7 +93,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stored(fingerprints(docs, id_col, text_col, words))
     distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
-    roots = components(ball_links(distinct, radius))
+    roots = components(stored(ball_links(distinct, radius)))
     rooted = stored(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("class_size"))
     members = stored(rooted.select("fp", "root").join(classes, "root"))
