@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import sys
+from array import array
 from functools import lru_cache
 
 CACHE_WORDS = 400_000
@@ -51,7 +53,10 @@ class Encoder:
         self.full = None
 
     def plain(self, text: str) -> bytes:
-        return self.own.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        ids = array("I", self.own.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def special(self, text: str) -> bytes:
         """A text with the string of a special token, by the slower library that knows it."""
