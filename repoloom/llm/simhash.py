@@ -19,7 +19,6 @@ SIMILARITY = 0.8
 WORDS = 5
 VIEWS = 16
 VIEW_SHINGLES = 4
-SKETCH = 256
 _MIX = np.random.default_rng(SEED).integers(0, 2**63, VIEWS * VIEW_SHINGLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -112,6 +111,27 @@ def views(hashes: np.ndarray) -> list[int]:
     return [simhash(np.append(part, part[:1] ^ np.uint64(n))) for n, part in enumerate(least.reshape(VIEWS, VIEW_SHINGLES))]
 
 
+def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, shingles): the hashes of all distinct shingles of each of texts(id, text)."""
+
+    def sets(batches):
+        for batch in batches:
+            out = [np.unique(shingle_hashes(text, words)).view(np.int64) for _, text in texts_of([batch])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    return texts.select("id", "text").mapInArrow(sets, f"id {id_type(texts)}, shingles array<long>")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The pairs(x, y) whose whole sets of shingles are as similar as asked; of texts(id, text) only those asked for are read into sets."""
+    asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    sets = stored(shingle_sets(texts.join(asked, "id", "left_semi"), words))
+    joined = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
+    both = F.size(F.array_intersect("sx", "sy"))
+    union = F.size("sx") + F.size("sy") - F.col("both")
+    return joined.select("x", "y", "sx", "sy", both.alias("both")).where((F.col("both") > 0) & (F.col("both") >= union * similarity - 1e-9)).select("x", "y")
+
+
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, class_id) for every row: near copies on shingles of five words share the least id of their class.
 
@@ -119,9 +139,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     in at most two bits or if they share a view, the SimHash of a few min-wise
     sampled shingles (ball of radius zero).  In each view the texts that share
     it are linked to the first and to the one before in an order of the
-    view's own, never all to all; each link stands if the bottom-256 sketches
-    of both shingle sets (whole sets, for short texts) are as similar as
-    asked.  Null and empty texts are equal texts.
+    view's own, never all to all; each link stands if the whole shingle sets of
+    both texts are as similar as asked.  Null and empty texts are equal texts.
     """
     rows = keyed(docs, id_col, text_col).withColumn("text_key", F.sha2(F.col("text"), 256))
     kind = id_type(rows)
@@ -132,15 +151,15 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
             out = []
             for _, text in texts_of([batch]):
                 hashes = np.unique(shingle_hashes(text, words))
-                out.append((simhash(hashes), views(hashes), (hashes[:SKETCH] >> np.uint64(32)).astype(np.int64)))
-            fp, view, sketch = zip(*out, strict=True) if out else ((), (), ())
+                out.append((simhash(hashes), views(hashes)))
+            fp, view = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(view, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["id", "text_key", "fp", "view", "sketch"])
+                [batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(view, pa.list_(pa.int64()))],
+                names=["id", "text_key", "fp", "view"])
 
-    every = rows.select("id", "text", "text_key").mapInArrow(sketched, f"id {kind}, text_key string, fp long, view array<long>, sketch array<long>")
-    made = stored(every.withColumn("sketch", F.transform("sketch", lambda x: (x - 2**31).cast("int")))
-                  .join(keys, ["id", "text_key"], "left_semi").drop("text_key").dropDuplicates(["id"]))
+    every = rows.select("id", "text", "text_key").mapInArrow(sketched, f"id {kind}, text_key string, fp long, view array<long>")
+    made = stored(every.join(keys, ["id", "text_key"], "left_semi").drop("text_key").dropDuplicates(["id"]))
+    texts = rows.join(keys, ["id", "text_key"], "left_semi").dropDuplicates(["id"])
 
     first = made.groupBy("fp").agg(F.min("id").alias("id"))
     near = ball_links(made)
@@ -153,11 +172,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sampled = met.select(F.explode(F.array("hub", "before")).alias("x"), F.col("id").alias("y"))
     asked = stored(whole.union(same).union(sampled).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
 
-    sets = made.select("id", "sketch")
-    pairs = asked.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    union = F.slice(F.array_sort(F.array_union("sx", "sy")), 1, SKETCH)
-    likeness = F.size(F.array_intersect(F.array_intersect("sx", "sy"), "union")) / F.greatest(F.size("union"), F.lit(1))
-    links = stored(pairs.withColumn("union", union).where(likeness >= similarity).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = stored(alike(asked, texts, words, similarity).toDF("a", "b"))
     roots = components(links)
     classes = stored(keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("text_key", F.coalesce("root", "id").alias("class_id")))
     return rows.select("id", "text_key").join(classes, "text_key", "left").select(F.col("id").alias(id_col), "class_id")

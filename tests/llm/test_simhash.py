@@ -104,3 +104,25 @@ def test_near_duplicates(make_docs):
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [*range(40), 65, 67]
+
+
+def plain_shingles(text: str) -> set:
+    words = text.lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_near_duplicates_by_whole_sets(make_docs):
+    draw = random.Random(8)
+    texts, want = [], []
+    for n in range(40):  # pairs just under and just over 0.8, of more shingles than a sketch would hold
+        base = [f"w{n}x{draw.randrange(10**9)}" for _ in range(900)]
+        edited = list(base)
+        for at in range(10, 10 + 5 * (18 + n % 5), 5):
+            edited[at] = f"e{at}"
+        pair = [" ".join(base), " ".join(edited)]
+        a, b = map(plain_shingles, pair)
+        texts += pair
+        want.append(5 * len(a & b) >= 4 * len(a | b))
+    assert {True, False} == set(want)
+    classes = {r.doc_id: r.class_id for r in near_duplicate_classes(make_docs(texts)).collect()}
+    assert [classes[2 * n] == classes[2 * n + 1] for n in range(40)] == want
