@@ -126,3 +126,27 @@ def test_near_duplicates_by_whole_sets(make_docs):
     assert {True, False} == set(want)
     classes = {r.doc_id: r.class_id for r in near_duplicate_classes(make_docs(texts)).collect()}
     assert [classes[2 * n] == classes[2 * n + 1] for n in range(40)] == want
+
+
+def test_all_near_pairs_against_brute_force(make_docs):
+    draw = random.Random(11)
+
+    def edit(words: list, places: int, mark: str) -> list:
+        out = list(words)
+        for at in draw.sample(range(5, len(words) - 5), places):
+            out[at] = f"{mark}{at}"
+        return out
+
+    star = [f"s{i}" for i in range(400)]
+    lone = [f"t{i}" for i in range(300)]
+    head = [f"licence{i}" for i in range(60)]
+    texts = [edit(star, 7, f"a{n}x") for n in range(1000)] + [star]  # edits of one base, alike only through it
+    texts += [edit(lone, 3 + n % 8, f"b{n}x") for n in range(60)]  # without their base, about the threshold
+    texts += [head + [f"u{n}x{i}" for i in range(40 + n % 60)] for n in range(60)]  # one long passage in common
+    texts = [" ".join(t) for t in texts]
+    sets = [plain_shingles(t) for t in texts]
+    links = [(a, b) for b in range(len(sets)) for a in range(b) if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    want = plain_classes(links, range(len(texts)))
+    assert len({want[n] for n in range(1001)}) == 1
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(make_docs(texts)).collect()}
+    assert got == want
