@@ -47,3 +47,15 @@ def lower_ascii(text: Column) -> Column:
 def id_type(df: DataFrame, name: str = "id") -> str:
     """DDL name of a column's type."""
     return df.schema[name].dataType.simpleString()
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], piece: Column) -> DataFrame:
+    """Left join of `big` with `small`, which has each key at most once.
+
+    A key's rows in `big` are cut into pieces, and each piece asks `small`
+    once.  So many tasks join a key of many rows, and the pieces of a key grow
+    with it.
+    """
+    big = big.withColumn("_piece", piece)
+    asked = big.select(*on, "_piece").distinct().join(small, on, "left")
+    return big.join(asked, [*on, "_piece"], "left").drop("_piece")

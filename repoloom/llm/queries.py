@@ -12,6 +12,7 @@ from .decontaminate import contamination_report
 from .extract import page_texts
 from .fingerprints import edited_report
 from .packing import pack
+from .prefixes import rebuilt_report
 from .quality import quality_scores, train
 from .secrets import secrets_report
 from .simhash import simhash_classes
@@ -198,3 +199,30 @@ m as (select page_id, url, fday, i.list, i.kind, i.value, i.action,
   from c join i on c.kind = i.kind and c.value = i.value and fday >= since and (until is null or fday < until) and i.action <> 'remove')
 select p.page_id, p.url, p.fday as fetched_at, coalesce(n_active, 0) as n_active, coalesce(action = 'block', false) as blocked, list, kind, value
 from p left join (select * from m where place = 1) m on p.page_id is not distinct from m.page_id and p.url is not distinct from m.url"""
+
+
+@query
+def op11_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt with the start of another one."""
+    return rebuilt_report(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op11_prefixes"] = """
+with tab as (select list(v order by i) as tab from (
+    select i, list_reduce([cast(i as bigint), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) as v
+    from range(256) r(i))),
+o as (select conv_id as c, list({'r': coalesce(role, ''), 'x': coalesce(text, '')} order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as own
+  from conversations where conv_id is not null group by conv_id),
+k as (select c, own, xor(list_reduce(list_concat([4294967295], list_transform(range(1, length(cast(c as varchar)) + 1),
+    lambda p: cast(ascii(substr(cast(c as varchar), cast(p as integer), 1)) as bigint))), lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 9 as h from o, tab),
+s as (select k.c, list_concat(list_slice(coalesce(b.own, []), 1, h), list_slice(k.own, h + 1, len(k.own))) as seq
+  from k left join o b on b.c = k.c - k.c % 5),
+p as (select c, seq, d, seq[1:d] as path from (select c, seq, unnest(range(0, len(seq) + 1)) as d from s)),
+n as (select path, d, min(c) as conv_id, count(*) as n_convs, case when d = 0 then 0 else strlen(any_value(path[d].x)) end as size,
+    count(*) filter (len(seq) = d) as n_ends, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (len(seq) = d), '')) as ends_sha256 from p group by path, d),
+kids as (select path[1:d - 1] as path, count(*) as n_children from n where d > 0 group by 1),
+f as (select n.*, coalesce(n_children, 0) as n_children from n left join kids using (path)),
+below as (select path[1:e] as path, count(*) filter (n_children = 0) as n_leaves, sum((n_convs - 1) * size) as saved_tokens
+  from (select path, n_children, n_convs, size, unnest(range(0, d + 1)) as e from f) group by 1)
+select f.conv_id, f.d as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, f.ends_sha256, f.n_ends
+from f join below using (path) left join n up on up.path = f.path[1:f.d - 1] and f.d > 0"""
