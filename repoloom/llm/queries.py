@@ -19,6 +19,7 @@ from .simhash import simhash_classes
 from .suffixes import dedup_report
 from .token_counts import token_counts
 from .url_filters import filter_urls, host_of, path_of
+from .whitening import whitened
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -226,3 +227,9 @@ below as (select path[1:e] as path, count(*) filter (n_children = 0) as n_leaves
   from (select path, n_children, n_convs, size, unnest(range(0, d + 1)) as e from f) group by 1)
 select f.conv_id, f.d as depth, up.conv_id as parent_conv_id, f.n_convs, f.n_children, n_leaves, cast(saved_tokens as bigint) as saved_tokens, f.ends_sha256, f.n_ends
 from f join below using (path) left join n up on up.path = f.path[1:f.d - 1] and f.d > 0"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the first sixteen principal axes of the distinct vectors, at unit variance."""
+    return whitened(table(spark, sf_dir, "embeddings"))
