@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bestfit import pack_best_fit
 from .common import table
 from .decontaminate import contamination_report
 from .extract import page_texts
@@ -233,3 +234,9 @@ from f join below using (path) left join n up on up.path = f.path[1:f.d - 1] and
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the first sixteen principal axes of the distinct vectors, at unit variance."""
     return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed by best fit into sequences of 1024 ids, cut only where they are longer."""
+    return pack_best_fit(table(spark, sf_dir, "documents"))
