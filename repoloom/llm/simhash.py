@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_type, keyed, stored, texts_of
@@ -16,11 +15,6 @@ from .components import components
 RADIUS = 2
 BITS = 64
 SEED = 42
-SIMILARITY = 0.8
-WORDS = 5
-SAMPLE = 20_000
-COMMON = 1_000_000
-SALT_ROWS = 512
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -101,139 +95,22 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "class_size")
 
 
-def common_shingles(texts: DataFrame, n_texts: int, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes in order, level): shingles that several texts of a sample have, and the binary logarithm of how many.
-
-    Only the order in which shingles are taken into prefixes depends on it,
-    never which pairs are found.  The sample has about SAMPLE texts of
-    texts(id, text, text_key), and at most COMMON shingles reach the driver.
-    """
-    step = max(1, n_texts // SAMPLE)
-    sample = texts.where(F.pmod(F.xxhash64("text_key"), F.lit(step)) == 0)
-    counts = shingle_sets(sample, words).select(F.explode("shingles").alias("gram")).groupBy("gram").count().where("count > 2")
-    found = counts.orderBy(F.desc("count"), "gram").limit(COMMON).toPandas()
-    hashes = found["gram"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.log2(found["count"].to_numpy(float)[order]).astype(np.int64)
-
-
-def prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The first of distinct hashes, rare ones before common ones: two sets as similar as asked share one of their prefixes."""
-    size = prefix_size(len(hashes), similarity)
-    level = np.zeros(len(hashes), np.int64)
-    if len(common[0]):
-        at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        level = np.where(common[0][at] == hashes, common[1][at], 0)
-    return hashes[np.lexsort((hashes, level))[:size]]
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    """Of n shingles at least n * similarity stand in a similar set too, so one of these must."""
-    return n - math.ceil(n * similarity - 1e-9) + 1 if n else 0
-
-
-def shingle_sets(texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """(id, shingles): the hashes of all distinct shingles of each of texts(id, text)."""
-
-    def sets(batches):
-        for batch in batches:
-            out = [np.unique(shingle_hashes(text, words)).view(np.int64) for _, text in texts_of([batch])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    return texts.select("id", "text").mapInArrow(sets, f"id {id_type(texts)}, shingles array<long>")
-
-
-def alike(pairs: DataFrame, texts: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs(x, y) whose whole sets of shingles are as similar as asked; of texts(id, text) only those asked for are read into sets."""
-    asked = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    sets = stored(shingle_sets(texts.join(asked, "id", "left_semi"), words))
-    joined = pairs.join(sets.toDF("x", "sx"), "x").join(sets.toDF("y", "sy"), "y")
-    both = F.size(F.array_intersect("sx", "sy"))
-    union = F.size("sx") + F.size("sy") - F.col("both")
-    return joined.select("x", "y", "sx", "sy", both.alias("both")).where((F.col("both") > 0) & (F.col("both") >= union * similarity - 1e-9)).select("x", "y")
-
-
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, class_id) for every row: near copies on shingles of five words share the least id of their class.
-
-    Classes are those of all pairs as similar as asked.  Equal texts are one
-    text.  Such a pair shares a shingle of both prefixes, the fifth of a text's
-    shingles that is rarest, or else too few are left to be shared.  First
-    texts are compared whose SimHashes differ in at most two bits, and in each
-    group that shares a shingle all with its hub, the text whose prefix meets
-    most others, as a base of many edits does.  Then each pair of a group that
-    these links leave in different classes is compared, if sizes and shared
-    shingles allow the similarity.  Each link stands if the whole shingle sets
-    of both texts are as similar as asked.  Null and empty texts are equal
-    texts.
-    """
-    rows = keyed(docs, id_col, text_col).withColumn("text_key", F.sha2(F.col("text"), 256))
-    kind = id_type(rows)
-    keys = stored(rows.groupBy("text_key").agg(F.min("id").alias("id")).where("id is not null"))
-    common = common_shingles(rows.join(keys, ["id", "text_key"], "left_semi"), keys.count(), words)
-
-    def printed(batches):
-        for batch in batches:
-            out = []
-            for _, text in texts_of([batch]):
-                hashes = np.unique(shingle_hashes(text, words))
-                out.append((simhash(hashes), len(hashes), prefix(hashes, common, similarity).view(np.int64)))
-            fp, n, grams = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(grams, pa.list_(pa.int64()))],
-                names=["id", "text_key", "fp", "n", "grams"])
-
-    every = rows.select("id", "text", "text_key").mapInArrow(printed, f"id {kind}, text_key string, fp long, n long, grams array<long>")
-    made = stored(every.join(keys, ["id", "text_key"], "left_semi").drop("text_key").dropDuplicates(["id"]))
-    texts = rows.join(keys, ["id", "text_key"], "left_semi").dropDuplicates(["id"])
-
-    first = made.groupBy("fp").agg(F.min("id").alias("id"))
-    near = ball_links(made)
-    ids = first.select("fp", F.col("id").alias("one"))
-    whole = near.join(ids.toDF("a", "x"), "a").join(ids.toDF("b", "y"), "b").select("x", "y")
-    same = made.join(ids, "fp").where("id <> one").select(F.col("one").alias("x"), F.col("id").alias("y"))
-
-    grams = made.select("id", "n", F.explode("grams").alias("gram"))
-    sizes = stored(grams.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1"))
-    groups = stored(grams.join(sizes, "gram"))
-    weights = groups.groupBy("id").agg(F.sum("met").alias("weight"))
-    hubs = groups.join(weights, "id").groupBy("gram").agg(F.max(F.struct("weight", "id"))["id"].alias("hub"))
-    central = groups.join(hubs, "gram").select(F.col("hub").alias("x"), F.col("id").alias("y"))
-    asked = stored(whole.union(same).union(central).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct())
-
-    def possible(shared: Column) -> Column:
-        """Whether two sets of nx and ny with so many shared in their prefixes can be similar; what else they share stands after one of the prefixes."""
-        left = F.floor(F.greatest("nx", "ny") * similarity + 1e-9)
-        return (F.least("nx", "ny") >= F.greatest("nx", "ny") * similarity - 1e-9) & (
-            shared + left >= (F.col("nx") + F.col("ny")) * (similarity / (1 + similarity)) - 1e-6)
-
-    sets = made.select("id", "n", "grams")
-    pairs = asked.join(sets.toDF("x", "nx", "gx"), "x").join(sets.toDF("y", "ny", "gy"), "y")
-    pairs = stored(pairs.where(possible(F.size(F.array_intersect("gx", "gy")))).select("x", "y"))
-    links = stored(alike(pairs, texts, words, similarity).toDF("a", "b"))
-
-    rooted = groups.join(components(links).withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    rooted = stored(rooted)
-    mixed = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("gram")
-    rest = stored(rooted.join(mixed, "gram"))
-    salts = F.floor(F.col("met") / SALT_ROWS).cast("int") + 1
-    one = rest.select("gram", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"), F.pmod(F.xxhash64("id"), salts).cast("int").alias("salt"))
-    other = rest.select("gram", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    met = one.join(other, ["gram", "salt"]).where((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & possible(F.least("nx", "ny")))
-    met = met.groupBy("x", "y", "nx", "ny").agg(F.count("*").alias("shared")).where(possible(F.col("shared"))).select("x", "y")
-    more = stored(alike(stored(met.join(pairs, ["x", "y"], "left_anti")), texts, words, similarity).toDF("a", "b"))
-    roots = components(links.union(more))
-    classes = stored(keys.join(roots.withColumnRenamed("node", "id"), "id", "left").select("text_key", F.coalesce("root", "id").alias("class_id")))
-    return rows.select("id", "text_key").join(classes, "text_key", "left").select(F.col("id").alias(id_col), "class_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each class of near copies, the one of least id; columns stay as they are.
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each class of simhash_classes, the one of least id; columns stay as they are.
 
     Rows without an id stay, since they can't be told apart; rows that repeat
-    an id and its text stay once.
+    an id and its text stay once, and of an id with several texts those that
+    belong to a class in which it is the least.
     """
-    classes = near_duplicate_classes(docs, id_col, text_col)
-    kept = stored(classes.where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_kept")).distinct())
-    rows = docs.join(kept, docs[id_col] == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
-    return rows.unionByName(docs.where(F.col(id_col).isNull()))
+    classes = stored(simhash_classes(docs, id_col, text_col, words, radius).select(F.col(id_col).alias("_id"), "fingerprint", "component_id"))
+    ids = classes.groupBy("_id").agg(F.count("*").alias("rows"), F.max(F.col("_id") == F.col("component_id")).alias("least"))
+    ids = stored(ids.where("least"))
+    kept = docs.join(ids.where("rows = 1"), docs[id_col] == F.col("_id"), "left_semi")
+    # Which texts of a repeated id belong to its class is told by their fingerprints.
+    again = docs.join(ids.where("rows > 1"), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+    again = again.withColumn("_text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    prints = fingerprints(again.dropDuplicates(["_text"]), "_text", text_col, words)
+    prints = prints.select(F.col("id").alias("_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("_print"))
+    mine = classes.where("_id = component_id").select("_id", "fingerprint").distinct()
+    again = again.join(prints, "_text").join(mine, (F.col(id_col) == F.col("_id")) & (F.col("_print") == F.col("fingerprint")), "left_semi")
+    return kept.unionByName(again.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
