@@ -105,12 +105,17 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = stored(simhash_classes(docs, id_col, text_col, words, radius).select(F.col(id_col).alias("_id"), "fingerprint", "component_id"))
     ids = classes.groupBy("_id").agg(F.count("*").alias("rows"), F.max(F.col("_id") == F.col("component_id")).alias("least"))
     ids = stored(ids.where("least"))
-    kept = docs.join(ids.where("rows = 1"), docs[id_col] == F.col("_id"), "left_semi")
+    # The ids grow with the documents, so every size of input takes the plan that large ones need: one shuffle of the rows.
+    kept = docs.join(ids.where("rows = 1").hint("merge"), docs[id_col] == F.col("_id"), "left_semi")
+    kept = kept.unionByName(docs.where(F.col(id_col).isNull()))
+    repeated = ids.where("rows > 1")
+    if repeated.isEmpty():
+        return kept
     # Which texts of a repeated id belong to its class is told by their fingerprints.
-    again = docs.join(ids.where("rows > 1"), docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
+    again = docs.join(repeated, docs[id_col] == F.col("_id"), "left_semi").dropDuplicates([id_col, text_col])
     again = again.withColumn("_text", F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     prints = fingerprints(again.dropDuplicates(["_text"]), "_text", text_col, words)
     prints = prints.select(F.col("id").alias("_text"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("_print"))
     mine = classes.where("_id = component_id").select("_id", "fingerprint").distinct()
     again = again.join(prints, "_text").join(mine, (F.col(id_col) == F.col("_id")) & (F.col("_print") == F.col("fingerprint")), "left_semi")
-    return kept.unionByName(again.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.unionByName(again.select(*docs.columns))
