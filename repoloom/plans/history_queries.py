@@ -69,13 +69,39 @@ select repo, head, hash from walk) q""")
 def log_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What some side commits reach in histories full of merges."""
     c = views.commits(spark, sf_dir)
+    heads = c.where(F.col("rn") % 50 == 0).select("repo", F.md5(F.concat("hash", F.lit("s"))).alias("head"))
+    return history.reachable(_merged(c), heads)
+
+
+def _merged(c: DataFrame) -> DataFrame:
+    """commits in which every fifth one of the trunk merges a side commit; some side commits have a clock that runs ahead."""
     side = F.md5(F.concat("hash", F.lit("s")))
     merge = F.col("rn") % 5 == 0
-    trunk = c.select("repo", "hash", F.array_compact(F.array("parent", F.when(merge, side))).alias("parents"))
+    about = ["author", "email", "subject"]
+    trunk = c.select("repo", "hash", F.array_compact(F.array("parent", F.when(merge, side))).alias("parents"), "author_ts", *about)
     before = c.select("repo", (F.col("rn") + 3).alias("rn"), F.col("hash").alias("base"))
-    sides = c.where(merge).join(before, ["repo", "rn"], "left").select("repo", side.alias("hash"), F.array_compact(F.array("base")).alias("parents"))
-    heads = c.where(F.col("rn") % 50 == 0).select("repo", side.alias("head"))
-    return history.reachable(trunk.unionByName(sides), heads)
+    ahead = F.when(F.col("rn") % 15 == 0, F.col("author_ts") + F.expr("interval 20 days")).otherwise(F.col("author_ts"))
+    sides = c.where(merge).join(before, ["repo", "rn"], "left").select(
+        "repo", side.alias("hash"), F.array_compact(F.array("base")).alias("parents"), ahead.alias("author_ts"), *about)
+    return trunk.unionByName(sides)
+
+
+@query("log_merges_newest", f"""
+select repo, head, hash, author, email, strftime(author_ts, '%Y-%m-%dT%H:%M:%SZ') as date, subject from (
+ select w.*, author, email, author_ts, subject, row_number() over (partition by w.repo, w.head order by author_ts desc, w.hash) k
+ from (select * from (with recursive up as ({MERGED_SQL}),
+   heads as (select repo, hash as head from commits where rn % 40 = 0 union all select repo, md5(concat(hash, 's')) from commits where rn % 50 = 0),
+   walk as (select repo, head, head as hash from heads union select w.repo, w.head, up.up from walk w join up on up.repo = w.repo and up.hash = w.hash)
+   select repo, head, hash from walk) q) w
+ join (select repo, hash, author, email, author_ts, subject from commits
+   union all select repo, md5(concat(hash, 's')), author, email, case when rn % 15 = 0 then author_ts + interval 20 days else author_ts end, subject from commits where rn % 5 = 0) d
+ on d.repo = w.repo and d.hash = w.hash) where k <= 20""")
+def log_merges_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest commits of heads all over histories full of merges, with clocks that are wrong."""
+    c = views.commits(spark, sf_dir)
+    heads = c.where(F.col("rn") % 40 == 0).select("repo", F.col("hash").alias("head")).unionByName(
+        c.where(F.col("rn") % 50 == 0).select("repo", F.md5(F.concat("hash", F.lit("s"))).alias("head")))
+    return history.log(_merged(c), heads)
 
 
 def _raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,6 +60,43 @@ def test_log(spark):
     assert history.log(graph(spark, edges), heads, 0).count() == 4
 
 
+def newest_by_hand(edges, times, head, limit):
+    return sorted(ancestors(edges, head), key=lambda h: (-times[h].timestamp(), h))[:limit]
+
+
+@pytest.mark.parametrize("clock", ["right", "ties", "wrong", "future"])
+def test_newest_in_small_windows(spark, clock):
+    """Heads at the top, far down and on thin branches, with windows far smaller than the history."""
+    rng = random.Random(3)
+    edges = random_graph(9, 900) + [("r", f"thin{i}", [f"thin{i - 1}"] if i else ["c2"]) for i in range(5)]
+    times = {}
+    for i, (_, h, _) in enumerate(edges):
+        late = {"wrong": rng.choice([0, 0, 0, -30, 30]), "ties": -(i % 7)}.get(clock, 0)
+        times[h] = datetime(2024, 1, 1) + timedelta(hours=i + late)
+    if clock == "future":
+        times["c1"] = datetime(2090, 1, 1)
+    rows = [(r, h, p, "A", "a@x", times[h], "s") for r, h, p in edges] + [("q", "x", ["gone"], "A", "a@x", times["c0"], "s"), ("q", "y", ["x"], "A", "a@x", None, "s")]
+    commits = spark.createDataFrame(rows, COMMITS)
+    asked = ["c899", "c700", "c411", "c30", "c0", "thin4"]
+    heads = spark.createDataFrame([("r", h) for h in asked] + [("q", "y"), ("q", "nope")], "repo string, head string")
+    got = {}
+    for r in history.newest(commits, heads, 3, window=12).collect():
+        got.setdefault((r.repo, r.head), set()).add(r.hash)
+    want = {("r", h): set(newest_by_hand(edges, times, h, 3)) for h in asked} | {("q", "y"): {"x", "y"}}
+    assert got == want
+
+
+def test_bounds_hold(spark):
+    edges = random_graph(4, 80)
+    rng = random.Random(1)
+    times = {h: datetime(2024, 1, 1) + timedelta(hours=rng.randrange(90)) for _, h, _ in edges}
+    commits = spark.createDataFrame([(r, h, p, "A", "a@x", times[h], "s") for r, h, p in edges], COMMITS)
+    rows = {r.hash: r for r in history.commit_bounds(commits).collect()}
+    for _, h, parents in edges:
+        assert rows[h].bound >= max(times[a] for a in ancestors(edges, h))
+        assert all(rows[p].bound <= rows[h].bound for p in parents)
+
+
 def test_refs(spark):
     refs = spark.createDataFrame([
         ("r", "refs/heads/main", "m"), ("r", "refs/heads/a/b", "x"), ("r", "refs/remotes/origin/main", "m"), ("r", "refs/remotes/origin/HEAD", "m"),
