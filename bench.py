@@ -22,6 +22,7 @@ from repoloom.operators import diff, grep, history, listing, maintain, read, reg
 from repoloom.plans import views  # noqa: E402
 from repoloom.session import build_session, scratch_dir  # noqa: E402
 from repoloom.sources import tables  # noqa: E402
+from repoloom.sources.corpus import ROW_GROUP_BYTES  # noqa: E402
 from repoloom.streaming import refs as streams  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -45,7 +46,7 @@ def prepare(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     }
     out = {}
     for name, df in made.items():
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
+        df.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{root}/{name}")
         out[name] = spark.read.parquet(f"{root}/{name}")
     return out
 

@@ -24,6 +24,7 @@ from ..session import selective
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
+_BATCH_BYTES = 16 << 20
 
 
 def searchable(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
@@ -53,27 +54,27 @@ def byte_column(line: Column, java: Column | str) -> Column:
     return (F.when(broken, F.char_length(before(single))).otherwise(F.octet_length(before(line))) + 1).cast("int")
 
 
-def first_byte(line: Column, pattern: str) -> Column:
-    """1-based byte offset of the first match in `line`, or 0 if there is none.
+def _hits(lines: DataFrame, pattern: str) -> DataFrame:
+    """The rows of lines(text, ...) with a match, and the 1-based byte `column` of the first one.
 
     Java's matcher recurses once for each repetition of a group, so on a long
     line such a pattern can end the executor.  A pattern that repeats a group
     is matched by RE2 itself (through Arrow, in linear time and on bytes), any
     other one in the JVM; which of the two depends on the pattern alone.
+    Places are sought in lines that match only.
     """
+    java = re2_to_java(pattern)  # refuses what is no RE2 pattern
     if not repeats_group(pattern):
-        java = re2_to_java(pattern)
-        return F.when(line.rlike(java), byte_column(line, java)).otherwise(0)
-    re2_to_java(pattern)  # refuses what is no RE2 pattern
+        return lines.where(F.col("text").rlike(java)).withColumn("column", byte_column(F.col("text"), java))
 
     @F.arrow_udf("int")
-    def found(lines: pa.Array) -> pa.Array:
+    def found(texts: pa.Array) -> pa.Array:
         import pyarrow.compute as pc
 
-        at = pc.find_substring_regex(lines, f"(?m:{pattern})")
+        at = pc.find_substring_regex(texts, f"(?m:{pattern})")
         return pc.add(pc.fill_null(at, -1), 1).cast(pa.int32())
 
-    return found(line)
+    return lines.withColumn("column", found("text")).where("column > 0")
 
 
 def grep_lines(
@@ -88,8 +89,7 @@ def grep_lines(
     found = searchable(files, includes, excludes)
     if context <= 0 or repeats_group(pattern):
         lines = found.select("project", "path", F.posexplode(lines_raw("content")).alias("at", "text"))
-        placed = lines.withColumn("column", first_byte(F.col("text"), pattern)).where("column > 0")
-        hits = placed.select("project", "path", (F.col("at") + 1).alias("line"), "column", "text")
+        hits = _hits(lines, pattern).select("project", "path", (F.col("at") + 1).alias("line"), "column", "text")
         if context <= 0:
             return hits
         spots = hits.groupBy("project", "path").agg(F.array_sort(F.collect_list(F.struct("line", "column"))).alias("spots"))
@@ -127,49 +127,80 @@ def grep_multiline(
 ) -> DataFrame:
     """Every non-overlapping match of a pattern that may span lines.
 
-    `split` yields the text between the matches and `regexp_extract_all` the
-    matches; their byte lengths and newline counts place each match.  An
-    empty match that touches the one before it does not count.
+    An empty match that touches the one before it does not count.  RE2 finds
+    the matches, in time linear in the text for any pattern; a batch of texts
+    (Arrow bounds its bytes) goes through it in one call.
     """
-    java = re2_to_java(pattern, dotall=True)
-    found = searchable(files, includes, excludes).where(F.col("content").cast("string").rlike(java))
-    text = F.col("content").cast("string")
-    pieces = found.select(
-        "project", "path", lines_raw("content").alias("lines"),
-        F.split(text, java).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(java), F.lit(0)).alias("hits"),
-    )
-    place = F.pandas_udf(_place, "array<struct<line: int, last: int, column: int>>")
-    placed = pieces.withColumn("spots", place("gaps", "hits"))
-    matches = F.transform(
-        "spots", lambda s: _with_context(F.col("lines"), s["line"], s["last"], s["column"], context)
-    )
-    out = placed.select("project", "path", F.explode(matches).alias("m")).select("project", "path", "m.*")
-    return out if context > 0 else out.drop("context_before", "context_after")
-
+    re2_to_java(pattern, dotall=True)  # refuses what is no RE2 pattern
 
-def _place(gaps: pd.Series, hits: pd.Series) -> pd.Series:
-    """Line, last line and byte column of each match, by running sums."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _multiline_rows(batch, f"(?ms:{pattern})", context)
 
-    def one(gap_texts: np.ndarray, hit_texts: np.ndarray) -> list[dict]:
-        gap_bytes = [g.encode() for g in gap_texts]
-        hit_bytes = [h.encode() for h in hit_texts]
-        if len(gap_bytes) == len(hit_bytes):    # Java drops the gap before an empty first match
-            gap_bytes.insert(0, b"")
-        spots, line, column = [], 1, 1
-        for i, (gap, hit) in enumerate(zip(gap_bytes, hit_bytes)):
-            line, column = _advance(line, column, gap)
-            if i == 0 or gap or hit:
-                spots.append({"line": line, "last": line + hit[:-1].count(b"\n"), "column": column})
-            line, column = _advance(line, column, hit)
-        return spots
+    found = searchable(files, includes, excludes).select("project", "path", F.col("content").cast("binary").alias("content"))
+    out = found.mapInArrow(run, "project string, path string, line int, column int, text string, "
+                                "context_before array<string>, context_after array<string>")
+    return out if context > 0 else out.drop("context_before", "context_after")
 
-    return pd.Series([one(g, h) for g, h in zip(gaps, hits)])
 
+def _multiline_rows(batch: pa.RecordBatch, pattern: str, context: int) -> Iterator[pa.RecordBatch]:
+    """The rows of grep_multiline for files(project, path, content), in batches of bounded bytes."""
+    texts = batch.column(2).to_pylist()
+    rows: list[tuple] = []
+    held = 0
+    for n, spans in enumerate(_spans(batch.column(2), texts, pattern)):
+        if not spans:
+            continue
+        text = texts[n]
+        breaks = np.flatnonzero(np.frombuffer(text, np.uint8) == 10)
+        starts, ends = np.concatenate(([0], breaks + 1)).tolist(), [*breaks.tolist(), len(text)]
+        begins, stops = np.array(spans).T
+        first = np.searchsorted(breaks, begins)
+        # a newline that ends a match opens no further line
+        last = np.maximum(np.searchsorted(breaks, np.maximum(stops - 1, begins)), first)
+        for begin, f, l in zip(begins.tolist(), first.tolist(), last.tolist(), strict=True):
+            around = [[text[starts[i]:ends[i]] for i in range(*r)] for r in ((max(0, f - context), f), (l + 1, min(len(ends), l + 1 + context)))]
+            rows.append((n, f + 1, begin - starts[f] + 1, text[starts[f]:ends[l]], *around))
+            held += ends[l] - starts[f] + sum(map(len, around[0])) + sum(map(len, around[1]))
+            if held >= _BATCH_BYTES:
+                yield _row_batch(batch, rows)
+                rows, held = [], 0
+    if rows:
+        yield _row_batch(batch, rows)
+
+
+def _row_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+    at, line, column, text, before, after = zip(*rows, strict=True)
+    at = pa.array(at)
+
+    def strings(values: Sequence[bytes]) -> pa.Array:
+        return pa.array(values, pa.binary()).view(pa.string())
+
+    def lists(values: Sequence[list[bytes]]) -> pa.Array:
+        return pa.ListArray.from_arrays(np.cumsum([0, *map(len, values)], dtype=np.int32), strings([v for held in values for v in held]))
+
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(at), batch.column(1).take(at), pa.array(line, pa.int32()), pa.array(column, pa.int32()), strings(text), lists(before), lists(after)],
+        names=["project", "path", "line", "column", "text", "context_before", "context_after"])
+
+
+def _spans(contents: pa.Array, texts: list[bytes | None], pattern: str) -> Iterator[list[tuple[int, int]]]:
+    """(start, end) in bytes of every match in each text.
+
+    One replacement puts a mark on both sides of all matches; the lengths of
+    the pieces between the marks then place them.  The mark begins with a byte
+    that UTF-8 never has and stands in none of the texts.
+    """
+    import pyarrow.compute as pc
 
-def _advance(line: int, column: int, text: bytes) -> tuple[int, int]:
-    newlines = text.count(b"\n")
-    return (line + newlines, len(text) - text.rfind(b"\n")) if newlines else (line, column + len(text))
+    number = 0
+    while any(t is not None and b"\xff%d\xfe" % number in t for t in texts):
+        number += 1
+    mark = b"\xff%d\xfe" % number
+    marked = pc.replace_substring_regex(contents.view(pa.string()), pattern, mark + b"\\0" + mark).view(pa.binary())
+    for text in marked.to_pylist():
+        ends = np.cumsum([0, *map(len, text.split(mark))]).tolist() if text is not None else [0]
+        yield list(zip(ends[1:-1:2], ends[2::2], strict=True))
 
 
 def cap_matches(matches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
@@ -240,7 +271,7 @@ def grep_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
     once whatever their number.  Spark broadcasts the requests when their
     measured size allows it, and else splits a checkout that holds a large
     share of the files (adaptive skew joins).  Patterns that repeat a group
-    are matched by RE2, as in first_byte().
+    are matched by RE2, as in _hits().
     """
     asked = compile_requests(requests).where("problem is null").drop("problem")
     held = selective(asked.groupBy("project").agg(F.collect_list(F.struct("req_id", "java", "re2", "keep", "drop", "all_in")).alias("asked")))
@@ -257,7 +288,7 @@ def grep_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
 
 @F.arrow_udf(T.IntegerType())
 def _first_bytes(lines: pa.Array, patterns: pa.Array) -> pa.Array:
-    """first_byte() for a pattern in each row."""
+    """The column of the first match, or 0, for a pattern in each row."""
     import pyarrow.compute as pc
 
     out = np.zeros(len(lines), np.int32)

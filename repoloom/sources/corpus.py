@@ -21,6 +21,8 @@ FILES = T.StructType([
 
 LANDED = T.StructType([*FILES.fields, T.StructField("sha256", T.StringType(), True)])
 _BATCH_BYTES = 32 << 20
+# Searching and parsing cost far more than reading, so contents are stored in small row groups, which tasks can share.
+ROW_GROUP_BYTES = 4 << 20
 
 
 def corpus_scan(spark: SparkSession, location: str) -> DataFrame:
@@ -94,6 +96,6 @@ def land_files(files: DataFrame, location: str) -> None:
     hashed = files.select(*FILES.fieldNames(), F.sha2("content", 256).alias("sha256"))
     (
         hashed.hint("rebalance", F.col("project")).sortWithinPartitions("project", "path")
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy("project").parquet(location)
     )
