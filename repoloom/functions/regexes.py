@@ -247,6 +247,16 @@ def _char_class(pattern: str, i: int, out: list[str]) -> int:
     return i + 1
 
 
+def _glob_body(pattern: str) -> str:
+    """A path glob as an RE2 pattern without anchors."""
+    parts = re.compile(r"\*\*/|\*\*|\*|\?|\[[^\]]*\]|[\s\S]").findall(pattern)
+    meaning = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    return "".join(
+        meaning.get(p) or (p if len(p) > 1 else re.sub(r"([^0-9A-Za-z_/])", r"\\\1", p) if p.isascii() else p)
+        for p in parts
+    )
+
+
 def glob_to_java(pattern: str) -> str | None:
     """A path glob as an anchored Java pattern over the whole path.
 
@@ -255,14 +265,8 @@ def glob_to_java(pattern: str) -> str | None:
     segment only.  None when the class is malformed: such a glob matches
     nothing.
     """
-    parts = re.compile(r"\*\*/|\*\*|\*|\?|\[[^\]]*\]|[\s\S]").findall(pattern)
-    meaning = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
-    body = "".join(
-        meaning.get(p) or (p if len(p) > 1 else re.sub(r"([^0-9A-Za-z_/])", r"\\\1", p) if p.isascii() else p)
-        for p in parts
-    )
     try:
-        body = re2_to_java(body, multiline=False)
+        body = re2_to_java(_glob_body(pattern), multiline=False)
     except ValueError:
         return None
     flags, body = body[:4], body[4:]
@@ -271,6 +275,20 @@ def glob_to_java(pattern: str) -> str | None:
     return rf"{flags}\A{prefix}(?:{body})\z"
 
 
+def path_to_re2(pattern: str) -> tuple[str, bool] | None:
+    """Any path pattern as an RE2 pattern, and whether it looks at the last segment only."""
+    if pattern == "":
+        return None
+    if not is_glob(pattern):
+        return rf"\A{re.escape(pattern.removesuffix('/'))}(?:\z|/)", False
+    body = _glob_body(pattern)
+    try:
+        re2_to_java(body, multiline=False)
+    except ValueError:
+        return None
+    return rf"\A(?:{body})\z", "/" not in pattern
+
+
 def is_glob(pattern: str) -> bool:
     """Whether a path pattern is a glob rather than a literal path."""
     return any(c in pattern for c in "*?[")
@@ -289,3 +307,61 @@ def repeats_group(pattern: str) -> bool:
     """Whether an RE2 pattern puts `*`, `+` or a count after a group."""
     plain = re.sub(r"\\Q[\s\S]*?(?:\\E|\Z)|\\[\s\S]|\[\^?\]?(?:\[:[^\]]*:\]|\\[\s\S]|[^\]])*\]", "x", pattern)
     return re.search(r"\)(?:[*+]|\{\d)", plain) is not None
+
+
+_LITERAL_BYTES = 3
+
+
+def required_literals(pattern: str) -> list[bytes] | None:
+    """Texts of which every match has one, with A-Z in lower case; None where that can't be told.
+
+    Only plain characters in a row count, of three bytes or more, and a group
+    counts if it must be there.  `pattern` is one that re2_to_java accepts.
+    """
+    folds = re.search(r"\(\?[a-z]*i", pattern) is not None
+    token = re.compile(
+        r"(?P<quote>\\Q[\s\S]*?(?:\\E|\Z))|(?P<escape>\\(?:x\{[0-9A-Fa-f]+\}|x..|[pP](?:\{[^}]*\}|.)|[\s\S]))"
+        r"|(?P<set>\[\^?\]?(?:\[:[^\]]*:\]|\\[\s\S]|[^\]\\])*\])|(?P<open>\((?:\?(?:P?<\w+>|[ims]*(?:-[ims]+)?[:)]))?)"
+        r"|(?P<close>\))|(?P<either>\|)|(?P<any>[.^$])|(?P<plain>[\s\S])")
+    repeat = re.compile(r"(\*|\+|\?|\{(\d+)(?:,\d*)?\})\??")
+
+    def better(a: list[bytes] | None, b: list[bytes] | None) -> list[bytes] | None:
+        return max((x for x in (a, b) if x), key=lambda x: min(map(len, x)), default=None)
+
+    def alternatives(i: int) -> tuple[list[bytes] | None, int]:
+        branches: list[list[bytes] | None] = []
+        best: list[bytes] | None = None
+        run = b""
+
+        def ended(best: list[bytes] | None, run: bytes) -> list[bytes] | None:
+            return better(best, [run]) if len(run) >= _LITERAL_BYTES else best
+
+        while i < len(pattern):
+            item = token.match(pattern, i)
+            kind, i = item.lastgroup, item.end()
+            inner, char = None, b""
+            if kind == "close":
+                break
+            if kind == "either":
+                branches.append(ended(best, run))
+                best, run = None, b""
+                continue
+            if kind == "open" and not item[0].endswith(")"):
+                inner, i = alternatives(i)
+            elif kind == "plain" or (kind == "escape" and len(item[0]) == 2 and item[0][1].isascii() and not item[0][1].isalnum()):
+                text = item[0][-1]
+                if not folds or (text.isascii() and text not in "kKsS"):
+                    char = text.encode().lower()
+            times = repeat.match(pattern, i)
+            least = 1
+            if times:
+                least = {"*": 0, "?": 0, "+": 1}.get(times[1], int(times[2] or 0))
+                i = times.end()
+            if char and least:
+                run += char
+            if not char or times:
+                best, run = better(ended(best, run), inner if least else None), b""
+        branches.append(ended(best, run))
+        return (None if None in branches else [x for b in branches for x in b]), i
+
+    return alternatives(0)[0]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import not_git, path_filter, walk_order
-from ..functions.regexes import path_to_java, re2_to_java, repeats_group
+from ..functions.regexes import path_to_re2, re2_to_java, repeats_group, required_literals
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
 from ..session import selective
 from .limits import cap_per_group
@@ -69,14 +69,38 @@ def _hits(lines: DataFrame, pattern: str) -> DataFrame:
 
     @F.arrow_udf("int")
     def found(texts: pa.Array) -> pa.Array:
-        import pyarrow.compute as pc
-
-        at = pc.find_substring_regex(texts, f"(?m:{pattern})")
-        return pc.add(pc.fill_null(at, -1), 1).cast(pa.int32())
+        return pa.array(first_places(texts, f"(?m:{pattern})") + 1, pa.int32())
 
     return lines.withColumn("column", found("text")).where("column > 0")
 
 
+def first_places(texts: pa.Array, pattern: str) -> np.ndarray:
+    """Byte offset of the first match of an RE2 pattern in each text, -1 where there is none.
+
+    Arrow's own search for places reads texts as Latin-1, so a mark is put
+    before the first match and then sought.
+    """
+    import pyarrow.compute as pc
+
+    hit = pc.fill_null(pc.match_substring_regex(texts, pattern), False)
+    some = texts.filter(hit)
+    mark = _mark(some.view(pa.binary()))
+    marked = pc.replace_substring_regex(some, pattern, mark + rb"\0", max_replacements=1).view(pa.binary())
+    out = np.full(len(texts), -1, np.int64)
+    out[hit.to_numpy(zero_copy_only=False)] = pc.find_substring(marked, mark).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _mark(texts: pa.Array) -> bytes:
+    """Bytes that stand in none of the texts: the first one never is in UTF-8."""
+    import pyarrow.compute as pc
+
+    number = 0
+    while pc.any(pc.match_substring(texts, b"\xff%d\xfe" % number)).as_py():
+        number += 1
+    return b"\xff%d\xfe" % number
+
+
 def grep_lines(
     files: DataFrame, pattern: str, includes: Sequence[str] = (), excludes: Sequence[str] = (), context: int = 0
 ) -> DataFrame:
@@ -148,7 +172,7 @@ def _multiline_rows(batch: pa.RecordBatch, pattern: str, context: int) -> Iterat
     texts = batch.column(2).to_pylist()
     rows: list[tuple] = []
     held = 0
-    for n, spans in enumerate(_spans(batch.column(2), texts, pattern)):
+    for n, spans in enumerate(_spans(batch.column(2), pattern)):
         if not spans:
             continue
         text = texts[n]
@@ -184,19 +208,15 @@ def _row_batch(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
         names=["project", "path", "line", "column", "text", "context_before", "context_after"])
 
 
-def _spans(contents: pa.Array, texts: list[bytes | None], pattern: str) -> Iterator[list[tuple[int, int]]]:
+def _spans(contents: pa.Array, pattern: str) -> Iterator[list[tuple[int, int]]]:
     """(start, end) in bytes of every match in each text.
 
     One replacement puts a mark on both sides of all matches; the lengths of
-    the pieces between the marks then place them.  The mark begins with a byte
-    that UTF-8 never has and stands in none of the texts.
+    the pieces between the marks then place them.
     """
     import pyarrow.compute as pc
 
-    number = 0
-    while any(t is not None and b"\xff%d\xfe" % number in t for t in texts):
-        number += 1
-    mark = b"\xff%d\xfe" % number
+    mark = _mark(contents)
     marked = pc.replace_substring_regex(contents.view(pa.string()), pattern, mark + b"\\0" + mark).view(pa.binary())
     for text in marked.to_pylist():
         ends = np.cumsum([0, *map(len, text.split(mark))]).tolist() if text is not None else [0]
@@ -239,61 +259,173 @@ def grep_counts(files: DataFrame, pattern: str, **filters: Sequence[str]) -> Dat
 REQUESTS = (
     "req_id string, project string, pattern string, includes array<string>, excludes array<string>"
 )
+REQUEST_SHARE = 20_000
+_HITS = "req_id string, project string, path string, line int, column int, text string"
+_WINDOW = 4 << 20
+_BATCH_ROWS = 20_000
+_COMMON = b" etaoinsrhl"
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_NONE = np.zeros(0, np.int64)
 
 
 def compile_requests(requests: DataFrame) -> DataFrame:
-    """Requests with their Java patterns; `problem` says why one is refused, `re2` is set where RE2 has to match."""
-    schema = "req_id string, project string, java string, re2 string, keep array<string>, drop array<string>, all_in boolean, problem string"
-
-    def paths(patterns: object) -> list[str]:
-        return [j for p in (() if patterns is None else patterns) if (j := path_to_java(p)) is not None]
+    """The requests with a `problem` that says why a pattern is refused; literals are what each match must have one of."""
+    schema = f"{REQUESTS}, literals array<binary>, problem string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for req_id, project, pattern, includes, excludes in batch.itertuples(index=False):
+            literals, problems = [], []
+            for pattern in batch["pattern"]:
                 try:
-                    java, problem = re2_to_java(pattern), None
+                    re2_to_java(pattern)
+                    literals.append(required_literals(pattern))
+                    problems.append(None)
                 except ValueError as error:
-                    java, problem = None, str(error)
-                re2 = pattern if problem is None and repeats_group(pattern) else None
-                rows.append((req_id, project, java, re2, paths(includes), paths(excludes),
-                             includes is None or len(includes) == 0, problem))
-            yield pd.DataFrame(rows, columns=["req_id", "project", "java", "re2", "keep", "drop", "all_in", "problem"])
+                    literals.append(None)
+                    problems.append(str(error))
+            yield batch.assign(literals=literals, problem=problems)
 
     return requests.select("req_id", "project", "pattern", "includes", "excludes").mapInPandas(run, schema)
 
 
-def grep_batch(files: DataFrame, requests: DataFrame) -> DataFrame:
-    """Many requests against many checkouts in one job.
+def grep_batch(files: DataFrame, requests: DataFrame, share: int = REQUEST_SHARE) -> DataFrame:
+    """Many requests against many checkouts in one job; the rows are those of grep_lines for each request.
+
+    Every file is split into lines once.  One pass over the bytes looks three
+    of them at a time up in a dictionary of the literals that patterns cannot
+    match without, and a pattern then runs (in RE2, once for all requests that
+    have it) on the lines with one of its literals.  A pattern without
+    literals runs on all lines of its checkouts.
 
-    The requests of a checkout are one array, so each file is joined and split
-    once whatever their number.  Spark broadcasts the requests when their
-    measured size allows it, and else splits a checkout that holds a large
-    share of the files (adaptive skew joins).  Patterns that repeat a group
-    are matched by RE2, as in _hits().
+    Shares of at most `share` requests go to the tasks; more requests take one
+    pass over the files of their checkouts for each share.
     """
     asked = compile_requests(requests).where("problem is null").drop("problem")
-    held = selective(asked.groupBy("project").agg(F.collect_list(F.struct("req_id", "java", "re2", "keep", "drop", "all_in")).alias("asked")))
-    wanted = F.filter("asked", lambda r: (r["all_in"] | F.exists(r["keep"], lambda p: F.rlike(F.col("path"), p)))
-                      & ~F.exists(r["drop"], lambda p: F.rlike(F.col("path"), p)))
-    met = searchable(files).join(held, "project").withColumn("asked", wanted).where(F.size("asked") > 0)
-    lines = met.select("project", "path", "asked", F.posexplode(lines_raw("content")).alias("at", "text"))
-    fits = F.filter("asked", lambda r: r["re2"].isNotNull() | F.rlike(F.col("text"), r["java"]))
-    each = lines.select("project", "path", "at", "text", F.explode(fits).alias("r")).select("project", "path", "at", "text", "r.req_id", "r.java", "r.re2")
-    plain = each.where("re2 is null").withColumn("column", byte_column(F.col("text"), F.col("java")))
-    re2 = each.where("re2 is not null").withColumn("column", _first_bytes(F.col("text"), F.col("re2"))).where("column > 0")
-    return plain.unionByName(re2).select("req_id", "project", "path", (F.col("at") + 1).alias("line"), "column", "text")
-
-
-@F.arrow_udf(T.IntegerType())
-def _first_bytes(lines: pa.Array, patterns: pa.Array) -> pa.Array:
-    """The column of the first match, or 0, for a pattern in each row."""
-    import pyarrow.compute as pc
+    # a bucket is about half a share, so that shares stay below their size
+    buckets = asked.count() * 2 // share + 1
+    asked = asked.withColumn("bucket", F.pmod(F.xxhash64("project", "pattern"), F.lit(buckets)))
+    out = files.sparkSession.createDataFrame([], _HITS)
+    for number in range(buckets):
+        rows = asked.where(F.col("bucket") == number).drop("bucket").collect()
+        for at in range(0, len(rows), share):
+            some = Requests(rows[at:at + share])
+            names = files.sparkSession.createDataFrame([(p,) for p in some.by_project], "project string")
+            met = searchable(files).join(selective(names), "project", "left_semi").select(
+                "project", "path", F.col("content").cast("binary").alias("content"))
+            out = out.unionByName(met.mapInArrow(some.rows, _HITS))
+    return out
+
+
+class Requests:
+    """A share of requests inside a task."""
+
+    def __init__(self, rows: Sequence[T.Row]):
+        self.by_project: dict[str, list[int]] = {}
+        self.by_pattern: dict[str, list[int]] = {}
+        self.literals: dict[str, list[bytes] | None] = {}
+        self.ids, self.projects, self.scopes = [], [], []
+        for n, r in enumerate(rows):
+            self.ids.append(r.req_id)
+            self.projects.append(r.project)
+            self.scopes.append((tuple(r.includes or ()), tuple(r.excludes or ())))
+            self.by_project.setdefault(r.project, []).append(n)
+            self.by_pattern.setdefault(r.pattern, []).append(n)
+            self.literals[r.pattern] = r.literals
+
+    def grams(self) -> tuple[np.ndarray, list[list[str]]]:
+        """Codes of three bytes in order, and the patterns that have a literal with each; one code stands for a literal."""
+        found: dict[int, list[str]] = {}
+        for pattern, literals in self.literals.items():
+            for literal in literals or ():
+                # letters that are rare in most texts come late in this order
+                at = max(range(len(literal) - 2), key=lambda i: sum(_COMMON.find(literal[i + k:i + k + 1]) < 0 for k in range(3)))
+                code = literal[at] << 16 | literal[at + 1] << 8 | literal[at + 2]
+                found.setdefault(code, []).append(pattern)
+        codes = sorted(found)
+        return np.array(codes, np.uint32), [found[c] for c in codes]
+
+    def rows(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        codes, wanting = self.grams()
+        known = np.zeros(1 << 24, bool)
+        known[codes] = True
+        for batch in batches:
+            split = pc.split_pattern(batch.column(2), "\n")
+            lines = split.flatten().view(pa.string())
+            counts = np.diff(split.offsets.to_numpy())
+            row_of = np.repeat(np.arange(len(counts)), counts)
+            number = np.arange(len(row_of)) - np.repeat(np.cumsum(counts) - counts, counts)
+            near = self.candidates(lines, known, codes, wanting)
+            allowed = self.allowed(batch)
+            for pattern, asked in self.by_pattern.items():
+                masks = [(n, allowed(n)) for n in asked]
+                some = np.logical_or.reduce([m for _, m in masks])
+                at = np.arange(len(row_of)) if self.literals[pattern] is None else near.get(pattern, _NONE)
+                at = at[some[row_of[at]]]
+                if not len(at):
+                    continue
+                place = first_places(lines.take(pa.array(at)), f"(?m:{pattern})")
+                at, place = at[place >= 0], place[place >= 0] + 1
+                for n, mask in masks:
+                    mine = mask[row_of[at]]
+                    hits, column = at[mine], place[mine]
+                    for begin in range(0, len(hits), _BATCH_ROWS):
+                        part = hits[begin:begin + _BATCH_ROWS]
+                        of = pa.array(row_of[part])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([self.ids[n]] * len(part), pa.string()), batch.column(0).take(of), batch.column(1).take(of), pa.array(number[part] + 1, pa.int32()),
+                             pa.array(column[begin:begin + _BATCH_ROWS], pa.int32()), lines.take(pa.array(part))],
+                            names=["req_id", "project", "path", "line", "column", "text"])
+
+    def candidates(self, lines: pa.StringArray, known: np.ndarray, codes: np.ndarray, wanting: list[list[str]]) -> dict[str, np.ndarray]:
+        """Pattern: the lines, in order, with a code of one of its literals."""
+        if not len(codes) or not len(lines):
+            return {}
+        data = np.frombuffer(lines.buffers()[2], np.uint8) if lines.buffers()[2] else np.zeros(0, np.uint8)
+        starts = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset:lines.offset + len(lines) + 1]
+        begin, end = int(starts[0]), int(starts[-1])
+        found: dict[str, list[np.ndarray]] = {}
+        for low in range(begin, end, _WINDOW):
+            part = _LOWER[data[low:min(end, low + _WINDOW + 2)]].astype(np.uint32)
+            grams = part[:-2] << 16 | part[1:-1] << 8 | part[2:]
+            spots = np.flatnonzero(known[grams])
+            line = np.searchsorted(starts, low + spots, "right") - 1
+            which = np.searchsorted(codes, grams[spots])
+            pairs = np.unique(which.astype(np.int64) << 32 | line)
+            which, line = pairs >> 32, pairs & 0xFFFFFFFF
+            bounds = np.searchsorted(which, np.arange(len(codes) + 1))
+            for n in np.unique(which).tolist():
+                for pattern in wanting[n]:
+                    found.setdefault(pattern, []).append(line[bounds[n]:bounds[n + 1]])
+        return {p: np.unique(np.concatenate(held)) for p, held in found.items()}
+
+    def allowed(self, batch: pa.RecordBatch):
+        """A function from a request to the rows of the batch that it searches."""
+        import pyarrow.compute as pc
 
-    out = np.zeros(len(lines), np.int32)
-    for pattern in pc.unique(patterns).to_pylist():
-        rows = np.flatnonzero(pc.equal(patterns, pattern).to_numpy(zero_copy_only=False))
-        at = pc.find_substring_regex(lines.take(pa.array(rows)), f"(?m:{pattern})")
-        out[rows] = pc.fill_null(at, -1).to_numpy(zero_copy_only=False) + 1
-    return pa.array(out)
+        paths = batch.column(1)
+        bases = pc.replace_substring_regex(paths, r"(?s)\A.*/", "")
+        of_project: dict[str, np.ndarray] = {}
+        of_path: dict[str, np.ndarray] = {}
+        of_scope: dict[tuple, np.ndarray] = {}
+
+        def matches(pattern: str) -> np.ndarray:
+            if pattern not in of_path:
+                re2 = path_to_re2(pattern)
+                of_path[pattern] = np.zeros(len(paths), bool) if re2 is None else pc.match_substring_regex(
+                    bases if re2[1] else paths, re2[0]).to_numpy(zero_copy_only=False)
+            return of_path[pattern]
+
+        def mask(n: int) -> np.ndarray:
+            project, scope = self.projects[n], self.scopes[n]
+            if project not in of_project:
+                of_project[project] = pc.equal(batch.column(0), project).to_numpy(zero_copy_only=False)
+            if scope not in of_scope:
+                keep, drop = scope
+                inside = np.logical_or.reduce([matches(p) for p in keep]) if keep else np.ones(len(paths), bool)
+                of_scope[scope] = inside & ~np.logical_or.reduce([matches(p) for p in drop] or [np.zeros(len(paths), bool)])
+            return of_project[project] & of_scope[scope]
+
+        return mask

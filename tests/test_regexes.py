@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from repoloom.functions.regexes import re2_to_java
+from repoloom.functions.regexes import re2_to_java, required_literals
 
 PATTERNS = [
     r"foo$", r"^$", r"^foo", r"\bx", r"x\b", r"\Bx", r"\bfoo\b", r"(?i)é", r"(?i)K", r"\s", r"\S+", r"[\s]x", r"[^\s]", r"[^\S]x", r"[[:alpha:]]+\d",
@@ -47,3 +47,12 @@ def test_anchors_around_newlines(spark):
     one = spark.createDataFrame([(0,)], "x int")
     got = one.select(*[F.lit(t).rlike(re2_to_java(p)) for t, p, _ in cases]).first()
     assert list(got) == [w for _, _, w in cases]
+
+
+@pytest.mark.parametrize(("pattern", "literals"), [
+    ("needle", [b"needle"]), ("ab", None), ("Need(le)?", [b"need"]), (r"\w+tion\b", [b"tion"]), ("foo|barn", [b"foo", b"barn"]), ("foo|b", None),
+    ("(foo|bar)x", [b"foo", b"bar"]), ("(foo|bar)*x", None), ("abcd?e", [b"abc"]), ("abc+de", [b"abc"]), ("abc{0,2}xyz", [b"xyz"]), ("a.bcd", [b"bcd"]),
+    (r"a\.b\.c", [b"a.b.c"]), ("(?i)ask THE", [b" the"]), ("(?i)été", None), ("é\u0301t", ["é\u0301t".encode()]), (r"\Qa.b\Ecdef", [b"cdef"]), ("[abc]def[^]]", [b"def"]),
+    (r"\x41BCD", [b"bcd"]), ("((one|three)four|five)", [b"four", b"five"]), ("^$", None), ("", None)])
+def test_required_literals(pattern, literals):
+    assert required_literals(pattern) == literals
