@@ -9,6 +9,7 @@ newline is a line of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,8 @@ from pyspark.sql import types as T
 from ..functions.paths import not_git, path_filter, walk_order
 from ..functions.regexes import path_to_re2, re2_to_java, repeats_group, required_literals
 from ..functions.text import SEARCH_MAX_BYTES, byte_len, is_text, let, lines_raw
-from ..session import selective
+from ..numbering import grouped_position
+from ..session import materialize, selective
 from .limits import cap_per_group
 
 DEFAULT_LIMIT = 200
@@ -30,14 +32,16 @@ _BATCH_BYTES = 16 << 20
 def searchable(files: DataFrame, includes: Sequence[str] = (), excludes: Sequence[str] = ()) -> DataFrame:
     """Files a search reads."""
     size = F.col("size") if "size" in files.columns else byte_len("content")
-    found = files.where(
-        not_git("path") & path_filter("path", [i for i in includes if i] or includes and ["\0"],
-                                      [e for e in excludes if e], globs=True)
-        & (size <= SEARCH_MAX_BYTES)
-    ).where(is_text("content"))
+    found = _named(files, includes, excludes).where(size <= SEARCH_MAX_BYTES).where(is_text("content"))
     return found.select("project", "path", "content")
 
 
+def _named(files: DataFrame, includes: Sequence[str], excludes: Sequence[str]) -> DataFrame:
+    """Files that a search asks for, told by their paths."""
+    return files.where(not_git("path") & path_filter("path", [i for i in includes if i] or includes and ["\0"],
+                                                     [e for e in excludes if e], globs=True))
+
+
 def byte_column(line: Column, java: Column | str) -> Column:
     """1-based byte offset of the first match in `line`.
 
@@ -230,8 +234,58 @@ def cap_matches(matches: DataFrame, limit: int = DEFAULT_LIMIT) -> DataFrame:
     by path text and line, which is a different order.
     """
     limit = limit if limit > 0 else DEFAULT_LIMIT
-    walk = [walk_order("path"), F.col("line"), F.col("column")]
-    return cap_per_group(matches, ["project"], walk, limit).orderBy("project", "path", "line")
+    return cap_per_group(matches, ["project"], _walk(), limit).orderBy("project", "path", "line")
+
+
+def grep_first(
+    files: DataFrame, pattern: str, limit: int = DEFAULT_LIMIT, includes: Sequence[str] = (), excludes: Sequence[str] = (),
+    context: int = 0, first: int = 64, growth: int = 8,
+) -> DataFrame:
+    """cap_matches(grep_lines(...), limit), reading on only where matches are missing.
+
+    The files of each project are numbered in walk order, from their paths
+    alone.  The first stage reads `first` files of every project; each next
+    one reads `growth` times as many, of the projects that have no more than
+    `limit` matches and have files left.  So a project costs at most about
+    `growth` times the files up to its last match.  The ranges of paths of a
+    stage go to the scan as filters, so a table sorted by path (land_files)
+    skips the row groups of other stages.
+    """
+    limit = limit if limit > 0 else DEFAULT_LIMIT
+    names = _named(files, includes, excludes).select("project", "path")
+    # folders are numbered on their own, and only their sizes are summed along a project
+    placed = materialize(grouped_position(names, ["project"], F.slice(walk_order("path"), 1, 2), [walk_order("path")], "pos"))
+    wanting = placed.groupBy("project").agg(F.max("pos").alias("files")).withColumn("hits", F.lit(0).cast("long"))
+    done, low, size = None, 0, first
+    while not (wanting := materialize(wanting.where((F.col("hits") <= limit) & (F.col("files") > low)))).isEmpty():
+        stage = placed.where((F.col("pos") > low) & (F.col("pos") <= low + size)).join(wanting.select("project"), "project", "left_semi")
+        near = files.where(_in_ranges(stage)).join(stage.select("project", "path"), ["project", "path"], "left_semi")
+        found = cap_per_group(grep_lines(near, pattern, includes, excludes, context), ["project"], _walk(), limit + 1).drop("truncated")
+        found = materialize(found)
+        done = found if done is None else done.unionByName(found)
+        more = found.groupBy("project").agg(F.count("*").alias("more"))
+        wanting = wanting.join(more, "project", "left").select("project", "files", (F.col("hits") + F.coalesce("more", F.lit(0))).alias("hits"))
+        low, size = low + size, size * growth
+    if done is None:
+        done = grep_lines(files.where("false"), pattern, includes, excludes, context)
+    return cap_matches(done, limit)
+
+
+_MOST_RANGES = 8
+
+
+def _in_ranges(stage: DataFrame) -> Column:
+    """A filter on project and path that a scan can use: a range for each project, or one for all of many."""
+    ends = [F.min("path").alias("low"), F.max("path").alias("high")]
+    ranges = stage.groupBy("project").agg(*ends).limit(_MOST_RANGES + 1).collect()
+    if len(ranges) > _MOST_RANGES:
+        return F.col("path").between(*stage.agg(*ends).first())
+    tests = [(F.col("project") == r.project) & F.col("path").between(r.low, r.high) for r in ranges]
+    return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+
+def _walk() -> list[Column]:
+    return [walk_order("path"), F.col("line"), F.col("column")]
 
 
 def grep_counts(files: DataFrame, pattern: str, **filters: Sequence[str]) -> DataFrame:

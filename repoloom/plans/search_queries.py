@@ -201,6 +201,12 @@ def grep_default_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.cap_matches(grep.grep_lines(views.files(spark, sf_dir), PATTERN))
 
 
+@query("grep_first", capped_sql(20))
+def grep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cap by stages that stop when a project has enough matches."""
+    return grep.grep_first(views.files(spark, sf_dir), PATTERN, 20, first=8)
+
+
 @query("grep_multiline", r"""
 with m as (
  select project, path, content, unnest(regexp_extract_all(content, '(?s)\.\n[A-Z]\w*')) as hit,
