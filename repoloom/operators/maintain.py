@@ -2,7 +2,7 @@
 
 Each operator returns what the tables should hold after the change.  Keys are
 checked with semi and anti joins; nothing is collected.  `sources.tables`
-writes the results.
+writes the results; reindex() alone writes to the stored index itself.
 """
 
 from __future__ import annotations
@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import checkout_dir, checkout_id, name_from_url, ref_name_problem, repo_name_problem
+from ..functions.paths import checkout_dir, checkout_id, name_from_url, ref_name_problem, repo_name_problem, source_lang
+from ..session import materialize, rows_of, selective
+from ..sources import tables
 from .registry import count_symbols
+from .symbols import build_index
 
 
 def _first_of(df: DataFrame, key: str) -> DataFrame:
@@ -164,19 +167,83 @@ def advance(projects: DataFrame, heads: DataFrame, resolved: DataFrame, at: Colu
     )
 
 
-def update_report(advanced: DataFrame, checkouts: DataFrame, symbols: DataFrame) -> DataFrame:
+def reindex(files: DataFrame, moved: DataFrame, root: str, at: Column) -> DataFrame:
+    """Bring the stored index of the checkouts in moved(id, commit_hash) to these commits.
+
+    Returns (id, symbol_count, parsed_at, index_error) for each of them.  A
+    checkout whose index is of its commit already is left alone, so a batch
+    that is run again writes nothing.  An unknown commit (null or empty) is
+    never taken for the indexed one.  A checkout without files, or with source
+    files that could not be read (null content), keeps its old index and time
+    and has an error.  files(project, path, content) holds the current files
+    of every checkout, under its id.
+    """
+    spark = files.sparkSession
+    moved = materialize(moved.select(F.col("id").alias("project"), "commit_hash").dropDuplicates(["project"]))
+    marks = tables.read_marks(spark, root).join(selective(moved.select("project")), "project", "left_semi")
+    same = marks.where("commit_hash <> ''").select("project", "commit_hash")
+    todo = materialize(moved.join(same, ["project", "commit_hash"], "left_anti"))
+    held = rows_of(files, todo, F.col("path"))
+    unread = F.col("content").isNull() & source_lang("path").isNotNull()
+    health = held.groupBy("project").agg(F.count("*").alias("files"), F.sum(unread.cast("long")).alias("unread"))
+    error = F.when(F.col("files").isNull(), "no files landed").when(
+        F.col("unread") > 0, F.concat(F.col("unread").cast("string"), F.lit(" source files could not be read")))
+    judged = materialize(todo.join(health, "project", "left").select("project", "commit_hash", error.alias("index_error")))
+    good = judged.where("index_error is null").select("project", "commit_hash", at.alias("parsed_at"))
+    if not good.isEmpty():
+        tables.write_symbols(build_index(rows_of(files, good, F.col("path"))), good, root)
+    asked = selective(moved.select("project"))
+    counts = tables.read_index(spark, root).join(asked, "project", "left_semi").groupBy("project").agg(F.count("*").alias("symbol_count"))
+    times = tables.read_marks(spark, root).join(asked, "project", "left_semi").select("project", "parsed_at")
+    return materialize(moved.select("project").join(judged, "project", "left").join(counts, "project", "left").join(times, "project", "left").select(
+        F.col("project").alias("id"), F.coalesce("symbol_count", F.lit(0)).cast("long").alias("symbol_count"), "parsed_at", "index_error"))
+
+
+def reindex_advanced(advanced: DataFrame, files: DataFrame, root: str, at: Column) -> DataFrame:
+    """reindex() of the checkouts that advance() marks, at the commits they moved to."""
+    return reindex(files, advanced.where("reindex").select("id", F.col("commit").alias("commit_hash")), root, at)
+
+
+def update_report(advanced: DataFrame, checkouts: DataFrame, symbols: DataFrame, indexed: DataFrame | None = None) -> DataFrame:
     """One row per checkout: outcome, commits and the size of its index.
 
     A checkout that could not be advanced shows its error and nothing else.
+    `symbols` is the index after the update; with indexed(id, index_error) of
+    reindex_advanced(), `reindex_error` says why an advanced checkout keeps
+    its old index.
     """
     count = F.when(F.col("ok"), F.col("symbol_count"))
-    return advanced.join(count_symbols(checkouts, symbols), "id", "left").select(
+    rows = advanced.join(count_symbols(checkouts, symbols), "id", "left")
+    if indexed is not None:
+        rows = rows.join(indexed.select("id", F.col("index_error").alias("reindex_error")), "id", "left")
+    return rows.select(
         F.col("id").alias("name"), "ok",
         *[F.when(F.col("ok"), F.col(c)).alias(c) for c in ("ref", "kind", "prev_commit", "commit")], "changed",
-        F.coalesce(count, F.lit(0)).cast("long").alias("symbol_count"), "error",
+        F.coalesce(count, F.lit(0)).cast("long").alias("symbol_count"), "error", *(["reindex_error"] if indexed is not None else []),
     )
 
 
+def with_index(outcome: DataFrame, files: DataFrame, root: str, at: Column) -> DataFrame:
+    """The outcome of register_fetch() or pin_checkouts() after the accepted checkouts were indexed.
+
+    Adds `index_error`, and sets `parsed_at` and `symbol_count` of the
+    accepted rows.  An index that fails does not undo a registration, and a
+    batch that is run again leaves indexed commits alone.
+    """
+    handle = "id" if "id" in outcome.columns else "name"
+    outcome = materialize(outcome)
+    fresh = outcome.where("outcome in ('registered', 'pinned')").select(F.col(handle).alias("id"), "commit_hash")
+    done = reindex(files, fresh, root, at).select(
+        F.col("id").alias(handle), F.col("symbol_count").alias("new_count"), F.col("parsed_at").alias("new_parsed"), "index_error", F.lit(True).alias("fresh"))
+    taken = F.col("fresh") & F.col("outcome").isin("registered", "pinned")
+    old_count = F.col("symbol_count") if "symbol_count" in outcome.columns else F.lit(0).cast("long")
+    old_parsed = F.col("parsed_at") if "parsed_at" in outcome.columns else F.lit(None).cast("timestamp_ntz")
+    kept = [c for c in outcome.columns if c not in ("symbol_count", "parsed_at")]
+    return outcome.join(done, handle, "left").select(
+        *kept, F.when(taken, F.col("new_count")).otherwise(old_count).alias("symbol_count"),
+        F.when(taken, F.col("new_parsed")).otherwise(old_parsed).alias("parsed_at"), F.when(taken, F.col("index_error")).alias("index_error"))
+
+
 def register_fetch(repos: DataFrame, checkouts: DataFrame, arrivals: DataFrame, root: str, at: Column) -> DataFrame:
     """Outcome of arrivals(url, name, ref, kind, commit_hash, shallow).
 
@@ -215,7 +282,7 @@ def new_checkouts(outcome: DataFrame) -> DataFrame:
     repo = F.col("repo") if "repo" in outcome.columns else F.col("name")
     return fresh.select(
         handle.alias("id"), repo.alias("repo"), "ref", "kind", "commit_hash", "path", F.col("at").alias("updated_at"),
-        F.lit(None).cast("timestamp_ntz").alias("parsed_at"),
+        (F.col("parsed_at") if "parsed_at" in outcome.columns else F.lit(None)).cast("timestamp_ntz").alias("parsed_at"),
     ).distinct()
 
 
@@ -237,7 +304,8 @@ def pin_checkouts(
     )
     default = checkouts.where("id = repo").select("repo", F.lit(True).alias("tracked"))
     existing = checkouts.join(counts, "id").select(
-        "id", "symbol_count", F.lit(True).alias("exists"), F.col("kind").alias("old_kind"), F.col("commit_hash").alias("old_hash"), F.col("path").alias("old_path"))
+        "id", "symbol_count", F.lit(True).alias("exists"), F.col("kind").alias("old_kind"), F.col("commit_hash").alias("old_hash"), F.col("path").alias("old_path"),
+        F.col("parsed_at").alias("old_parsed"))
     used = checkouts.where("id <> repo").groupBy("repo", F.lower("path").alias("held")).agg(F.min("id").alias("holder"))
     claims = asked.groupBy("repo", F.lower("folder").alias("key")).agg(F.min("id").alias("claimer"))
     what = resolved.select("repo", "ref", "kind", "commit_hash")
@@ -260,4 +328,5 @@ def pin_checkouts(
         F.when(F.col("exists"), F.col("old_hash")).otherwise(F.col("commit_hash")).alias("commit_hash"),
         F.coalesce("symbol_count", F.lit(0)).cast("long").alias("symbol_count"),
         F.when(F.col("exists"), F.col("old_path")).otherwise(F.concat(F.lit(base), "folder")).alias("path"), at.alias("at"),
+        F.when(F.col("exists"), F.col("old_parsed")).alias("parsed_at"),
     )

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grep, maintain, registry, topics
-from ..session import scratch_dir
+from ..operators.symbols import build_index
+from ..session import materialize, scratch_dir
 from ..sources import tables
 from ..streaming import refs as streams
 from . import views
@@ -59,13 +60,50 @@ def advance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintain.advance(*_moving(spark, sf_dir), now())
 
 
+# Every checkout id gets the code files of one brand, and some get none.
+BRAND_SQL = "concat('brand', (length({id}) + ascii(right({id}, 1))) % 9 + 1)"
+NO_FILES_SQL = "ascii(right({id}, 1)) % 5 = 4"
+COUNTS_SQL = "select project, count(*) as n_symbols, count(*) filter (line % 4 = 0) as n_old from symbols group by project"
+
+
+def _files_of(spark: SparkSession, sf_dir: str, ids: DataFrame) -> DataFrame:
+    """files of the checkouts in ids(id)."""
+    last = F.ascii(F.right("id", F.lit(1)))
+    brand = F.concat(F.lit("brand"), ((F.length("id") + last) % 9 + 1).cast("string"))
+    of = ids.select("id", brand.alias("project")).where(last % 5 != 4).distinct()
+    return views.code_files(spark, sf_dir).join(of, "project").select(F.col("id").alias("project"), "path", "content")
+
+
 @query("update_all", f"""
-with a as ({ADVANCE_SQL}) select a.id as name, ok, case when ok then ref end as ref, case when ok then kind end as kind, case when ok then prev_commit end as prev_commit, case when ok then commit end as commit, changed, (select count(*) from events e where e.event_type = 'click' and concat('r', e.user_id % 20, '@click') = a.id) as symbol_count, error from a""")
+with a as ({ADVANCE_SQL}), c as ({COUNTS_SQL}),
+m as ({MOVING_SQL}),
+r as (select a.*, m.parsed_at is not null and not ({NO_FILES_SQL.format(id='a.id')}) as had, m.commit_hash as old, c.* from a join m on m.id = a.id left join c on c.project = {BRAND_SQL.format(id='a.id')})
+select id as name, ok, case when ok then ref end as ref, case when ok then kind end as kind, case when ok then prev_commit end as prev_commit, case when ok then commit end as commit, changed,
+ case when not ok or {NO_FILES_SQL.format(id='id')} then 0 when reindex and not (had and old = commit) then coalesce(n_symbols, 0) when had then coalesce(n_old, 0) else 0 end as symbol_count, error,
+ case when reindex and (n_symbols is null or {NO_FILES_SQL.format(id='id')}) then 'no files landed' end as reindex_error from r""")
 def update_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The report; as symbols it counts one row per click."""
+    """Checkouts that were indexed before hold a part of the symbols of today's files until they move."""
+    where = scratch_dir(spark)
     projects, heads, resolved = _moving(spark, sf_dir)
-    index = views.ref_events(views.table(spark, sf_dir, "events")).where("ref = 'click'").select(F.col("id").alias("project"))
-    return maintain.update_report(maintain.advance(projects, heads, resolved, now()), projects, index)
+    files = _files_of(spark, sf_dir, projects)
+    before = projects.where("parsed_at is not null").select(F.col("id").alias("project"), "commit_hash", "parsed_at")
+    old = build_index(files).where("line % 4 = 0")
+    tables.write_symbols(old, before.join(files.select("project").distinct(), "project", "left_semi"), where)
+    advanced = materialize(maintain.advance(projects, heads, resolved, now()))
+    indexed = maintain.reindex_advanced(advanced, files, where, now())
+    return maintain.update_report(advanced, projects, tables.read_index(spark, where), indexed)
+
+
+@query("update_again", f"select 0 as n_indexed, count(*) as n_checkouts from ({MOVING_SQL})")
+def update_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same commits a second time: no checkout has a newer time than after the first run."""
+    where = scratch_dir(spark)
+    projects = _moving(spark, sf_dir)[0]
+    files = _files_of(spark, sf_dir, projects)
+    maintain.reindex(files, projects, where, now())
+    again = maintain.reindex(files, projects, where, F.lit("2030-01-01").cast("timestamp_ntz"))
+    return again.agg(F.sum((F.year("parsed_at") == 2030).cast("int")).cast("int").alias("n_indexed"), F.count("*").alias("n_checkouts")).withColumn(
+        "n_indexed", F.coalesce("n_indexed", F.lit(0)))
 
 
 ARRIVALS_SQL = """
@@ -85,12 +123,18 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("register_fetch", f"""
-select url, case when name <> '' then name when url like '%/..' then '' else regexp_extract(regexp_replace(url, '\\.git$', ''), '([^/:]*)$', 1) end as name,
- case when url like '%/..' then 'no name in URL' when name like 'bad/%' then 'bad name: separator' when url like 'https://example.com/%.git' then 'already tracked' else 'registered' end as outcome from ({ARRIVALS_SQL})""")
+with a as (select url, case when name <> '' then name when url like '%/..' then '' else regexp_extract(regexp_replace(url, '\\.git$', ''), '([^/:]*)$', 1) end as name,
+ case when url like '%/..' then 'no name in URL' when name like 'bad/%' then 'bad name: separator' when url like 'https://example.com/%.git' then 'already tracked' else 'registered' end as outcome from ({ARRIVALS_SQL}))
+select url, name, outcome, 'main' as ref, 'branch' as kind, md5(url) as commit_hash, false as shallow, concat('/data/', name) as path, {AT_SQL} as at,
+ case when outcome = 'registered' and not ({NO_FILES_SQL.format(id='name')}) then coalesce(n_symbols, 0) else 0 end as symbol_count,
+ case when outcome = 'registered' and not ({NO_FILES_SQL.format(id='name')}) and n_symbols is not null then {AT_SQL} end as parsed_at,
+ case when outcome = 'registered' and ({NO_FILES_SQL.format(id='name')} or n_symbols is null) then 'no files landed' end as index_error
+from a left join ({COUNTS_SQL}) c on c.project = {BRAND_SQL.format(id='name')}""")
 def register_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = maintain.register_fetch(
-        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", now())
-    return out.select("url", "name", "outcome")
+    """Arrivals are judged, and the accepted ones indexed."""
+    out = materialize(maintain.register_fetch(
+        views.repos(spark, sf_dir), views.checkouts(spark, sf_dir), _arrivals(spark, sf_dir), "/data", now()))
+    return maintain.with_index(out, _files_of(spark, sf_dir, out.select(F.col("name").alias("id"))), scratch_dir(spark), now())
 
 
 @query("register_fetch_rows", f"""
@@ -118,15 +162,23 @@ def _pins(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 @query("pin_checkout", f"""
-with p as ({PINS_SQL}), c as (select id from checkouts),
+with p as ({PINS_SQL}), c as (select * from checkouts),
 j as (select p.*, concat(p.repo, '@', ref) as id, (select min(id) from checkouts u where u.repo = p.repo and u.id <> u.repo and lower(concat(u.repo, '@', u.ref)) = lower(concat(p.repo, '@', replace(p.ref, '/', '-')))) as holder,
- min(concat(p.repo, '@', ref)) over (partition by repo, lower(replace(ref, '/', '-'))) as claimer from p)
-select id, repo, ref, case when ref = 'bad..ref' then 'bad ref: dot dot' when repo not in (select name from repos) then 'not tracked' when id in (select id from c) then 'existing'
- when holder is not null then concat('folder used by ', holder) when claimer <> id then concat('folder used by ', claimer) when ref = 'v2' then 'ref not resolved' else 'pinned' end as outcome from j""")
+ min(concat(p.repo, '@', ref)) over (partition by repo, lower(replace(ref, '/', '-'))) as claimer from p),
+o as (select id, repo, ref, case when ref = 'bad..ref' then 'bad ref: dot dot' when repo not in (select name from repos) then 'not tracked' when id in (select id from c) then 'existing'
+ when holder is not null then concat('folder used by ', holder) when claimer <> id then concat('folder used by ', claimer) when ref = 'v2' then 'ref not resolved' else 'pinned' end as outcome from j)
+select o.id, o.repo, o.ref, outcome, case when c.id is not null then c.kind when o.ref <> 'v2' then 'tag' end as kind,
+ case when c.id is not null then c.commit_hash when o.ref <> 'v2' then md5(concat(o.repo, o.ref)) end as commit_hash,
+ case when c.id is not null then c.path else concat('/data/', o.repo, '@', replace(o.ref, '/', '-')) end as path, {AT_SQL} as at,
+ case when c.id is not null then (select count(*) from symbols s where s.project = c.id) when outcome = 'pinned' and not ({NO_FILES_SQL.format(id='o.id')}) then coalesce(n_symbols, 0) else 0 end as symbol_count,
+ case when c.id is not null then c.parsed_at when outcome = 'pinned' and not ({NO_FILES_SQL.format(id='o.id')}) and n_symbols is not null then {AT_SQL} end as parsed_at,
+ case when outcome = 'pinned' and ({NO_FILES_SQL.format(id='o.id')} or n_symbols is null) then 'no files landed' end as index_error
+from o left join c on c.id = o.id left join ({COUNTS_SQL}) n on n.project = {BRAND_SQL.format(id='o.id')}""")
 def pin_checkout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pins are judged, and the new ones indexed."""
     pins, known = _pins(spark, sf_dir)
-    out = maintain.pin_checkouts(views.checkouts(spark, sf_dir), views.symbols(spark, sf_dir), pins, known, "/data", now())
-    return out.select("id", "repo", "ref", "outcome")
+    out = materialize(maintain.pin_checkouts(views.checkouts(spark, sf_dir), views.symbols(spark, sf_dir), pins, known, "/data", now()))
+    return maintain.with_index(out, _files_of(spark, sf_dir, out), scratch_dir(spark), now())
 
 
 LATEST_SQL = """
@@ -147,29 +199,41 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_ref_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events as a file stream, run to its end."""
     where = scratch_dir(spark)
-    streams.store_latest(_event_stream(spark, sf_dir), f"{where}/latest", f"{where}/checkpoint").awaitTermination()
-    return streams.read_latest(spark, f"{where}/latest")
+    streams.store_latest(_event_stream(spark, sf_dir), f"{where}/checkpoint").awaitTermination()
+    return streams.read_latest(spark, f"{where}/checkpoint")
 
 
 @query("incremental_index", """
-select * from symbols where right(project, 1) in ('1', '2', '3') union all
-select project, path, name, kind, line, end_line, parent, lang from symbols where right(project, 1) not in ('1', '2', '3') and path < 'src/m'""")
+select * from symbols where p % 2 = 0 union all select * from symbols where p % 2 = 1 and path < 'src/m'""".replace("p %", "cast(right(project, 1) as int) %"))
 def incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An index of part of the files, then a stream of moves that re-reads
-    some projects in full."""
+    """An index of part of the files, then a stream of moves of all brands; those of odd number stand where they did."""
     where = scratch_dir(spark)
     code = views.code_files(spark, sf_dir)
-    old = views.symbols(spark, sf_dir).where("path < 'src/m'")
-    tables.write_symbols(old, code.select("project").distinct(), where)
+    odd = F.right("project", F.lit(1)).cast("int") % 2 == 1
+    before = code.select("project").distinct().select(
+        "project", F.when(odd, F.md5("project")).otherwise("before").alias("commit_hash"), now().alias("parsed_at"))
+    tables.write_symbols(views.symbols(spark, sf_dir).where("path < 'src/m'"), before, where)
     parts = streams.table_stream(spark, views.table(spark, sf_dir, "part").schema, sf_dir, "part.parquet")
     brand = F.concat(F.lit("brand"), F.replace("p_brand", F.lit("Brand#"), F.lit("")))
-    moves = parts.where(F.substring("p_brand", -1, 1).isin("1", "2", "3")).select(
+    moves = parts.select(
         brand.alias("id"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"), F.lit("main").alias("ref"), F.lit("branch").alias("kind"),
-        F.md5("p_brand").alias("commit_hash"))
+        F.md5(brand).alias("commit_hash"))
     streams.incremental_index(moves, code, where, f"{where}/checkpoint").awaitTermination()
     return tables.read_index(spark, where)
 
 
+@query("index_removal", "select * from symbols where right(project, 1) not in ('1', '5') or (right(project, 1) = '5' and line % 4 = 0)")
+def index_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkouts of two kinds are removed from the store; those of one kind come back with other symbols."""
+    where = scratch_dir(spark)
+    s = views.symbols(spark, sf_dir)
+    every = s.select("project").distinct()
+    tables.write_symbols(s, every, where)
+    tables.drop_symbols(every.where(F.right("project", F.lit(1)).isin("1", "5")).union(spark.createDataFrame([("unknown",)], "project string")), where)
+    tables.write_symbols(s.where("line % 4 = 0"), every.where(F.right("project", F.lit(1)) == "5"), where)
+    return tables.read_index(spark, where)
+
+
 @query("symbol_index_store", "select * from symbols where right(project, 1) <> '1' and (right(project, 1) <> '2' or line % 4 = 0)")
 def symbol_index_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, then rewritten for two kinds of brands, one of which is empty now."""

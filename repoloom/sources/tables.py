@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import selective
+
 SCHEMA_VERSION = 1
 
 SYMBOLS = T.StructType([
@@ -23,6 +25,10 @@ SYMBOLS = T.StructType([
     T.StructField("project", T.StringType()),
 ])
 
+# What the mark row of an indexed checkout says: the commit that was parsed, and when.
+MARK = [T.StructField("commit_hash", T.StringType()), T.StructField("parsed_at", T.TimestampNTZType())]
+STORED = T.StructType([*SYMBOLS.fields[:-1], *MARK, SYMBOLS.fields[-1]])
+
 
 def _fs(spark: SparkSession, location: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(location)
@@ -42,26 +48,27 @@ def remove(spark: SparkSession, location: str) -> None:
 
 
 def read_symbols(spark: SparkSession, root: str) -> DataFrame:
-    """The symbol index; filters on `project` prune partitions."""
+    """The stored rows, symbols and marks; filters on `project` prune partitions."""
     location = f"{root}/symbols"
     if not exists(spark, location):
-        return spark.createDataFrame([], SYMBOLS)
-    return spark.read.schema(SYMBOLS).parquet(location)
+        return spark.createDataFrame([], STORED)
+    return spark.read.schema(STORED).parquet(location)
 
 
 def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
-    """Replace the index of every project in parsed(project).
+    """Replace the index of every project in parsed(project, and commit_hash and parsed_at if they are known).
 
     A project left without symbols still has to lose its old rows, which a
-    dynamic overwrite alone would keep: every project gets one row with a null
-    name, and `read_index` leaves those rows out.
+    dynamic overwrite alone would keep: every project gets one mark row with a
+    null name, which also keeps the commit, and `read_index` leaves those out.
     """
     rows = symbols.select(*SYMBOLS.fieldNames())
-    done = parsed.select("project").distinct()
-    marks = done.select(
-        *[F.lit(None).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields if f.name != "project"], "project"
-    )
-    out = rows.join(done, "project", "left_semi").select(*SYMBOLS.fieldNames()).unionByName(marks)
+    known = {f.name: F.col(f.name) if f.name in parsed.columns else F.lit(None).cast(f.dataType) for f in MARK}
+    done = parsed.select("project", *[c.alias(n) for n, c in known.items()]).dropDuplicates(["project"])
+    marks = done.select("project", *known, *[F.lit(None).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields if f.name != "project"])
+    plain = rows.join(done.select("project"), "project", "left_semi").select(
+        *SYMBOLS.fieldNames(), *[F.lit(None).cast(f.dataType).alias(f.name) for f in MARK])
+    out = plain.unionByName(marks).select(*STORED.fieldNames())
     (
         # Rebalance splits a huge project over several files and keeps small
         # ones in one; sorting by name lets footers skip row groups.
@@ -71,23 +78,26 @@ def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
     )
 
 
-def drop_symbols(removed: DataFrame, root: str) -> int:
-    """Delete the index of the checkouts in removed(project) from disk; how many there were.
+def drop_symbols(removed: DataFrame, root: str) -> None:
+    """Empty the index of the checkouts in removed(project) that are stored.
 
-    Only the folder names of the removed checkouts come to the driver.
+    Their partitions are replaced by a mark without a commit, in one write by
+    the tasks; only the partitions of the removed checkouts are looked at.  A
+    checkout that comes back is indexed like a new one.
     """
     spark = removed.sparkSession
-    stored = read_symbols(spark, root).select("project", F.regexp_replace(F.input_file_name(), r"/[^/]*\z", "").alias("folder")).distinct()
-    folders = [r.folder for r in stored.join(removed.select("project").distinct(), "project", "left_semi").select("folder").distinct().collect()]
-    for folder in folders:
-        fs, path = _fs(spark, folder)
-        fs.delete(path, True)
-    return len(folders)
+    there = read_symbols(spark, root).where("name is null").join(selective(removed.select("project").distinct()), "project", "left_semi")
+    write_symbols(spark.createDataFrame([], SYMBOLS), there.select("project"), root)
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """Symbols proper, without the rows that mark a project as indexed."""
-    return read_symbols(spark, root).where(F.col("name").isNotNull())
+    return read_symbols(spark, root).where(F.col("name").isNotNull()).select(*SYMBOLS.fieldNames())
+
+
+def read_marks(spark: SparkSession, root: str) -> DataFrame:
+    """(project, commit_hash, parsed_at) of the checkouts that are indexed."""
+    return read_symbols(spark, root).where("name is null and parsed_at is not null").select("project", "commit_hash", "parsed_at")
 
 
 def save_table(df: DataFrame, root: str, name: str) -> None:

@@ -9,9 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.grep import grep_lines
-from ..operators.symbols import build_index
-from ..session import rows_of
-from ..sources.tables import write_symbols
+from ..operators.maintain import reindex
 
 REF_EVENTS = "id string, ts timestamp_ntz, ref string, kind string, commit_hash string"
 
@@ -26,23 +24,21 @@ def latest_refs(events: DataFrame) -> DataFrame:
     return events.groupBy("id").agg(last).select("id", "last.ref", "last.kind", "last.commit_hash", "last.ts")
 
 
-def store_latest(events: DataFrame, location: str, checkpoint: str) -> StreamingQuery:
-    """Run a stream of moves into a store that `read_latest` reads.
+def store_latest(events: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Run a stream of moves into keyed state that `read_latest` reads.
 
-    Every batch is reduced to one row per checkout before it is written under
-    its batch number, so a batch that is run again replaces itself.
+    The state below the checkpoint holds one row per checkout, whatever the
+    number of batches; a batch that is run again, a late move and one at the
+    same time as another end in the same row.
     """
+    return latest_refs(events).writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def write(batch: DataFrame, number: int) -> None:
-        latest_refs(batch).write.mode("overwrite").parquet(f"{location}/batch={number}")
 
-    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def read_latest(spark: SparkSession, location: str) -> DataFrame:
-    """The newest move per checkout over all stored batches."""
-    stored = spark.read.schema("id string, ref string, kind string, commit_hash string, ts timestamp_ntz").parquet(location)
-    return latest_refs(stored)
+def read_latest(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The newest move per checkout after the last finished batch of `store_latest`."""
+    state = spark.read.format("statestore").load(checkpoint)
+    last = F.col("value")[state.schema["value"].dataType.names[0]]
+    return state.select("key.id", *[last[c].alias(c) for c in ("ref", "kind", "commit_hash", "ts")])
 
 
 def incremental_index(
@@ -50,14 +46,13 @@ def incremental_index(
 ) -> StreamingQuery:
     """Re-index the checkouts that moved, batch by batch.
 
-    files holds the current files of every checkout.  Only the checkouts named
-    in a batch are read and only their partitions are replaced, so repeating a
-    batch changes nothing.
+    files holds the current files of every checkout.  Only the checkouts whose
+    stored index is of another commit are read and replaced (reindex), so a
+    batch that names unmoved checkouts, or is run again, writes nothing.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        moved = latest_refs(batch).select(F.col("id").alias("project"))
-        write_symbols(build_index(rows_of(files, moved, F.col("path"))), moved, root)
+        reindex(files, latest_refs(batch).select("id", "commit_hash"), root, F.localtimestamp())
 
     return moves.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

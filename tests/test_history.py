@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoloom.functions import linediff
-from repoloom.operators import diff, history
+from repoloom.operators import diff, history, maintain
 from repoloom.session import materialize, rows_of, scratch_dir
 from repoloom.sources import tables
 from repoloom.sources.history import parse_commit_log, parse_remote_refs
@@ -251,12 +251,19 @@ def move_rows(spark, moves):
 
 
 def test_latest_over_batches(spark):
+    """Late moves and moves at the same time, in one batch for each file; the state has one row per checkout."""
     where = scratch_dir(spark)
-    for n in range(2):
-        move_rows(spark, MOVES[n::2]).coalesce(1).write.mode("append").parquet(f"{where}/in")
-        stream = streams.table_stream(spark, streams.REF_EVENTS, f"{where}/in")
-        streams.store_latest(stream, f"{where}/out", f"{where}/ck").awaitTermination()
-    assert {r.id: r.commit_hash for r in streams.read_latest(spark, f"{where}/out").collect()} == {"a": "c3", "b": "d"}
+    rng = random.Random(4)
+    moves = MOVES + [(rng.choice("ab"), rng.choice([1, 2, 3]), f"a{n}") for n in range(20)] + [("c", 1, "x")]
+    for n in range(8):
+        move_rows(spark, moves[n::8]).coalesce(1).write.mode("append").parquet(f"{where}/in")
+        stream = spark.readStream.schema(streams.REF_EVENTS).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+        if n % 3 == 1 or n == 7:
+            streams.store_latest(stream, f"{where}/ck").awaitTermination()
+    want = {i: max((d, h) for j, d, h in moves if j == i)[1] for i in "abc"}
+    rows = streams.read_latest(spark, f"{where}/ck").collect()
+    assert {r.id: r.commit_hash for r in rows} == want and len(rows) == 3
+    assert sorted(rows) == sorted(streams.latest_refs(move_rows(spark, moves)).select(*rows[0].__fields__).collect())
 
 
 def test_index_follows_moves(spark, make_files):
@@ -267,6 +274,35 @@ def test_index_follows_moves(spark, make_files):
         stream = streams.table_stream(spark, streams.REF_EVENTS, f"{where}/in")
         streams.incremental_index(stream, files, where, f"{where}/ck").awaitTermination()
     assert [(r.project, r.name) for r in tables.read_index(spark, where).collect()] == [("a", "one")]
+    first = tables.read_marks(spark, where).collect()
+    assert [(r.project, r.commit_hash) for r in first] == [("a", "c1")]
+    move_rows(spark, [("a", 5, "c1")]).write.mode("append").parquet(f"{where}/in")
+    streams.incremental_index(streams.table_stream(spark, streams.REF_EVENTS, f"{where}/in"), files, where, f"{where}/ck").awaitTermination()
+    assert tables.read_marks(spark, where).collect() == first, "a move to the same commit writes nothing"
+    move_rows(spark, [("a", 6, "c2"), ("b", 6, "c1")]).write.mode("append").parquet(f"{where}/in")
+    streams.incremental_index(streams.table_stream(spark, streams.REF_EVENTS, f"{where}/in"), files, where, f"{where}/ck").awaitTermination()
+    assert {(r.project, r.commit_hash) for r in tables.read_marks(spark, where).collect()} == {("a", "c2"), ("b", "c1")}
+
+
+def test_reindex(spark, make_files):
+    """Errors keep the old index; a batch that is run again, or after a failure, does what is left only."""
+    root = scratch_dir(spark)
+    day = F.lit("2024-05-01").cast("timestamp_ntz")
+    later = F.lit("2024-06-01").cast("timestamp_ntz")
+    good = make_files({"x.py": "def one(): pass\nclass Two: pass\n"}, "a").unionByName(make_files({"note.md": "text"}, "m"))
+    broken = good.unionByName(make_files({"y.py": "def old(): pass\n"}, "b")).unionByName(
+        spark.createDataFrame([("b", "z.py", None)], "project string, path string, content binary"))
+    moved = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("m", "c1"), ("gone", "c1"), ("a", "c1")], "id string, commit_hash string")
+    got = {r.id: (r.symbol_count, str(r.parsed_at)[:10], r.index_error) for r in maintain.reindex(broken, moved, root, day).collect()}
+    assert got == {"a": (2, "2024-05-01", None), "m": (0, "2024-05-01", None), "gone": (0, "None", "no files landed"),
+                   "b": (0, "None", "1 source files could not be read")}
+    mended = good.unionByName(make_files({"y.py": "def new(): pass\n"}, "b"))
+    got = {r.id: (r.symbol_count, str(r.parsed_at)[:10], r.index_error) for r in maintain.reindex(mended, moved, root, later).collect()}
+    assert got["a"] == (2, "2024-05-01", None) and got["b"] == (1, "2024-06-01", None) and got["gone"][2] == "no files landed"
+    unknown = spark.createDataFrame([("a", ""), ("m", None)], "id string, commit_hash string")
+    assert {str(r.parsed_at)[:10] for r in maintain.reindex(mended, unknown, root, later).collect()} == {"2024-06-01"}
+    lost = maintain.reindex(good.where("project <> 'a'"), spark.createDataFrame([("a", "c9")], "id string, commit_hash string"), root, later).first()
+    assert (lost.symbol_count, lost.index_error) == (2, "no files landed"), "the old index stays"
 
 
 def test_grep_stream(spark, make_files):
@@ -329,8 +365,10 @@ def test_dropped_checkouts_leave_the_stored_index(spark, tmp_path):
     index = spark.createDataFrame(rows, "project string, path string, name string, kind string, line int, end_line int, parent string, lang string")
     tables.write_symbols(index, index.select("project"), str(tmp_path))
     gone = spark.createDataFrame([("one",), ("x@v",), ("never",)], "project string")
-    assert tables.drop_symbols(gone, str(tmp_path)) == 2
-    assert {r.project for r in tables.read_symbols(spark, str(tmp_path)).collect()} == {"two"}
+    tables.drop_symbols(gone, str(tmp_path))
+    assert {r.project for r in tables.read_index(spark, str(tmp_path)).collect()} == {"two"}
+    assert {r.project for r in tables.read_symbols(spark, str(tmp_path)).collect()} == {"one", "two", "x@v"}, "nothing is written for unknown ones"
+    assert tables.read_marks(spark, str(tmp_path)).count() == 0
 
 
 def test_hints_and_uncapped_documents(spark, make_files):
