@@ -259,18 +259,28 @@ def diff_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("diff_renames", """
-with one as (select project, content from files group by all having count(*) = 1),
-m as (select f.project, f.path, f.doc_id from files f join one on f.project = one.project and f.content = one.content)
-select project, case when doc_id % 4 = 0 then concat('moved/', path) else path end as path, case when doc_id % 4 = 0 then 'R' else 'D' end as status, case when doc_id % 4 = 0 then path end as old_path
-from m where doc_id % 4 = 0 or doc_id % 4 = 1""")
+with o as (select project, path, doc_id, md5(content) as sha from files),
+n as (select project, case when doc_id % 4 = 0 then concat('moved/', path) else path end as path, sha from o where doc_id % 4 <> 1),
+d as (select *, row_number() over (partition by project, sha order by md5(path)) as k from o where doc_id % 4 in (0, 1)),
+a as (select *, row_number() over (partition by project, sha order by md5(path)) as k from n where path like 'moved/%')
+select coalesce(a.project, d.project) as project, coalesce(a.path, d.path) as path, case when a.path is not null and d.path is not null then 'R' when a.path is null then 'D' else 'A' end as status,
+ case when a.path is not null then d.path end as old_path
+from d full join a on a.project = d.project and a.sha = d.sha and a.k = d.k""")
 def diff_renames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quarter of the distinct files moves, another quarter goes away."""
-    f = views.files(spark, sf_dir)
-    once = f.withColumn("sha", F.sha2("content", 256))
-    single = once.groupBy("project", "sha").agg(F.count("*").alias("n")).where("n = 1").drop("n")
-    old = once.join(single, ["project", "sha"], "left_semi")
-    new = old.where("doc_id % 4 <> 1").withColumn("path", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path")))
-    return diff.diff_files(old, new)
+    """A quarter of the files moves, another quarter goes away; files of equal contents pair off in the order of the MD5 of their paths."""
+    old = views.files(spark, sf_dir)
+    moved = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
+    return diff.diff_files(old, old.where("doc_id % 4 <> 1").withColumn("path", moved))
+
+
+@query("diff_checkouts", f"select concat(project, ':a..b') as project, path, status, cast(null as varchar) as old_path from ({STATUS_SQL})")
+def diff_checkouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of pairs of checkouts, all in one table."""
+    old, new = _snapshots(spark, sf_dir)
+    at = lambda f, ref: f.withColumn("project", F.concat("project", F.lit(f"@{ref}")))
+    pairs = old.select("project").distinct().select(
+        F.concat("project", F.lit(":a..b")).alias("pair"), F.concat("project", F.lit("@a")).alias("old"), F.concat("project", F.lit("@b")).alias("new"))
+    return diff.diff_files(*diff.snapshot_pairs(at(old, "a").unionByName(at(new, "b")), pairs), renames=False)
 
 
 SCOPED = ["src", "vendor/"]

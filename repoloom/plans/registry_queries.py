@@ -311,3 +311,14 @@ def set_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def set_shallow(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.repos(spark, sf_dir)
     return maintain.set_shallow(r, r.where("name like '%4'").select("name", F.lit(False).alias("shallow")))
+
+
+@query("info", """
+select c.id as handle, c.repo as name, r.url, c.ref, c.kind, c.commit_hash as commit, n.n as n_checkouts, c.repo as first_id
+from checkouts c join repos r on r.name = c.repo join (select repo, count(*) as n from checkouts group by repo) n on n.repo = c.repo""")
+def info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every checkout with its repo, whose default checkout comes first."""
+    checkouts = views.checkouts(spark, sf_dir)
+    out = registry.info(checkouts.select(F.col("id").alias("handle")), checkouts, views.repos(spark, sf_dir))
+    return out.select("handle", "name", "url", "checkout.ref", "checkout.kind", "checkout.commit", F.size("checkouts").cast("long").alias("n_checkouts"),
+                      F.get("checkouts", F.lit(0))["id"].alias("first_id"))

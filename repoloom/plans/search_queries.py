@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import language, paths, text
+from ..functions.text import READ_MAX_KB, SEARCH_MAX_BYTES
 from ..operators import grep, listing
+from ..operators.read import read_files
+from ..session import scratch_dir
+from ..sources.corpus import corpus_scan, land_files
 from . import views
 from .catalog import query
 
@@ -137,6 +141,42 @@ def lines_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("project", "path", (F.col("at") + 1).alias("line"), "text")
 
 
+SIZES = "case doc_id % 4 when 0 then octet_length(encode(content)) when 1 then 102400 when 2 then 10485760 else 10485761 end"
+
+
+@query("size_guard", f"""
+select project, path, size <= 10485760 as searched, case when size > 102400 then concat('exceeds --max-size limit (', size, ' bytes > 102400 bytes)') end as read_error,
+ case when size > 10485760 then concat('exceeds --max-size limit (', size, ' bytes > 10485760 bytes)') end as range_error from (select *, {SIZES} as size from files)""")
+def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which files are searched, and read whole or in part, by the sizes that the files table has for them."""
+    size = views._pick(F.col("doc_id") % 4, [text.byte_len("content"), F.lit(READ_MAX_KB * 1024), F.lit(SEARCH_MAX_BYTES), F.lit(SEARCH_MAX_BYTES + 1)])
+    files = views.files(spark, sf_dir).withColumn("size", size.cast("long"))
+    both = F.explode(F.array(F.lit(""), F.lit("1")))
+    asked = files.select(F.col("project").alias("req_id"), "project", "path", F.col("doc_id").alias("pos"), both.alias("line_range"))
+    asked = asked.withColumn("req_id", F.concat_ws("|", "req_id", "line_range"))
+    read = read_files(files, asked).select(
+        F.substring_index("req_id", "|", 1).alias("project"), "path", F.when(F.col("req_id").endswith("|1"), F.col("error")).alias("range_error"),
+        F.when(F.col("req_id").endswith("|"), F.col("error")).alias("read_error"))
+    read = read.groupBy("project", "path").agg(F.max("read_error").alias("read_error"), F.max("range_error").alias("range_error"))
+    found = grep.searchable(files).select("project", "path", F.lit(True).alias("searched"))
+    return read.join(found, ["project", "path"], "left").na.fill(False, ["searched"])
+
+
+@query("landing", """
+select project, path, octet_length(encode(content)) as size, sha256(content) as sha256 from files where cast(substring(project, 4) as int) % 2 = 0
+union all select project, path, octet_length(encode(content)), sha256(content) from files_b where cast(substring(project, 4) as int) % 2 = 1""")
+def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files landed, then a second snapshot of every other project, then all of them scanned."""
+    where = scratch_dir(spark)
+
+    def rows(files: DataFrame) -> DataFrame:
+        return files.select("project", "path", text.byte_len("content").alias("size"), F.col("content").cast("binary").alias("content"))
+
+    land_files(rows(views.files(spark, sf_dir)), where)
+    land_files(rows(views.files_b(spark, sf_dir)).where(F.substring("project", 4, 9).cast("int") % 2 == 1), where)
+    return corpus_scan(spark, where).select("project", "path", "size", "sha256")
+
+
 PATTERN = r"\b(the|les?)\b.*(?:tion|ment)s?\b"
 
 

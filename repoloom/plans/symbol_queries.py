@@ -207,3 +207,41 @@ def symbols_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = _two_versions(spark, sf_dir)
     pairs = views.symbols(spark, sf_dir).select(F.col("project").alias("old")).distinct().withColumn("new", F.concat("old", F.lit("@v2")))
     return ops.compare_versions(both, pairs)
+
+
+def _asked(symbols: DataFrame, **given) -> tuple[int | None, str | None]:
+    """Rows of a query over all checkouts, or why it is refused."""
+    try:
+        return ops.symbols_across(symbols, **given, limit=0).count(), None
+    except ValueError as error:
+        return None, str(error)
+
+
+KNOWN_LANGS = "('go', 'java', 'python', 'tsx', 'typescript')"
+
+
+@query("lang_guard", f"""
+select label, case when label in {KNOWN_LANGS} then (select count(*) from symbols where lang = label) end as found,
+ case when label not in {KNOWN_LANGS} then concat('unsupported language ', chr(39), label, chr(39), '; supported: go, java, python, tsx, typescript') end as problem
+from (select distinct lang as label from documents union select distinct lang from symbols union select unnest(['go', 'java', 'tsx', 'Go'])) q""")
+def lang_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the index and of the documents as filters: those that are no source languages are refused."""
+    index = views.symbols(spark, sf_dir)
+    labels = {r.lang for r in views.table(spark, sf_dir, "documents").select("lang").union(index.select("lang")).distinct().collect()}
+    rows = [(label, *_asked(index, langs=[label])) for label in sorted(labels | {"go", "java", "tsx", "Go"})]
+    return spark.createDataFrame(rows, "label string, found long, problem string")
+
+
+@query("cross_project_guard", f"""
+with p as (select distinct project from symbols), w as (select 'a query over all checkouts needs a name, a kind or a language' as problem)
+select project as asked, cast(null as bigint) as found, problem from p, w
+union all select '', null, problem from w
+union all select concat(project, ' kind'), (select count(*) from symbols s where s.project = p.project and kind = 'class'), null from p
+union all select ' name', (select count(*) from symbols where contains({NAME}, 'red')), null""")
+def cross_project_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over all or listed checkouts a name, a kind or a language has to be given."""
+    index = views.symbols(spark, sf_dir)
+    rows = [("", *_asked(index)), (" name", *_asked(index, name="*red*"))]
+    for r in index.select("project").distinct().collect():
+        rows += [(r.project, *_asked(index, projects=[r.project])), (f"{r.project} kind", *_asked(index, projects=[r.project], kinds=["class"]))]
+    return spark.createDataFrame(rows, "asked string, found long, problem string")
