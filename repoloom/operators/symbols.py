@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import SOURCE_LANGS, in_skipped_dir, source_lang
-from ..functions.scan import definitions, enclosing
+from ..functions.scan import CONTAINERS, definitions, enclosing
 from ..functions.text import like_ascii_ci, name_pattern, name_pattern_col, split_list
 from ..session import salted_join
 from .limits import cap_all, cap_per_group
@@ -66,22 +66,54 @@ def _rows(project: str, path: str, lang: str, content: bytes | None) -> list[tup
 
 
 def enclosing_parents(defs: DataFrame) -> DataFrame:
-    """`container` for definitions given as rows.
-
-    The rows of one file meet in one task: a group is no larger than what one
-    file defines.  A sweep over the sorted ranges finds the parents, so no
-    pairs are formed.
+    """`container` for definitions given as rows: the name of the smallest class, interface, struct or enum around each.
+
+    A container is never its own parent, and of equal ranges the first wins.
+    Ranges of a parsed file nest.  Then opening and closing containers in the
+    order of their bytes gives each definition the number of containers open
+    around it, and its parent is the last one that was opened at that level,
+    so neither pairs nor groups are formed.  In a file with ranges that cross
+    or are empty, which the parents found this way show, every definition is
+    compared with the containers of its file.
     """
-    kept = defs.drop("container")
-    schema = ", ".join(f"{name} {kind}" for name, kind in kept.dtypes) + ", container string"
-
-    def resolve(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("def_ix")
-        names = group["name"].tolist()
-        up = enclosing(group["start_byte"].tolist(), group["end_byte"].tolist(), group["kind"].tolist())
-        return group.assign(container=[names[i] if i >= 0 else None for i in up])
-
-    return kept.groupBy("project", "path").applyInPandas(resolve, schema)
+    file = ["project", "path"]
+    holds = F.col("kind").isin(*CONTAINERS)
+    same = Window.partitionBy(*file, "start_byte", "end_byte")
+    own = F.array_sort(F.collect_list(F.when(holds, F.struct("def_ix", "name"))).over(same))
+    rows = defs.drop("container").withColumn("_twins", own)
+    first = F.get("_twins", F.lit(0))["def_ix"]
+    rows = rows.withColumn("_rep", F.coalesce(holds & (first == F.col("def_ix")), F.lit(False)))
+    twin = F.when(first == F.col("def_ix"), F.get("_twins", F.lit(1))["name"]).otherwise(F.get("_twins", F.lit(0))["name"])
+    rows = rows.withColumn("_twin", twin).drop("_twins")
+
+    # Closing comes before opening at the same byte, and the container of a range after other definitions with that range.
+    opens = F.struct(F.lit(1).alias("delta"), F.col("start_byte").alias("at"), F.lit(1).alias("phase"), (-F.col("end_byte")).alias("back"))
+    closes = F.struct(F.lit(-1).alias("delta"), F.col("end_byte").alias("at"), F.lit(0).alias("phase"), F.lit(0).cast("long").alias("back"))
+    events = rows.select("*", F.explode(F.when(F.col("_rep"), F.array(opens, closes)).otherwise(F.array(opens))).alias("_e"))
+    order = [F.col("_e.at"), F.col("_e.phase"), F.col("_e.back"), F.col("_rep"), F.col("def_ix")]
+    before = Window.partitionBy(*file).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    depth = F.coalesce(F.sum(F.when(F.col("_rep"), F.col("_e.delta"))).over(before), F.lit(0))
+    placed = events.withColumn("_depth", depth).where("_e.phase = 1")
+
+    # As a seeker a row looks at its own level, as a provider it stands on the next one.
+    provider = F.when(F.col("_rep"), F.struct("name", "end_byte"))
+    roles = F.array_compact(F.array(
+        F.struct(F.col("_depth").alias("level"), F.lit(None).cast("struct<name:string,end_byte:bigint>").alias("given")),
+        F.when(F.col("_rep"), F.struct((F.col("_depth") + 1).alias("level"), provider.alias("given")))))
+    levels = placed.select("*", F.explode(roles).alias("_r"))
+    earlier = Window.partitionBy(*file, "_r.level").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = levels.withColumn("_up", F.when(F.col("_r.level") > 0, F.last("_r.given", ignorenulls=True).over(earlier))).where("_r.given is null")
+    odd = (F.col("_up.end_byte") < F.col("end_byte")) | (F.col("start_byte") >= F.col("end_byte"))
+    found = found.withColumn("_odd", F.max(F.coalesce(odd, F.lit(False))).over(Window.partitionBy(*file)))
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    nested = found.where("not _odd").select(*kept, F.coalesce("_twin", "_up.name").alias("container"))
+
+    crossed = found.where("_odd").select(*kept)
+    boxes = crossed.where(holds).groupBy(*file).agg(F.collect_list(F.struct(
+        (F.col("end_byte") - F.col("start_byte")).alias("span"), "def_ix", "name", F.col("start_byte").alias("s"), F.col("end_byte").alias("e"))).alias("_boxes"))
+    around = F.filter("_boxes", lambda c: (c["s"] <= F.col("start_byte")) & (c["e"] >= F.col("end_byte")) & (c["def_ix"] != F.col("def_ix")))
+    others = crossed.join(boxes, file, "left").select(*kept, F.array_min(around)["name"].alias("container"))
+    return nested.unionByName(others)
 
 
 def normalize_kind(tag: Column) -> Column:

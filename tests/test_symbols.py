@@ -171,6 +171,33 @@ def test_parents_of_rows(spark, make_files):
     assert {(r.path, r.def_ix, r.container) for r in ops.enclosing_parents(defs).collect()} == want
 
 
+def test_parents_by_windows_against_brute_force(spark):
+    """Nested, equal, touching, empty and crossing ranges, many files at a time."""
+    random.seed(8)
+    rows, want = [], set()
+    for n in range(120):
+        if n % 3:
+            todo, ranges = [(0, 60, 4)], []
+            while todo:
+                a, b, depth = todo.pop()
+                ranges += [(a, b)] * random.choice([1, 1, 1, 2, 3])
+                if depth and b - a > 3:
+                    m = random.randint(a + 1, b - 1)
+                    todo += [(a, m, depth - 1)] + ([(m + random.randint(0, 1), b, depth - 1)] if m + 1 < b else [])
+        else:
+            ranges = [tuple(sorted(random.choices(range(20), k=2))) for _ in range(random.randint(1, 12))]
+        random.shuffle(ranges)
+        kinds = [random.choice(["class", "function", "struct"]) for _ in ranges]
+        up = slow_enclosing([r[0] for r in ranges], [r[1] for r in ranges], kinds)
+        for i, ((a, b), kind) in enumerate(zip(ranges, kinds)):
+            rows.append(("p", f"f{n}", i, f"n{i}", kind, 1, 1, a, b, "java", None, None))
+            want.add((f"f{n}", i, f"n{up[i]}" if up[i] >= 0 else None))
+    got = ops.enclosing_parents(spark.createDataFrame(rows, ops.DEFINITIONS))
+    assert {(r.path, r.def_ix, r.container) for r in got.collect()} == want and got.count() == len(rows)
+    assert "Pandas" not in got._jdf.queryExecution().executedPlan().toString()
+    assert ops.enclosing_parents(got.where("false")).count() == 0
+
+
 def test_receivers_and_kinds(spark):
     heads = [("func (d *Dog) Walk() error { return nil }", "Dog"), ("func (a Animal) Name() string", "Animal"), ("func (d   *  Dog  ) X()", "Dog"),
              ("func (d *Dog[T]) Fetch()", "Dog"), ("func Plain() {}", None), ("// some comment", None)]
