@@ -9,7 +9,7 @@ from ..functions import language, paths, text
 from ..functions.text import READ_MAX_KB, SEARCH_MAX_BYTES
 from ..operators import grep, listing
 from ..operators.read import read_files
-from ..session import scratch_dir
+from ..session import materialize, scratch_dir
 from ..sources.corpus import corpus_scan, land_files
 from . import views
 from .catalog import query
@@ -163,17 +163,19 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("landing", """
-select project, path, octet_length(encode(content)) as size, sha256(content) as sha256 from files where cast(substring(project, 4) as int) % 2 = 0
-union all select project, path, octet_length(encode(content)), sha256(content) from files_b where cast(substring(project, 4) as int) % 2 = 1""")
+select project, path, octet_length(encode(content)) as size, sha256(content) as sha256 from files where cast(substring(project, 4) as int) % 3 = 0
+union all select project, path, octet_length(encode(content)), sha256(content) from files_b where cast(substring(project, 4) as int) % 3 = 1""")
 def landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files landed, then a second snapshot of every other project, then all of them scanned."""
+    """Files landed, then a second snapshot of some projects, then one in which some others are gone."""
     where = scratch_dir(spark)
 
     def rows(files: DataFrame) -> DataFrame:
         return files.select("project", "path", text.byte_len("content").alias("size"), F.col("content").cast("binary").alias("content"))
 
     land_files(rows(views.files(spark, sf_dir)), where)
-    land_files(rows(views.files_b(spark, sf_dir)).where(F.substring("project", 4, 9).cast("int") % 2 == 1), where)
+    number = F.substring("project", 4, 9).cast("int") % 3
+    land_files(rows(views.files_b(spark, sf_dir)).where(number == 1), where)
+    land_files(materialize(corpus_scan(spark, where).where(number != 2)), where, complete=True)
     return corpus_scan(spark, where).select("project", "path", "size", "sha256")
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.paths import not_git
+from ..session import materialize
+from .tables import exists, remove
 
 FILES = T.StructType([
     T.StructField("project", T.StringType(), False),
@@ -60,42 +62,59 @@ def read_manifest(manifest: DataFrame) -> DataFrame:
 
 
 def manifest_of(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
-    """manifest rows for folders the driver can list: {project: root folder}.
-
-    Each root is listed in its own task; an unreadable subfolder is skipped
-    and an unreadable root fails the job.  The rows are then dealt out by
-    location, so the files of one root are read by many tasks.
+    """manifest rows for folders the workers can list: {project: root folder}.
+
+    Folders are listed breadth first: each round deals the folders that the
+    last one found to all tasks, so one root of many folders is listed by many
+    of them, and a round is a stored table.  A folder that can't be read is
+    skipped, a root that can't be read fails the job.  Links to folders are
+    not followed.  The rows are dealt out by location, so the files of one
+    root are read by many tasks.
     """
-    schema = "project string, path string, location string"
+    schema = "project string, root string, folder string, path string, location string"
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for project, root in batch.itertuples(index=False):
-                os.scandir(root).close()
-                for folder, dirs, names in os.walk(root):
-                    dirs[:] = [d for d in dirs if d != ".git"]
-                    full = [os.path.join(folder, n) for n in names if n != ".git"]
-                    if full:
-                        yield pd.DataFrame({
-                            "project": project,
-                            "path": [os.path.relpath(f, root).replace(os.sep, "/") for f in full],
-                            "location": full,
-                        })
-
-    walked = spark.createDataFrame(list(roots.items()), "project string, root string").mapInPandas(walk, schema)
+            for project, root, folder in batch[["project", "root", "folder"]].itertuples(index=False):
+                try:
+                    entries = list(os.scandir(folder))
+                except OSError:
+                    if folder == root:
+                        raise
+                    continue
+                rows = [(project, root, e.path if e.is_dir(follow_symlinks=False) else None, os.path.relpath(e.path, root).replace(os.sep, "/"), e.path)
+                        for e in entries if e.name != ".git" and (e.is_dir(follow_symlinks=False) or not e.is_dir())]
+                if rows:
+                    yield pd.DataFrame(rows, columns=["project", "root", "folder", "path", "location"])
+
     # a number, because Spark would coalesce so few bytes of names into one partition again
-    return walked.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "location")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    todo = spark.createDataFrame([(p, r, r) for p, r in roots.items()], "project string, root string, folder string")
+    found = spark.createDataFrame([], "project string, path string, location string")
+    while not todo.isEmpty():
+        entries = materialize(todo.repartition(tasks, "folder").mapInPandas(listed, schema))
+        found = found.unionByName(entries.where("folder is null").select("project", "path", "location"))
+        todo = entries.where("folder is not null").select("project", "root", "folder")
+    return found.repartition(tasks, "location")
 
 
-def land_files(files: DataFrame, location: str) -> None:
+def land_files(files: DataFrame, location: str, complete: bool = False) -> None:
     """Write files rows with their content hash, replacing the projects present.
 
     Comparing two landed snapshots then reads hashes, not contents.  Rows are
-    sorted by path, so path filters skip row groups.
+    sorted by path, so path filters skip row groups.  With `complete`, files
+    has every project: those that it lacks are removed from the folder.
     """
+    spark = files.sparkSession
     hashed = files.select(*FILES.fieldNames(), F.sha2("content", 256).alias("sha256"))
     (
         hashed.hint("rebalance", F.col("project")).sortWithinPartitions("project", "path")
         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP_BYTES)
         .partitionBy("project").parquet(location)
     )
+    if complete and exists(spark, location):
+        landed = spark.read.schema(LANDED).parquet(location).select("project").distinct()
+        gone = landed.join(files.select("project").distinct(), "project", "left_anti")
+        names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for row in gone.toLocalIterator():
+            remove(spark, f"{location}/{names.getPartitionPathString('project', row.project)}")

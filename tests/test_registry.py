@@ -181,3 +181,34 @@ def test_salted_join_is_the_join(spark):
     small = spark.createDataFrame([("hot", "x"), ("hot", "y"), ("k3", "z"), ("k0", "w")], "k string, w string")
     got = salted_join(big, small, ["k"], F.col("v"), 5)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+
+
+def test_folders_are_listed_by_many_tasks(spark, tmp_path):
+    """All folders of one root but the root itself; unreadable roots fail, links are not followed."""
+    want = set()
+    for n in range(40):
+        folder = tmp_path / "root" / f"d{n % 8}" / f"e{n}"
+        folder.mkdir(parents=True)
+        (folder / "f.txt").write_text(str(n))
+        want.add(f"d{n % 8}/e{n}/f.txt")
+    (tmp_path / "root" / ".git").mkdir()
+    (tmp_path / "root" / ".git" / "HEAD").write_text("x")
+    (tmp_path / "root" / "loop").symlink_to(tmp_path / "root", target_is_directory=True)
+    listed = spark.sparkContext.accumulator(0)
+    found = manifest_of(spark, {"p": str(tmp_path / "root")})
+    assert {r.path for r in found.collect()} == want
+    counted = found.mapInPandas(lambda it: (listed.add(bool(len(b))) or b for b in it), found.schema)
+    assert counted.count() == 40 and listed.value > 1
+    with pytest.raises(Exception, match="nowhere"):
+        manifest_of(spark, {"p": str(tmp_path / "nowhere")})
+    assert manifest_of(spark, {}).count() == 0
+
+
+def test_complete_landing_drops_vanished_projects(spark, tmp_path, make_files):
+    where = str(tmp_path / "files")
+    both = make_files({"a": "1"}, "p@v/1").unionByName(make_files({"b": "2"}, "q")).withColumn("size", F.lit(1).cast("long"))
+    land_files(both, where)
+    land_files(both.where("project = 'q'"), where)
+    assert ids(corpus_scan(spark, where), "project") == ["p@v/1", "q"]
+    land_files(both.where("project = 'q'"), where, complete=True)
+    assert ids(corpus_scan(spark, where), "project") == ["q"]
