@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repoloom.session import scratch_dir
+
 from .bestfit import pack_best_fit
 from .common import table
 from .decontaminate import contamination_report
@@ -15,7 +17,7 @@ from .fingerprints import edited_report
 from .packing import pack
 from .prefixes import rebuilt_report
 from .quality import quality_scores, train
-from .secrets import secrets_report
+from .secrets import report_of, scan_into
 from .simhash import simhash_classes
 from .suffixes import dedup_report
 from .token_counts import token_counts
@@ -90,8 +92,10 @@ from d left join hits using (doc_id) left join items using (doc_id)"""
 
 @query
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document; equal texts are scanned once."""
-    return secrets_report(table(spark, sf_dir, "documents"))
+    """Secrets in every document; equal texts are scanned once, and nothing again when the scan is repeated on its ledger."""
+    docs, where = table(spark, sf_dir, "documents"), f"{scratch_dir(spark)}/ledger"
+    scan_into(docs, where)
+    return report_of(docs, scan_into(docs, where))
 
 
 def _secret_rows(rank: int, kind: str, pattern: str, group: int, least: int) -> str:

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repoloom.sources.tables import exists
+
 from .common import keyed, stored
 
 
@@ -44,7 +46,7 @@ MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", hint="PRIVATE KEY"),
 )
 RULES = BASE + MORE
-SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint>"
+SPAN = "struct<start:bigint,rank:int,kind:string,end:bigint,version:string>"
 LEDGER = f"blob_id string, rule_versions array<string>, spans array<{SPAN}>"
 
 
@@ -72,7 +74,7 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
     Each distinct text is scanned once, with those rules alone that the ledger
     doesn't have for it; `rule_versions` names them and `spans` has what they
-    found: (start, rank, kind, end) in code points, end exclusive.  Append the
+    found: (start, rank, kind, end, rule version) in code points, end exclusive.  Append the
     rows to the ledger; an interrupted run leaves it as it was.  Null texts are
     the empty blob; blobs seen with all rules give no row.
     """
@@ -90,9 +92,9 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
     each = found.where(F.size("found") > 0).select("blob_id", F.inline("found"))
     before = F.expr("sum(gap + size) over (partition by blob_id, rank order by n rows between unbounded preceding and current row)")
     placed = each.withColumn("end", before.cast("long")).where("ok")
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    kinds, versions_of = (F.array(*[F.lit(x) for x in xs]) for xs in ([r.kind for r in rules], [r.version for r in rules]))
     spans = placed.groupBy("blob_id").agg(F.array_sort(F.collect_list(F.struct(
-        (F.col("end") - F.col("size")).alias("start"), "rank", F.get(kinds, F.col("rank")).alias("kind"), "end"))).alias("spans"))
+        (F.col("end") - F.col("size")).alias("start"), "rank", F.get(kinds, F.col("rank")).alias("kind"), "end", F.get(versions_of, F.col("rank")).alias("version")))).alias("spans"))
     return found.join(spans, "blob_id", "left").select(
         "blob_id", F.col("todo").alias("rule_versions"), F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
@@ -101,10 +103,14 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
              keep_text: bool = False) -> DataFrame:
     """(id, blob_id, spans[, text]) for every path and version: what the ledger knows of its text, by start, then rank.
 
-    Copies and repeated rows all get the spans of their blob; a blob the
-    ledger doesn't have gets none.
+    Only spans of the given versions of the rules count, whatever else the
+    ledger holds.  Copies and repeated rows all get the spans of their blob; a
+    blob the ledger doesn't have gets none.
     """
-    known = ledger.where(F.size("spans") > 0).groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    current = F.array(*[F.lit(r.version) for r in rules])
+    mine = F.filter("spans", lambda s: F.array_contains(current, s["version"]))
+    known = ledger.select("blob_id", mine.alias("spans")).where(F.size("spans") > 0)
+    known = known.groupBy("blob_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
     rows = blobs(versions, id_col, text_col)
     rows = rows if keep_text else rows.drop("text")
     return rows.join(stored(known), "blob_id", "left").withColumn("spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")))
@@ -114,10 +120,27 @@ def _said(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def scan_into(versions: DataFrame, location: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger stored at `location`, after scanning what it lacks and appending that.
+
+    The folder is made by the first scan.  The new rows are complete before
+    they are appended, so an interrupted run can be run again.
+    """
+    spark = versions.sparkSession
+    ledger = spark.read.schema(LEDGER).parquet(location) if exists(spark, location) else None
+    stored(scan(versions, ledger, rules, id_col, text_col)).write.mode("append").parquet(location)
+    return spark.read.schema(LEDGER).parquet(location)
+
+
 def secrets_report(versions: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row, after scanning what the ledger lacks."""
+    """report_of() after scanning what the ledger lacks."""
     new = stored(scan(versions, ledger, RULES, id_col, text_col))
-    found = findings(versions, new if ledger is None else ledger.unionByName(new), RULES, id_col, text_col)
+    return report_of(versions, new if ledger is None else ledger.unionByName(new), id_col, text_col)
+
+
+def report_of(versions: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row, as the ledger knows its text."""
+    found = findings(versions, ledger, RULES, id_col, text_col)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
 
     def count(rank: int) -> Column:

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed, texts_of
+from .common import keyed, stored, texts_of
 from .tokens import encoder
 
 CHUNK = 1024
@@ -70,4 +70,5 @@ def token_counts(docs: DataFrame, group_col: str = "lang", text_col: str = "text
     Null texts count as empty (length 0), a null group is a group of its own,
     repeated rows count each time, an empty table gives no rows.
     """
-    return context_answers(histogram(encoded_lengths(docs, group_col, text_col, tokenizer)))
+    # read by two branches: stored, so that texts are encoded once
+    return context_answers(stored(histogram(encoded_lengths(docs, group_col, text_col, tokenizer))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
-from repoloom.llm.secrets import BASE, RULES, Rule, findings, redact, scan, secrets_report
+from repoloom.llm.secrets import BASE, RULES, Rule, findings, redact, report_of, scan, scan_into, secrets_report
 
 PLAIN = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 12),
@@ -56,6 +56,24 @@ def test_ledger_is_incremental(make_docs):
     assert whole[3] == whole[12] and len(BASE) == 3
 
 
+def test_stored_ledger(make_docs, spark, tmp_path):
+    """A second scan adds nothing, new texts and new rule versions add their own rows, spans of old versions are not reported."""
+    where = str(tmp_path / "ledger")
+    first, both = make_docs(TEXTS[:8]), make_docs(TEXTS)
+    n = scan_into(first, where).count()
+    assert scan_into(first, where).count() == n
+    ledger = scan_into(both, where)
+    assert ledger.count() == len({t or "" for t in TEXTS})
+    assert sorted(report_of(both, ledger).collect()) == sorted(secrets_report(both).collect())
+    hexes = [Rule("hex", f"[0-9a-f]{{{n},}}") for n in (16, 40)]
+    docs = make_docs(["deadbeefdeadbeef0", "0123456789abcdef" * 3])
+    loose = scan_into(docs, str(tmp_path / "hex"), (hexes[0],))
+    assert [len(r.spans) for r in findings(docs, loose, (hexes[0],)).orderBy("id").collect()] == [1, 1]
+    tight = scan_into(docs, str(tmp_path / "hex"), (hexes[1],))
+    assert [len(r.spans) for r in findings(docs, tight, (hexes[1],)).orderBy("id").collect()] == [0, 1]
+    assert [len(r.spans) for r in findings(docs, tight, (hexes[0],)).orderBy("id").collect()] == [1, 1]
+
+
 def test_redact(make_docs):
     docs = make_docs(TEXTS)
     got = {r.doc_id: r for r in redact(docs).collect()}
