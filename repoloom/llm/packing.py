@@ -19,6 +19,7 @@ LENGTH = 2048
 WINDOWS = 64
 SLACK = 16
 MERGE = 32
+KEPT = 512
 END = (1).to_bytes(4, "little")
 PIECE = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()),
          ("sequence_id", pa.int64()), ("offset", pa.int64()), ("level", pa.int32()), ("grp", pa.int64())]
@@ -122,7 +123,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     document is its ids followed by the end id 1; a null or empty text is the
     end id alone.  Repeated rows are packed each time.  Each partition packs
     its documents in one pass with `windows` open windows; what is left open
-    at its end is merged over 32 partitions at a time, level by level.
+    at its end is merged over 32 partitions at a time, level by level; of a
+    group's windows the 512 with most room go on to the next level, so a task
+    of any level has a bounded number of windows.
     Sequence ids are unique, not dense.  An empty table gives no pieces.
     """
     rows = keyed(docs, id_col, text_col)
@@ -141,10 +144,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
         def merged(part: pd.DataFrame) -> pd.DataFrame:
             group = int(part["grp"].iloc[0])
             pieces = [tuple(r) for r in part[["id", "start", "length", "ids_crc32", "doc_tokens"]].astype(object).itertuples(index=False)]
+            made = merge_pieces(pieces, length)
+            room = {n: length - sum(p[2] for _, p in held) for n, held in made.items()}
+            open_ = sorted((n for n in made if room[n] > slack), key=lambda n: (-room[n], n))
+            going = set() if last else set(open_[:KEPT])
             out = []
-            for n, held in sorted(merge_pieces(pieces, length).items()):
-                room = length - sum(p[2] for _, p in held)
-                out += [(*p, (level << 58) | (group << 32) | n, offset, int(not last and room > slack), group // MERGE) for offset, p in held]
+            for n, held in sorted(made.items()):
+                out += [(*p, (level << 58) | (group << 32) | n, offset, int(n in going), group // MERGE) for offset, p in held]
             return pd.DataFrame(out, columns=[f.name for f in schema])
         return merged
 

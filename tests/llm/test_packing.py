@@ -71,6 +71,21 @@ def test_empty_and_repeated(make_docs, spark):
     assert pack(null_id).first().doc_id is None
 
 
+def test_merge_levels_are_bounded(make_docs, reference, monkeypatch):
+    """Documents of which no two share a window: all are left over, and few go on from level to level."""
+    monkeypatch.setattr(packing, "KEPT", 3)
+    monkeypatch.setattr(packing, "MERGE", 4)
+    docs = make_docs([" ".join(["word"] * (1250 + n % 50)) for n in range(60)]).repartition(20)
+    read = []
+    before = packing.stored
+    monkeypatch.setattr(packing, "stored", lambda df: read.append(before(df)) or read[-1])
+    rows = pack(docs).collect()
+    check_round_trip(rows, {r.doc_id: r.text for r in docs.collect()}, reference)
+    for level in read[1:]:
+        held = level.where("level = 1").groupBy("grp").agg({"sequence_id": "approx_count_distinct"}).collect()
+        assert all(r[1] <= 4 * 3 for r in held)
+
+
 def test_windows_are_bounded():
     open_ = 0
     docs = ((i, b"\0\0\0\0" * (700 + 37 * i % 900)) for i in range(500))
