@@ -47,13 +47,16 @@ def find_readme(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.find_readme(_root_names(spark, sf_dir))
 
 
-@query("readme_excerpt", """
+EXCERPT_SQL = """
 with raw as (select project, string_split(substring(content, position('# ' in content)), chr(10)) as ls from files where path = 'README.md'),
 l as (select project, n, ls[n] as line from (select project, ls, unnest(range(1, len(ls) + 1)) as n from raw)),
 first40 as (select project, n, line, lag(trim(line)) over (partition by project order by n) as before from l where n <= 40),
 packed as (select project, n, line from first40 where not (trim(line) = '' and coalesce(before, 'x') = '')),
 ends as (select project, max(n) as last from packed where trim(line) <> '' group by project)
-select p.project, 'README.md' as path, string_agg(line, chr(10) order by n) as excerpt from packed p join ends e on p.project = e.project and n <= last group by p.project""")
+select p.project, 'README.md' as path, string_agg(line, chr(10) order by n) as excerpt from packed p join ends e on p.project = e.project and n <= last group by p.project"""
+
+
+@query("readme_excerpt", EXCERPT_SQL)
 def readme_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.readme_excerpts(views.files(spark, sf_dir))
 
@@ -78,17 +81,17 @@ def badge_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("summary", f"""
 with langs as ({HISTOGRAM.format(where="true")}),
-l as (select project, string_agg(concat(name, '=', file_count), ' ' order by file_count desc, name) as languages from langs group by project),
+l as (select project, string_agg(concat(name, '=', file_count, '=', share), ' ' order by file_count desc, name) as languages from langs group by project),
 t as (select project, count(*) as total_files from files group by project),
 i as (select project, string_agg(path, ' ' order by case path when 'go.mod' then 1 else 0 end, lower(path)) as important_files from files where path in ('README.md', 'LICENSE', 'go.mod') group by project)
-select t.project, total_files, languages, important_files, 'README.md' as readme_path, concat('# ', t.project) as title from t join l on t.project = l.project join i on t.project = i.project""")
+select t.project, total_files, languages, important_files, 'README.md' as readme_path, excerpt from t join l on t.project = l.project join i on t.project = i.project
+join ({EXCERPT_SQL}) x on x.project = t.project""")
 def summary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summary.summary(views.files(spark, sf_dir))
-    named = F.transform("languages", lambda x: F.concat(x["name"], F.lit("="), x["file_count"].cast("string")))
+    named = F.transform("languages", lambda x: F.concat_ws("=", x["name"], x["file_count"].cast("string"), x["share"].cast("string")))
     return s.select(
         "project", "total_files", F.array_join(named, " ").alias("languages"),
-        F.array_join("important_files", " ").alias("important_files"), "readme_path",
-        F.substring_index("excerpt", "\n", 1).alias("title"),
+        F.array_join("important_files", " ").alias("important_files"), "readme_path", "excerpt",
     )
 
 
@@ -145,12 +148,12 @@ def xml_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("json_envelope", f"""
 with langs as ({HISTOGRAM.format(where="true")})
-select project, concat('{{"_meta":{{"version":"1","command":"detect"}},"name":"', project, '","languages":[', string_agg(concat('{{"name":"', name, '","file_count":', file_count, '}}'), ',' order by file_count desc, name), '],"total_files":', sum(file_count), '}}') as json
+select project, concat('{{"_meta":{{"version":"1","command":"detect"}},"name":"', project, '","languages":[', string_agg(concat('{{"name":"', name, '","file_count":', file_count, ',"share":', share, '}}'), ',' order by file_count desc, name), '],"total_files":', sum(file_count), '}}') as json
 from langs group by project""")
 def json_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = summary.summary(views.files(spark, sf_dir)).select(
         "project", F.col("project").alias("name"),
-        F.transform("languages", lambda x: F.struct(x["name"].alias("name"), x["file_count"].alias("file_count"))).alias("languages"),
+        F.transform("languages", lambda x: F.struct(x["name"].alias("name"), x["file_count"].alias("file_count"), x["share"].alias("share"))).alias("languages"),
         "total_files", F.lit(None).cast("string").alias("absent"),
     )
     return s.select("project", read.json_envelope(s, "detect", ["name", "languages", "total_files", "absent"]).alias("json"))
