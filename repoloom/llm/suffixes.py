@@ -343,15 +343,20 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A byte goes if a string of 200 bytes that covers it also starts anywhere
     else, in the same or another document, judged on the input.  Null texts
     are empty; documents of under 200 bytes stay whole; rows that repeat an id
-    and its text are copies of each other and go; an empty table gives no rows.
+    and its text are copies of each other and go, rows that repeat an id with
+    other texts are documents of their own; an empty table gives no rows.
     """
     rows = keyed(docs, id_col, text_col)
     kind = id_type(rows)
     if kind != "bigint":
         rows = rows.withColumn("id", F.col("id").cast("string"))
         kind = "string"
-    found = repeated_ranges(rows).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "text", "ranges")
+    named, name = rows, "id"
+    prints = rows.groupBy("id").agg(F.min(F.xxhash64("text")).alias("a"), F.max(F.xxhash64("text")).alias("b"))
+    if not prints.where("a <> b").isEmpty():  # some id has several texts: then id and text name a document
+        named, name = rows.withColumn("name", F.concat_ws("/", F.col("id").cast("string"), F.hex(F.xxhash64("text")))), "name"
+    found = repeated_ranges(named.select(F.col(name).alias("id"), "text")).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    joined = named.join(found, F.col(name).eqNullSafe(F.col("of")), "left").select("id", "text", "ranges")
 
     def kept(batches):
         for batch in batches:

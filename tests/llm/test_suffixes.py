@@ -110,3 +110,16 @@ def test_intervals_equal_sorted_suffixes():
         rows, group = repeats(text, length)
         heads = [raw[i:i + length] for i in rows]
         assert [a == b for a, b in zip(heads, heads[1:])] == [a == b for a, b in zip(group, group[1:])]
+
+
+def test_ids_with_several_texts(spark, make_docs, passages):
+    """Rows of one id with other texts are documents of their own; copies of a row go as before."""
+    rows = [(n % 4, t) for n, t in enumerate(passages)] + [(None, passages[27]), (None, "unlike " * 60), (1, passages[30])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(dict(enumerate(t for _, t in rows)))
+    got = sorted((tuple(r) for r in dedup_report(docs).collect()), key=repr)
+    assert got == sorted(((rows[n][0], *w) for n, w in want.items()), key=repr)
+    lone = spark.createDataFrame([(1, passages[27]), (1, "other text " * 40), (2, passages[27])], "doc_id long, text string")
+    removed = {r.n_bytes: r.n_removed for r in dedup_report(lone).collect() if r.doc_id == 1}
+    other = len("other text " * 40)
+    assert removed[other] == plain({0: "other text " * 40})[0][1]
