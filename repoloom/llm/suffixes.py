@@ -15,7 +15,7 @@ from .common import batches_of, id_type, keyed, stored, texts_of
 LENGTH = 200
 GRAM = 64
 LONGEST_RUN = 256
-BUFFER = 1 << 17
+BUFFER = 1 << 15
 BLOCK = 1 << 20
 HOT = 4096
 _DRAW = np.random.default_rng(7)
@@ -63,15 +63,15 @@ def _spread(of: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return (out ^ (out >> np.uint64(29))) * np.uint64(_MIX[7][1])
 
 
-def runs_of(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, content, start, n, grams): runs of neighbouring windows of LENGTH bytes with the same least gram.
+def runs_of(data: np.ndarray, valid: np.ndarray, contents: bool = True) -> tuple[np.ndarray, ...]:
+    """(key, start, n, content or grams): runs of neighbouring windows of LENGTH bytes with the same least gram.
 
     `valid` marks the starts of windows.  The key is the least hash of the
     64-byte grams of a window, so equal windows have equal keys wherever they
-    stand; content is a hash of all bytes of the run's windows; grams is how
-    often the least gram stands in them.
+    stand; content is a hash of all bytes of the run's windows; without
+    `contents`, grams says how often the least gram stands in them.
     """
-    empty = (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3
+    empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64 if contents else np.int64))
     width = LENGTH - GRAM + 1
     if len(data) < LENGTH:
         return empty
@@ -87,13 +87,20 @@ def runs_of(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(within % LONGEST_RUN == 0)
     n = np.diff(np.append(first, len(starts)))
     at, key = starts[first], value[first]
+    if contents:
+        return key, at, n, _spread(wide, at, n + LENGTH - 1)
+    return key, at, n, gram_counts(grams, least, key, at, n + width - 1)
+
+
+def gram_counts(grams: np.ndarray, least: np.ndarray, key: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """How often each key stands among the `sizes` grams from `at` on; a key is the least gram of some window there."""
     top = np.iinfo(np.uint64).max
+    width = LENGTH - GRAM + 1
     chosen = np.flatnonzero(grams == top - sliding_least(np.pad(top - least, width - 1, constant_values=top), width))
-    low, high = np.searchsorted(chosen, at), np.searchsorted(chosen, at + n + width - 1)
+    low, high = np.searchsorted(chosen, at), np.searchsorted(chosen, at + sizes)
     of = np.repeat(np.arange(len(at)), high - low)
     held = chosen[np.arange(len(of)) + (low - np.concatenate(([0], np.cumsum(high - low)[:-1])))[of]]
-    found = np.bincount(of[grams[held] == key[of]], minlength=len(at))
-    return key, _spread(wide, at, n + LENGTH - 1), at, n, found
+    return np.bincount(of[grams[held] == key[of]], minlength=len(at))
 
 
 def _buffers(rows: Iterator[tuple[object, str]]) -> Iterator[tuple[np.ndarray, np.ndarray, list]]:
@@ -124,21 +131,32 @@ def _buffers(rows: Iterator[tuple[object, str]]) -> Iterator[tuple[np.ndarray, n
 
 
 def window_runs(docs: DataFrame) -> DataFrame:
-    """(key, content, id, start, n, grams) of all runs of windows of keyed documents."""
+    """(key, content, id, start, n) of all runs of windows of keyed documents."""
     kind = id_type(docs)
     arrow = pa.int64() if kind == "bigint" else pa.string()
 
     def scanned(batches):
         for data, valid, places in _buffers(texts_of(batches)):
-            key, content, at, n, grams = runs_of(data, valid)
+            key, at, n, content = runs_of(data, valid)
             begin = np.array([p for p, _, _ in places])
             of = np.searchsorted(begin, at, "right") - 1
             shift = np.array([d for _, _, d in places]) - begin
             ids = pa.array([k for _, k, _ in places], arrow).take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(at + shift[of]), pa.array(n), pa.array(grams)],
-                                             names=["key", "content", "id", "start", "n", "grams"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(content.view(np.int64)), ids, pa.array(at + shift[of]), pa.array(n)],
+                                             names=["key", "content", "id", "start", "n"])
+
+    return docs.mapInArrow(scanned, f"key long, content long, id {kind}, start long, n long")
+
+
+def shared_keys(docs: DataFrame) -> DataFrame:
+    """(key) of runs whose least gram occurs more than once in all documents; no other window can occur twice."""
+
+    def scanned(batches):
+        for data, valid, _ in _buffers(texts_of(batches)):
+            key, _, _, grams = runs_of(data, valid, contents=False)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(grams)], names=["key", "grams"])
 
-    return docs.mapInArrow(scanned, f"key long, content long, id {kind}, start long, n long, grams long")
+    return docs.mapInArrow(scanned, "key long, grams long").groupBy("key").agg(F.sum("grams").alias("total")).where("total > 1").select("key")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -276,9 +294,7 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK, apart:
     Contents count as equal if key and 64-bit content hash are.
     """
     kind = id_type(docs)
-    runs = window_runs(docs)
-    keys = stored(runs.groupBy("key").agg(F.sum("grams").alias("total")).where("total > 1").select("key"))
-    met = stored(runs.drop("grams").join(keys, "key"))
+    met = stored(window_runs(docs).join(stored(shared_keys(docs)), "key"))
     distinct = met.groupBy("key", "content").agg(
         F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "n")).alias("one"))
     distinct = stored(distinct.select("key", "content", "count", "low", "high", "one.*"))
