@@ -280,63 +280,135 @@ def _solve(part: pd.DataFrame, apart: bool) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["key", "content", "a", "b"])
 
 
+def finer_runs(data: np.ndarray, starts: np.ndarray, fresh: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """(key, content, first, n, grams): runs of windows split by their `depth` least grams; `first` counts windows.
+
+    `starts` are the windows' places in `data`, `fresh` marks those that begin
+    a run.  With a depth of 128 or more every window is a run and the key
+    stands for all its bytes, so that a key has one content.
+    """
+    width = LENGTH - GRAM + 1
+    grams, wide = gram_hashes(data)
+    lowest = np.empty(len(starts), np.uint64)
+    if depth >= 128:
+        value = _spread(wide, starts, np.full(len(starts), LENGTH))
+    else:
+        value = np.empty(len(starts), np.uint64)
+        rows = np.lib.stride_tricks.sliding_window_view(grams, width)
+    for at in range(0, len(starts), 4096):
+        part = slice(at, at + 4096)
+        if depth >= 128:
+            lowest[part] = value[part]
+            continue
+        few = np.sort(np.partition(rows[starts[part]], depth - 1, axis=1)[:, :depth], axis=1)
+        lowest[part] = few[:, 0]
+        mixed = np.full(len(few), depth, np.uint64)
+        for column in few.T:
+            mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(_MIX[7][0]) + column
+        value[part] = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(_MIX[7][1])
+    first = np.flatnonzero(fresh | np.concatenate(([True], value[1:] != value[:-1])) | (depth >= 128))
+    n = np.diff(np.append(first, len(starts)))
+    at = starts[first]
+    if depth >= 128:
+        grams_in = n
+    else:
+        spans = np.repeat(np.arange(len(at)), n + width - 1)
+        places = np.arange(len(spans)) - np.repeat(np.concatenate(([0], np.cumsum(n + width - 1)[:-1])), n + width - 1) + at[spans]
+        grams_in = np.bincount(spans[grams[places] == lowest[first][spans]], minlength=len(at))
+    return value[first], _spread(wide, at, n + LENGTH - 1), first, n, grams_in
+
+
+def _split(batches: Iterator[pa.RecordBatch], depth: int) -> Iterator[pa.RecordBatch]:
+    """(key, content, at, n, sub, subcontent, grams, count, low, high) of the finer runs in rows of (key, content, count, low, high, bytes)."""
+    for whole in batches:
+        for begin in range(0, whole.num_rows, 1000):
+            batch = whole.slice(begin, 1000)
+            held = batch.column(5).to_pylist()
+            sizes = np.array([len(h) for h in held])
+            windows = sizes - LENGTH + 1
+            base = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            of = np.repeat(np.arange(len(held)), windows)
+            within = np.arange(len(of)) - np.repeat(np.concatenate(([0], np.cumsum(windows)[:-1])), windows)
+            key, content, first, n, grams = finer_runs(np.frombuffer(b"".join(held), np.uint8), base[of] + within, within == 0, depth)
+            rows = pa.array(of[first])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(within[first]), pa.array(n), pa.array(key.view(np.int64)),
+                 pa.array(content.view(np.int64)), pa.array(grams), *(batch.column(c).take(rows) for c in (2, 3, 4))],
+                names=["key", "content", "at", "n", "sub", "subcontent", "grams", "count", "low", "high"])
+
+
+def repeated_in(pieces: DataFrame, hot: int, block: int, apart: bool, depth: int = 1) -> DataFrame:
+    """(key, content, a, b): windows [a, b) that occur twice in pieces(key, content, count, low, high, bytes).
+
+    Pieces are laid into blocks of about `block` bytes by key, and each block
+    is solved by repeats().  The pieces of a key with more than `hot` of them
+    are split first, by twice as many of the least grams of their windows each
+    time; equal windows have equal ones, so they stay together.  What is left
+    of a key with one window goes at once.  By a depth of 128 a key is a
+    window, so the splitting ends.
+    """
+    kind = id_type(pieces, "low")
+    crowded = stored(pieces.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
+    plain = pieces.join(crowded, "key", "left_anti")
+    size = plain.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    blocks = max(1, -(-size // block))
+    solved = plain.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks))).groupBy("block").applyInPandas(
+        lambda part: _solve(part, apart), "key long, content long, a long, b long")
+    if crowded.isEmpty():
+        return solved
+    held = stored(pieces.join(crowded, "key", "left_semi").select("key", "content", "count", "low", "high", "bytes"))
+    deeper = 2 * depth
+    finer = held.mapInArrow(
+        lambda batches: _split(batches, deeper),
+        f"key long, content long, at long, n long, sub long, subcontent long, grams long, count long, low {kind}, high {kind}")
+    finer = stored(finer)
+    twice = finer.groupBy("sub").agg(F.sum(F.col("count") * F.col("grams")).alias("total")).where("total > 1").select("sub")
+    finer = stored(finer.join(twice, "sub"))
+    each = finer.groupBy("sub", "subcontent").agg(
+        F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.min(F.struct("key", "content", "at", "n")).alias("one"))
+    cut = each.select("sub", "subcontent", "count", "low", "high", "one.*").join(held.select("key", "content", "bytes"), ["key", "content"]).select(
+        F.col("sub").alias("key"), F.col("subcontent").alias("content"), "count", "low", "high",
+        F.substring(F.col("bytes"), (F.col("at") + 1).cast("int"), (F.col("n") + LENGTH - 1).cast("int")).alias("bytes"))
+    below = repeated_in(stored(cut), hot, block, apart, deeper).select(F.col("key").alias("sub"), F.col("content").alias("subcontent"), "a", "b")
+    return solved.unionByName(finer.join(below, ["sub", "subcontent"]).select(
+        "key", "content", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b")))
+
+
 def repeated_ranges(docs: DataFrame, hot: int = HOT, block: int = BLOCK, apart: bool = False) -> DataFrame:
     """(id, a, b): window starts [a, b) of keyed documents whose 200 bytes also start anywhere else.
 
     With `apart`, in another document (one with another id).
 
     Windows are grouped by content: equal windows have the same key.  Runs of
-    a key whose gram occurs once go at once.  Equal runs are counted and kept once,
-    and the distinct ones are laid into blocks of about `block` bytes by key;
-    each block is solved by repeats().  A key of more than `hot` distinct runs
-    (a passage's edge in that many contexts) would not fit: its windows are
-    told apart by two hashes of all their bytes and counted one by one.
-    Contents count as equal if key and 64-bit content hash are.
+    a key whose gram occurs once go at once.  Equal runs are counted and kept
+    once, and the distinct ones go to repeated_in().  Contents count as equal
+    if key and 64-bit content hash are.
     """
     kind = id_type(docs)
     met = stored(window_runs(docs).join(stored(shared_keys(docs)), "key"))
     distinct = met.groupBy("key", "content").agg(
         F.count("*").alias("count"), F.min("id").alias("low"), F.max("id").alias("high"), F.min(F.struct("id", "start", "n")).alias("one"))
-    distinct = stored(distinct.select("key", "content", "count", "low", "high", "one.*"))
-    crowded = stored(distinct.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > hot).select("key"))
-    size = distinct.join(crowded, "key", "left_anti").agg(F.sum(F.col("n") + LENGTH - 1)).first()[0] or 0
-    blocks = max(1, -(-size // block))
-
-    asked = distinct.join(crowded, "key", "left_anti").withColumn("single", F.lit(False)).unionByName(
-        met.join(crowded, "key", "left_semi").withColumns({"single": F.lit(True), "count": F.lit(1).cast("long"), "low": F.col("id"), "high": F.col("id")}))
-    lists = asked.groupBy("id").agg(F.collect_list(F.struct("key", "content", "count", "low", "high", "start", "n", "single")).alias("asked"))
+    lists = distinct.select("key", "content", "count", "low", "high", "one.*").groupBy("id").agg(
+        F.collect_list(F.struct("key", "content", "count", "low", "high", "start", "n")).alias("asked"))
     name = pa.int64() if kind == "bigint" else pa.string()
-    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("count", pa.int64()), ("low", name), ("high", name),
-                        ("bytes", pa.binary()), ("id", name), ("start", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("content", pa.int64()), ("count", pa.int64()), ("low", name), ("high", name), ("bytes", pa.binary())])
 
     def cut(batches):
         def each():
             for batch in batches:
-                for key, text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for text, wants in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     data = text.encode()
                     for w in wants:
-                        part = data[w["start"]:w["start"] + w["n"] + LENGTH - 1]
-                        if not w["single"]:
-                            yield w["key"], w["content"], w["count"], w["low"], w["high"], part, None, None
-                            continue
-                        _, wide = gram_hashes(np.frombuffer(part, np.uint8))
-                        n = np.arange(len(part) - LENGTH + 1)
-                        for k, (a, b) in enumerate(zip(wide[n].view(np.int64).tolist(), wide[n + LENGTH - 128].view(np.int64).tolist(), strict=True)):
-                            yield a, b, 1, key, key, None, key, w["start"] + k
+                        yield w["key"], w["content"], w["count"], w["low"], w["high"], data[w["start"]:w["start"] + w["n"] + LENGTH - 1]
         return batches_of(each(), schema, 5_000)
 
-    joined = docs.join(lists.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("id", "text", "asked")
-    pieces = stored(joined.mapInArrow(cut, f"key long, content long, count long, low {kind}, high {kind}, bytes binary, id {kind}, start long"))
-    solved = stored(
-        pieces.where("bytes is not null").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-        .groupBy("block").applyInPandas(lambda part: _solve(part, apart), "key long, content long, a long, b long"))
-    spans = stored(solved.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    # a key and content may be asked for of several rows that repeat an id; the spans are the same
-    ranges = met.join(spans, ["key", "content"]).select("id", F.col("start").alias("s"), F.inline(F.array_distinct("spans"))).select("id", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
-    single = pieces.where("bytes is null").select("key", "content", "id", "start")
-    several = F.min("id") < F.max("id") if apart else F.count("*") > 1
-    twice = stored(single.groupBy("key", "content").agg(several.alias("c")).where("c").select("key", "content"))
-    return ranges.unionByName(single.join(twice, ["key", "content"]).select("id", F.col("start").alias("a"), (F.col("start") + 1).alias("b")))
+    joined = docs.join(lists.withColumnRenamed("id", "of"), F.col("id").eqNullSafe(F.col("of"))).select("text", "asked")
+    pieces = joined.mapInArrow(cut, f"key long, content long, count long, low {kind}, high {kind}, bytes binary")
+    # a key and content may be asked for of several rows that repeat an id and its text
+    solved = repeated_in(stored(pieces), hot, block, apart)
+    spans = stored(solved.groupBy("key", "content").agg(F.collect_set(F.struct("a", "b")).alias("spans")))
+    return met.join(spans, ["key", "content"]).select("id", F.col("start").alias("s"), F.inline("spans")).select(
+        "id", (F.col("s") + F.col("a")).alias("a"), (F.col("s") + F.col("b")).alias("b"))
 
 
 def removed_spans(ranges: list, size: int, length: int = LENGTH) -> list[tuple[int, int]]:

@@ -69,13 +69,36 @@ def test_crowded_keys_and_small_blocks(spark, make_docs, passages, monkeypatch):
     want = {}
     for r in repeated_ranges(docs).collect():
         want.setdefault(r.id, set()).update(range(r.a, r.b))
-    for hot, block in ((2, 1 << 20), (3, 2000)):
+    for hot, block in ((2, 2000),):
         got = {}
         for r in repeated_ranges(docs, hot, block).collect():
             got.setdefault(r.id, set()).update(range(r.a, r.b))
         assert got == want
 
 
+def test_finer_runs_keep_equal_windows_together():
+    """At every depth equal windows have equal keys, runs cover all windows, and the last depth tells all contents apart."""
+    draw = random.Random(3)
+    base = bytes(draw.choice(b"abc") for _ in range(260))
+    rows = [base, base[7:] + b"xyz" * 20, bytes(draw.choice(b"abc") for _ in range(30)) + base[:230], b"ab" * 120, b"z" * 230]
+    data = np.frombuffer(b"".join(rows), np.uint8)
+    begin = np.cumsum([0, *map(len, rows)])
+    starts = np.concatenate([np.arange(a, b - 199) for a, b in zip(begin[:-1], begin[1:], strict=True)])
+    fresh = np.isin(starts, begin)
+    raw, last = data.tobytes(), 0
+    for depth in (2, 4, 32, 64, 128):
+        key, _, first, n, grams = suffixes.finer_runs(data, starts, fresh, depth)
+        assert n.sum() == len(starts) and (np.diff(np.append(first, len(starts))) == n).all() and (grams >= 1).all()
+        by = {}
+        for k, at in zip(np.repeat(key, n).tolist(), starts.tolist(), strict=True):
+            by.setdefault(raw[at:at + 200], set()).add(k)
+        assert all(len(keys) == 1 for keys in by.values())
+        names = len({next(iter(keys)) for keys in by.values()})
+        assert names >= last
+        last = names
+    assert last == len({raw[at:at + 200] for at in starts.tolist()})
+
+
 def test_pieces_of_long_documents(make_docs, passages, monkeypatch):
     monkeypatch.setattr(suffixes, "BUFFER", 700)
     rows = [(i, p or "") for i, p in enumerate(passages)]
