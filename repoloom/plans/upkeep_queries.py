@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grep, maintain, registry, topics
-from ..operators.symbols import build_index
+from ..operators.symbols import build_index, symbols_across
 from ..session import materialize, scratch_dir
 from ..sources import tables
 from ..streaming import refs as streams
@@ -14,6 +14,7 @@ from . import views
 from .catalog import query
 from .registry_queries import AT_SQL, now
 from .search_queries import LINES, PATTERN, first_match
+from .symbol_queries import LOWER, SHOWN
 
 # Checkouts the ref events speak of: r0..r19 with one per event type, of which
 # "view" is a commit pin, "click" was never indexed and "error" has no head.
@@ -234,6 +235,29 @@ def index_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_index(spark, where)
 
 
+@query("symbols_lookup", f"""
+with stored as (select * from symbols where right(project, 1) not in ('1', '2') or (right(project, 1) = '2' and line % 4 = 0)),
+asked as (select unnest(['Rea', '*E*d', 'green', 'red%l', 'zzz']) as name, unnest(['', 'method', '', 'class,method', '']) as kind)
+select a.name as asked, {SHOWN.replace('name', 's.name').replace('kind', 's.kind')} from asked a, stored s
+where {LOWER.format('s.name')} like case a.name when 'Rea' then '%rea%' when '*E*d' then '%e%d' when 'green' then '%green%' when 'red%l' then 'red%l' else '%zzz%' end
+ and (a.kind = '' or contains(a.kind, s.kind))""")
+def symbols_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names sought in all checkouts by the lookup, after one kind of checkouts was removed and another written anew."""
+    where = scratch_dir(spark)
+    s = views.symbols(spark, sf_dir)
+    tables.write_symbols(s.where("line % 4 <> 0"), s.select("project").distinct(), where)
+    tables.create_lookup(spark, where)
+    last = F.right("project", F.lit(1))
+    tables.write_symbols(s.where(last != "2").unionByName(s.where((last == "2") & (F.col("line") % 4 == 0))), s.select("project").distinct(), where)
+    tables.drop_symbols(s.where(last == "1").select("project").distinct(), where)
+    out = None
+    for name, kinds in (("Rea", []), ("*E*d", ["method"]), ("green", []), ("red%l", ["class", "method"]), ("zzz", [])):
+        found = symbols_across(tables.read_lookup(spark, where, name, kinds), name, kinds, limit=0)
+        found = found.select(F.lit(name).alias("asked"), "project", "path", "name", "kind", "line", "end_line", "parent", "lang")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("symbol_index_store", "select * from symbols where right(project, 1) <> '1' and (right(project, 1) <> '2' or line % 4 = 0)")
 def symbol_index_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written, then rewritten for two kinds of brands, one of which is empty now."""

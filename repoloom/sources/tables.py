@@ -1,18 +1,24 @@
 """Stored tables: the symbol index and small registry tables.
 
-Layout below a root folder: `symbols/project=<id>/...`, one folder per
-registry table and version, and `_schema_version`.
+Layout below a root folder: `symbols/project=<id>/...`, `lookup/bucket=<n>/...`
+if wanted, one folder per registry table and version, and `_schema_version`.
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import selective
+from ..functions.text import ascii_lower, name_pattern, split_list
+from ..session import materialize, selective
 
 SCHEMA_VERSION = 1
+LOOKUP_BUCKETS = 64
 
 SYMBOLS = T.StructType([
     T.StructField("path", T.StringType()),
@@ -63,6 +69,11 @@ def write_symbols(symbols: DataFrame, parsed: DataFrame, root: str) -> None:
     null name, which also keeps the commit, and `read_index` leaves those out.
     """
     rows = symbols.select(*SYMBOLS.fieldNames())
+    spark = symbols.sparkSession
+    if exists(spark, f"{root}/lookup"):
+        # First the lookup: a job that ends between the writes leaves terms without symbols, never symbols without terms.
+        rows = materialize(rows.join(parsed.select("project").distinct(), "project", "left_semi").select(*SYMBOLS.fieldNames()))
+        _add_terms(rows, root)
     known = {f.name: F.col(f.name) if f.name in parsed.columns else F.lit(None).cast(f.dataType) for f in MARK}
     done = parsed.select("project", *[c.alias(n) for n, c in known.items()]).dropDuplicates(["project"])
     marks = done.select("project", *known, *[F.lit(None).cast(f.dataType).alias(f.name) for f in SYMBOLS.fields if f.name != "project"])
@@ -95,6 +106,55 @@ def read_index(spark: SparkSession, root: str) -> DataFrame:
     return read_symbols(spark, root).where(F.col("name").isNotNull()).select(*SYMBOLS.fieldNames())
 
 
+def _terms(symbols: DataFrame) -> DataFrame:
+    """(project, term, bucket): three neighbouring characters of folded names, kinds and languages, each once per project."""
+    folded = ascii_lower("name")
+    grams = F.when(F.char_length("name") >= 3, F.transform(
+        F.sequence(F.lit(1), F.char_length("name") - 2), lambda at: F.concat(F.lit("n:"), F.substring(folded, at, F.lit(3)))))
+    names = symbols.select("project", "name").distinct().select("project", F.explode(grams).alias("term"))
+    flags = symbols.select("project", F.explode(F.array(F.concat(F.lit("k:"), "kind"), F.concat(F.lit("l:"), "lang"))).alias("term"))
+    return names.unionByName(flags).where("term is not null").distinct().withColumn("bucket", (F.crc32("term") % LOOKUP_BUCKETS).cast("int"))
+
+
+def _add_terms(symbols: DataFrame, root: str) -> None:
+    _terms(symbols).repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(f"{root}/lookup")
+
+
+def create_lookup(spark: SparkSession, root: str) -> None:
+    """Build the lookup of the stored index; from then on write_symbols keeps it.
+
+    Terms of symbols that are gone stay until the lookup is built again; they
+    cost a look at a checkout, never a wrong row.
+    """
+    found = materialize(_terms(read_index(spark, root)))
+    remove(spark, f"{root}/lookup")
+    found.repartition("bucket", "term").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/lookup")
+
+
+def read_lookup(spark: SparkSession, root: str, name: str = "", kinds: Sequence[str] = (), langs: Sequence[str] = ()) -> DataFrame:
+    """The stored index of the checkouts that can hold an asked name, kind and language; filters still have to be applied.
+
+    A checkout is read only if the lookup has all three-character pieces of
+    the pattern's literal parts for it, one of the kinds and one of the
+    languages.  A request without any of these reads the whole index.
+    """
+    literal = re.split("[%_]", name_pattern(name).translate(str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})))
+    grams = {f"n:{part[at:at + 3]}" for part in literal for at in range(len(part) - 2)}
+    flags = [{f"{mark}:{value}" for value in split_list(list(values))} for mark, values in (("k", kinds), ("l", langs))]
+    terms = grams.union(*flags)
+    index = read_index(spark, root)
+    if not terms or not exists(spark, f"{root}/lookup"):
+        return index
+    buckets = sorted({zlib.crc32(term.encode()) % LOOKUP_BUCKETS for term in terms})
+    schema = T.StructType([T.StructField("project", T.StringType()), T.StructField("term", T.StringType()), T.StructField("bucket", T.IntegerType())])
+    found = spark.read.schema(schema).parquet(f"{root}/lookup").where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(terms)))
+    # kinds and languages are alternatives, pieces of a name are all needed
+    need = F.when(F.col("term").startswith("n:"), F.col("term")).otherwise(F.substring("term", 1, 2))
+    wanted = len(grams) + sum(bool(f) for f in flags)
+    there = materialize(found.groupBy("project").agg(F.count_distinct(need).alias("n")).where(F.col("n") == wanted).select("project"))
+    return index.join(selective(there), "project", "left_semi").select(*SYMBOLS.fieldNames())
+
+
 def read_marks(spark: SparkSession, root: str) -> DataFrame:
     """(project, commit_hash, parsed_at) of the checkouts that are indexed."""
     return read_symbols(spark, root).where("name is null and parsed_at is not null").select("project", "commit_hash", "parsed_at")
@@ -132,7 +192,7 @@ def ensure_schema(spark: SparkSession, root: str, version: int = SCHEMA_VERSION)
     if found and found.version == version:
         return False
     had_tables = False
-    for name in ("repos", "checkouts", "symbols"):
+    for name in ("repos", "checkouts", "symbols", "lookup"):
         if exists(spark, f"{root}/{name}"):
             had_tables = True
             remove(spark, f"{root}/{name}")

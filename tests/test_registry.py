@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repoloom.operators import maintain, registry
+from repoloom.operators.symbols import symbols_across
 from repoloom.sources import tables
 from repoloom.sources.corpus import corpus_scan, land_files, manifest_of, read_manifest
 
@@ -212,3 +213,30 @@ def test_complete_landing_drops_vanished_projects(spark, tmp_path, make_files):
     assert ids(corpus_scan(spark, where), "project") == ["p@v/1", "q"]
     land_files(both.where("project = 'q'"), where, complete=True)
     assert ids(corpus_scan(spark, where), "project") == ["q"]
+
+
+def test_lookup_reads_only_checkouts_that_can_match(spark, tmp_path):
+    """The files of all other checkouts are spoilt after the write, so a look at one would fail."""
+    root = str(tmp_path / "store")
+    names = ["ParseTree", "open_file", "closeAll", "Ünïq", "f"]
+    rows = [("x.py", names[n % 5], "class" if n % 10 == 0 else "function", 1, 2, None, "python", f"p{n}") for n in range(30)]
+    s = spark.createDataFrame(rows, tables.SYMBOLS)
+    tables.write_symbols(s, s.select("project"), root)
+    tables.create_lookup(spark, root)
+    again = spark.createDataFrame([("y.py", "reparse", "function", 1, 2, None, "go", "p1"), ("y.py", "late", "class", 1, 2, None, "go", "p31")], tables.SYMBOLS)
+    tables.write_symbols(again, again.select("project"), root)
+    asked = [("*parse*", [], []), ("PARSETREE", ["class"], []), ("late", ["class", "method"], ["go"]), ("ÜNïq", [], []), ("nowhere", [], []), ("o%e", [], ["python"]), ("f", [], [])]
+    for name, kinds, langs in asked:
+        plain, by_lookup = (sorted(tuple(r) for r in symbols_across(index, name, kinds, langs, limit=0).select("project", "name", "lang").collect())
+                            for index in (tables.read_index(spark, root), tables.read_lookup(spark, root, name, kinds, langs)))
+        assert by_lookup == plain and bool(plain) == (name != "nowhere")
+    able = {f"p{n}" for n in range(0, 30, 5)} | {"p1"}
+    for folder in (tmp_path / "store" / "symbols").glob("project=*"):
+        if folder.name[8:] not in able:
+            for file in folder.glob("*.parquet"):
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+                file.write_bytes(b"spoilt")
+    found = symbols_across(tables.read_lookup(spark, root, "*parse*"), "*parse*", limit=0)
+    assert {r.project for r in found.collect()} == able
+    with pytest.raises(Exception):
+        symbols_across(tables.read_index(spark, root), "*parse*", limit=0).collect()
