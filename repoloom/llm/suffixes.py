@@ -16,7 +16,7 @@ LENGTH = 200
 GRAM = 64
 LONGEST_RUN = 256
 BUFFER = 1 << 15
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 HOT = 4096
 _DRAW = np.random.default_rng(7)
 _BYTE = _DRAW.integers(0, 2**63, 256, dtype=np.uint64)
