@@ -97,6 +97,37 @@ def test_bounds_hold(spark):
         assert all(rows[p].bound <= rows[h].bound for p in parents)
 
 
+def test_lines_over_many_blocks(spark, monkeypatch):
+    """Blocks far smaller than the history, in an order that wrong clocks have spoilt; rows written don't grow with the rounds."""
+    rng = random.Random(8)
+    edges = random_graph(11, 250)
+    rows = [(r, h, p, "A", "a@x", datetime(2024, 1, 1) + timedelta(hours=i + rng.choice([0, 0, -60, 60])), "s") for i, (r, h, p) in enumerate(edges)]
+    heads = spark.createDataFrame([("r", h) for h in ("c249", "c120", "c121", "c3")], "repo string, head string")
+    want = {(h, x) for h in ("c249", "c120", "c121", "c3") for x in ancestors(edges, h)}
+    for size, columns in ((4, COMMITS), (30, COMMITS), (30, None)):
+        monkeypatch.setattr(history, "BLOCK", size)
+        commits = spark.createDataFrame(rows, COMMITS)
+        commits = commits if columns else commits.drop("author_ts")
+        assert {(r.head, r.hash) for r in history.reachable(commits, heads).collect()} == want
+
+
+def test_rows_written_do_not_grow_with_rounds(spark, monkeypatch):
+    counted = []
+
+    def store(df, where=None):
+        df = materialize(df, where)
+        counted.append(df.count())
+        return df
+
+    monkeypatch.setattr(history, "materialize", store)
+    monkeypatch.setattr(history, "BLOCK", 200)
+    n = 3000
+    edges = [("r", f"c{i}", [f"c{i - 1}"] if i else []) for i in range(n)]
+    heads = spark.createDataFrame([("r", f"c{n - 1}")], "repo string, head string")
+    assert history.reachable(graph(spark, edges), heads).count() == n
+    assert sum(counted) < 5 * n
+
+
 def test_refs(spark):
     refs = spark.createDataFrame([
         ("r", "refs/heads/main", "m"), ("r", "refs/heads/a/b", "x"), ("r", "refs/remotes/origin/main", "m"), ("r", "refs/remotes/origin/HEAD", "m"),
