@@ -97,6 +97,18 @@ def test_bounds_hold(spark):
         assert all(rows[p].bound <= rows[h].bound for p in parents)
 
 
+@pytest.mark.parametrize("size", [30, 60])
+def test_late_times_end_in_long_histories(spark, monkeypatch, size):
+    """A commit whose clock was two days ahead raises the 48 after it, by many generations, and no others."""
+    monkeypatch.setattr(history, "BLOCK", size)
+    start, n = datetime(2024, 1, 1), 400
+    times = {f"c{i}": start + timedelta(hours=i + (48 if i in (100, 110) else 0)) for i in range(n)}
+    rows = [("r", f"c{i}", [f"c{i - 1}"] if i else [], "A", "a@x", times[f"c{i}"], "s") for i in range(n)]
+    commits = materialize(spark.createDataFrame(rows, COMMITS))
+    got = {r.hash: r.bound for r in history.commit_bounds(commits).collect()}
+    assert got == {f"c{i}": max(times[f"c{j}"] for j in range(i + 1)) for i in range(n)}
+
+
 def test_lines_over_many_blocks(spark, monkeypatch):
     """Blocks far smaller than the history, in an order that wrong clocks have spoilt; rows written don't grow with the rounds."""
     rng = random.Random(8)
