@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +17,7 @@ from ..session import materialize, salted_join, selective
 MAX_KB = 256
 # An uncapped document comes in parts of about this size.
 PART_BYTES = 4 * 1024 * 1024
+FILES_AT_ONCE = 32
 CAP_MARKER = "\n[truncated by --max-kb]\n"
 # Shortest text a changed file can add to a patch.
 _LEAST_PATCH = 19
@@ -83,18 +84,28 @@ def _with_contents(changed: DataFrame, old: DataFrame, new: DataFrame) -> DataFr
     return both
 
 
+def _few_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, FILES_AT_ONCE at a time, so that no task holds the patches of a whole batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, FILES_AT_ONCE):
+            yield batch.slice(at, FILES_AT_ONCE)
+
+
+def _beside(rows: pa.RecordBatch, **made: pa.Array) -> pa.RecordBatch:
+    kept = ["project", "path", "status", "old_path"]
+    return pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), *made.values()], names=[*kept, *made])
+
+
 def diff_stat(old: DataFrame, new: DataFrame, paths: Sequence[str] = (), renames: bool = True) -> DataFrame:
     """Added and deleted lines per changed file; null for binary files."""
     changed = diff_files(old, new, paths, renames)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            counts = [_count(o, n) for o, n in zip(batch["old"], batch["new"])]
-            yield batch[["project", "path", "status", "old_path"]].assign(
-                added=pd.array([c[0] for c in counts], dtype="Int32"), deleted=pd.array([c[1] for c in counts], dtype="Int32")
-            )
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _few_files(batches):
+            counts = [_count(r["old"], r["new"]) for r in rows.to_pylist()]
+            yield _beside(rows, added=pa.array([c[0] for c in counts], pa.int32()), deleted=pa.array([c[1] for c in counts], pa.int32()))
 
-    return _with_contents(changed, old, new).mapInPandas(
+    return _with_contents(changed, old, new).mapInArrow(
         run, "project string, path string, status string, old_path string, added int, deleted int"
     )
 
@@ -134,12 +145,11 @@ def diff_stat_bag(old: DataFrame, new: DataFrame, paths: Sequence[str] = ()) ->
 
 
 def _patched(changed: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            patches = [unified(p, o, n, was) for p, o, n, was in zip(batch["path"], batch["old"], batch["new"], batch["old_path"])]
-            yield batch[["project", "path", "status", "old_path"]].assign(patch=patches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _few_files(batches):
+            yield _beside(rows, patch=pa.array([unified(r["path"], r["old"], r["new"], r["old_path"]) for r in rows.to_pylist()], pa.string()))
 
-    return _with_contents(changed, old, new).mapInPandas(
+    return _with_contents(changed, old, new).mapInArrow(
         run, "project string, path string, status string, old_path string, patch string"
     )
 

@@ -6,6 +6,7 @@ import random
 import re
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +271,15 @@ def test_snapshots(spark, make_files):
     assert whole.diff == "".join(p.patch for p in patches) and not whole.truncated
 
 
+def test_patches_are_made_of_few_files_at_a_time():
+    """A task holds the patches of some files, not of a whole batch, whatever the batch."""
+    names = pa.array([f"f{i}" for i in range(100)])
+    batch = pa.RecordBatch.from_arrays([names] * 4, names=["project", "path", "status", "old_path"])
+    parts = list(diff._few_files(iter([batch, batch.slice(0, 0)])))
+    assert [x for part in parts for x in part["path"].to_pylist()] == names.to_pylist()
+    assert max(part.num_rows for part in parts) == diff.FILES_AT_ONCE < 100
+
+
 def test_document_cap(spark, make_files):
     old = make_files({f"f{i:03}": "a\n" * 50 for i in range(60)})
     new = make_files({f"f{i:03}": "é\n" * 50 for i in range(60)})
