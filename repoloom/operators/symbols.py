@@ -259,6 +259,8 @@ def compare_versions(symbols: DataFrame, pairs: DataFrame) -> DataFrame:
     # -1 and +1 sides meet in one aggregation instead of a full join.
     sides = pairs.select(F.posexplode(F.array("old", "new")).alias("side", "project"), "old", "new")
     tagged = salted_join(symbols, sides, ["project"], F.col("path"), 8).withColumn("parent", F.coalesce("parent", F.lit("")))
+    # Tasks are sized by the rows that meet, not by the rows the symbols came from; the aggregation needs no other shuffle.
+    tagged = tagged.repartition("old", "new", "path")
     at = lambda side, what: F.coalesce(what(F.when(F.col("side") == side, F.col("line"))), F.lit(0))
     merged = tagged.groupBy("old", "new", *key).agg(
         at(0, F.count).alias("n_old"), at(1, F.count).alias("n_new"),

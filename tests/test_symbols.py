@@ -221,3 +221,14 @@ def test_queries(spark, make_files):
         ops.filter_symbols(index, langs=["cobol"])
     fresh = ops.symbols_in_file(make_files({"vendor/a.py": PY}), "p", "vendor/a.py", kinds=["method"])
     assert [r.name for r in fresh.collect()] == ["__init__", "describe"]
+
+
+def test_versions_meet_in_tasks_of_their_own(spark):
+    """Symbols of both versions are dealt by path before they are counted, so no task counts what one reading task made."""
+    rows = [(p, f"{i % 3}.py", f"n{i}", "function", i, i, None, "python") for p in ("a", "b") for i in range(9) if (p, i) != ("b", 4)]
+    table = spark.createDataFrame(rows, "project string, path string, name string, kind string, line int, end_line int, parent string, lang string")
+    found = ops.compare_versions(table, spark.createDataFrame([("a", "b")], "old string, new string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    first_count = plan[:plan.index("REPARTITION_BY_COL")]
+    assert first_count.count("HashAggregate") == 2 and "Exchange hashpartitioning" not in first_count.split("HashAggregate")[1]
+    assert [(r.path, r.name, r.status, r.old_line) for r in found.collect()] == [("1.py", "n4", "removed", 4)]
