@@ -1,20 +1,23 @@
-"""HTML extraction: blocks by structure, then a host's suffix array over token streams finds its boilerplate."""
+"""HTML extraction: a host's suffix array over the token streams of all its pages finds boilerplate, checked against the blocks' structure."""
 
 from __future__ import annotations
 
 import html
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, stored
-from .suffixes import LENGTH, repeated_ranges
+from .common import batches_of, id_type, stored
+from .suffixes import LENGTH, repeated_ranges, sliding_least
 from .url_filters import host_of
 
 TOKEN_BYTES = 20
+SPAN = LENGTH // TOKEN_BYTES  # tokens of the shortest string that counts as repeated
+GRAM = 4
 # Fixed values of HTML: elements without content, with raw text, and those that don't break a line.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -63,8 +66,8 @@ def _is_apart(name: str, attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> tuple[list[str], list[str]]:
-    """Texts of the blocks of the page in its articles, and outside them; menus and the like are left out.
+def zones(page: str) -> tuple[list[str], list[str], list[str]]:
+    """Texts of the blocks of the page in its articles, outside them, and in menus and the like.
 
     References are decoded and white space inside a block is one space.  An
     element that is never closed ends with the one around it, a raw one or a
@@ -72,6 +75,7 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
     """
     inside: list[str] = []
     outside: list[str] = []
+    marked: list[str] = []
     held: list[str] = []
     open_: list[tuple[str, bool, bool]] = []
     apart = article = False
@@ -80,17 +84,16 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                (inside if article else outside).append(text)
+                (marked if apart else inside if article else outside).append(text)
             held.clear()
 
     at = 0
     while True:
         m = _MARKUP.search(page, at)
-        if not apart:
-            held.append(page[at:m.start() if m else len(page)])
+        held.append(page[at:m.start() if m else len(page)])
         if not m:
             flush()
-            return inside, outside
+            return inside, outside, marked
         at = m.end()
         closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if not name:
@@ -102,13 +105,12 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
                 at = end.end() if end else len(page)
             continue
         if name in VOID:
-            if not apart:
-                if name == "hr":
-                    flush()
-                elif name != "wbr":
-                    held.append(" ")
+            if name == "hr":
+                flush()
+            elif name != "wbr":
+                held.append(" ")
             continue
-        if name not in INLINE and not apart:
+        if name not in INLINE:
             flush()
         if closing:
             if any(x[0] == name for x in open_):
@@ -134,65 +136,178 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
             article = True
 
 
-def token_codes(host: str, texts: list[str]) -> str:
-    """The tokens of a stream as codes of 20 characters that differ between hosts."""
-    lead = (host or "") + "\\0"
-    return "".join(xxhash.xxh128_hexdigest(lead + token)[:TOKEN_BYTES] for text in texts for token in text.split())
+def blocks(page: str) -> tuple[list[str], list[str]]:
+    """zones() without the blocks of menus and the like."""
+    return zones(page)[:2]
+
+
+def stream(page: int, host: str | None, parts: tuple[list[str], ...]) -> list[str]:
+    """Names of the tokens of a page's zones(), which differ between hosts and between articles and the rest; each zone ends in a name of its own."""
+    names: list[str] = []
+    for n, texts in enumerate(parts):
+        lead = f"{host or ''}\0{n == 0}\0"
+        names += [lead + token for text in texts for token in text.split()]
+        names.append(f"\0{page}\0{n}")
+    return names
+
+
+def least_grams(names: list[str]) -> np.ndarray:
+    """For each string of SPAN tokens the least hash of its grams; equal strings have equal ones."""
+    if len(names) < SPAN:
+        return np.zeros(0, np.uint64)
+    of = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    size = len(of) - GRAM + 1
+    grams = of[:size]
+    for step in range(1, GRAM):
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + of[step:step + size]
+    return sliding_least(grams, SPAN - GRAM + 1)
+
 
+def covered_by(starts: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` tokens lie in a string of SPAN tokens that begins where `starts` is true."""
+    edges = np.zeros(size + 1, np.int64)
+    at = np.flatnonzero(starts)
+    np.add.at(edges, at, 1)
+    np.add.at(edges, np.minimum(at + SPAN, size), -1)
+    return np.cumsum(edges[:-1]) > 0
 
-def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """(id, url, text, rest, codes) of every row: the text of the articles, or null and the codes of the other blocks' tokens; `rest` has those blocks."""
+
+def named_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """(id, url, host, html, page): rows with a number that equal ids and contents share."""
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
     if id_type(rows) != "bigint":
         rows = rows.withColumn("id", F.col("id").cast("string"))
+    return rows.withColumn("page", F.xxhash64("id", "host", "html"))
+
+
+def gram_pages(rows: DataFrame) -> DataFrame:
+    """(page, key): the least grams of all strings of SPAN tokens of each page."""
 
     def each(batches):
-        for batch in batches:
-            texts, rests, codes = [], [], []
-            for host, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                inside, outside = blocks(page)
-                texts.append(" ".join(inside) if inside else None)
-                rests.append(None if inside else " ".join(outside))
-                codes.append(None if inside else token_codes(host, outside))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.string()) for c in (texts, rests, codes))],
-                                             names=["id", "url", "text", "rest", "codes"])
-
-    return rows.mapInArrow(each, f"id {id_type(rows)}, url string, text string, rest string, codes string")
-
-
-def unique_runs(rest: str, ranges: list) -> str:
-    """The tokens that no repeated string covers, joined by a space."""
-    tokens, width = rest.split(), LENGTH // TOKEN_BYTES
-    covered = bytearray(len(tokens))
-    for r in ranges:
-        for at in range(-(-r["a"] // TOKEN_BYTES), -(-r["b"] // TOKEN_BYTES)):
-            covered[at:at + width] = b"\1" * len(covered[at:at + width])
-    return " ".join(t for t, c in zip(tokens, covered, strict=True) if not c)
-
-
-def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text) of every page: its articles, or else what no other page of its host has.
-
-    A page with an article or main element gives the blocks in it, less menus,
-    headers, footers, sidebars, notices, adverts, forms and comments by their
-    elements, roles and class names.  Any other page gives its remaining
-    blocks, less all strings of ten tokens or more that stand in another page
-    of the same host too.  A null page has an empty text; ids are taken as
-    those of pages, and rows that repeat an id give the same text; an empty
-    table gives no rows.
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                numbers = batch.column(0).to_pylist()
+                keys = [np.unique(least_grams(stream(page, host, zones(text)))) for page, host, text in zip(numbers, *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+                of = np.repeat(np.array(numbers, np.int64), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(keys).view(np.int64))], names=["page", "key"])
+
+    return rows.select("page", "host", "html").mapInArrow(each, "page long, key long")
+
+
+def parsed(rows: DataFrame) -> DataFrame:
+    """(id, host, article, text, tokens, blocks) of the stretches of each page whose strings may stand in another page, all zones of all pages being searched.
+
+    `text` has codes of TOKEN_BYTES characters for the tokens of the page's
+    stream(), a name of its own between stretches.  `article` is a hash of the
+    blocks in articles; where there are none, `tokens` has (at, token): which
+    token of the outside blocks stands where.  `blocks` has (n, hash, a, b) of
+    every block in an article that lies whole in a stretch.  A string that is
+    left out has a least gram that no other page has.
+    """
+    window = Window.partitionBy("key")
+    met = gram_pages(rows).withColumn("several", F.min("page").over(window) < F.max("page").over(window)).where("several")
+    keys = met.groupBy("page").agg(F.collect_list("key").alias("keys"))
+    asked = rows.select("page", "host", "html").join(keys, "page").select("page", "host", "html", "keys")
+
+    def one(page, host, text, keys):
+        parts = zones(text)
+        names = stream(page, host, parts)
+        held = covered_by(np.isin(least_grams(names).view(np.int64), np.array(keys, np.int64)), len(names))
+        place = np.cumsum(held) - 1 + np.cumsum(np.diff(held.astype(np.int8), prepend=1) < 0)  # a name of its own after each stretch
+        codes, last = [], True
+        for name, kept in zip(names, held.tolist(), strict=True):
+            if kept or last:
+                codes.append(xxhash.xxh128_hexdigest(name if kept else f"\0{page}\0{len(codes)}-")[:TOKEN_BYTES])
+            last = kept
+        inside, outside, _ = parts
+        found, at = [], 0
+        for n, block in enumerate(inside):
+            size = block.count(" ") + 1
+            if held[at:at + size].all():
+                found.append((n, xxhash.xxh64_intdigest(block) - 2**63, int(place[at]), int(place[at]) + size))
+            at += size
+        loose = [] if inside else [(int(place[t]), t - 1) for t in np.flatnonzero(held[:1 + sum(b.count(" ") + 1 for b in outside)]).tolist() if t]
+        return page, host, xxhash.xxh64_intdigest("\n".join(inside)) - 2**63 if inside else None, "".join(codes), loose, found
+
+    numbers = pa.int64()
+    schema = pa.schema([
+        ("id", numbers), ("host", pa.string()), ("article", numbers), ("text", pa.string()), ("tokens", pa.list_(pa.struct([("at", pa.int32()), ("token", pa.int32())]))),
+        ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("hash", numbers), ("a", pa.int32()), ("b", pa.int32())])))])
+
+    def each(batches):
+        return batches_of((one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema, 500)
+
+    return asked.mapInArrow(each, "id long, host string, article long, text string, tokens array<struct<at:int,token:int>>, blocks array<struct<n:int,hash:long,a:int,b:int>>")
+
+
+def repeated_parts(made: DataFrame) -> DataFrame:
+    """(page, host, article, gone, blocks): tokens of the outside blocks, and (n, hash) of blocks in articles, that repeated strings cover."""
+    ranges = repeated_ranges(made.select("id", "text"), apart=True).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    joined = made.join(ranges, F.col("id") == F.col("of")).select("id", "host", "article", F.octet_length("text").alias("size"), "tokens", "blocks", "ranges")
+
+    def one(page, host, article, size, tokens, blocks, ranges):
+        starts = np.zeros(size // TOKEN_BYTES, bool)
+        for r in ranges:
+            starts[-(-r["a"] // TOKEN_BYTES):-(-r["b"] // TOKEN_BYTES)] = True
+        covered = covered_by(starts, len(starts))
+        return page, host, article, [t["token"] for t in tokens if covered[t["at"]]], [(b["n"], b["hash"]) for b in blocks if covered[b["a"]:b["b"]].all()]
+
+    schema = pa.schema([("page", pa.int64()), ("host", pa.string()), ("article", pa.int64()), ("gone", pa.list_(pa.int32())),
+                        ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("hash", pa.int64())])))])
+
+    def each(batches):
+        return batches_of((one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema, 2000)
+
+    return joined.mapInArrow(each, "page long, host string, article long, gone array<int>, blocks array<struct<n:int,hash:long>>")
+
+
+def boilerplate(rows: DataFrame, share: float, least: int) -> DataFrame:
+    """(page, gone): numbers of the blocks in articles, or else of the tokens of the outside blocks, that are a host's boilerplate."""
+    found = stored(repeated_parts(stored(parsed(rows))))
+    each = found.where("article is not null").select("page", F.coalesce("host", F.lit("")).alias("host"), "article", F.inline("blocks"))
+    sizes = rows.select(F.coalesce("host", F.lit("")).alias("host"), "page").distinct().groupBy("host").agg(F.count("*").alias("size"))
+    often = each.select("host", "hash", "article").distinct().groupBy("host", "hash").agg(F.count("*").alias("m")).where(F.col("m") >= least)
+    often = often.join(sizes, "host").where(F.col("m") >= share * F.col("size")).select("host", "hash")
+    inside = each.join(often, ["host", "hash"]).groupBy("page").agg(F.collect_set("n").alias("gone"))
+    outside = found.where("article is null and size(gone) > 0").groupBy("page").agg(F.first("gone").alias("gone"))
+    return inside.unionByName(outside)
+
+
+def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = 0.5, least: int = 5) -> DataFrame:
+    """(id, url, text) of every page: its articles, or else its other blocks, without what is boilerplate of its host.
+
+    The token streams of all pages of a host, articles, other blocks and
+    menus, go through its suffix array, which finds the strings of ten tokens
+    or more that stand in another page too.  The page's structure then checks
+    them.  A page with an article or main element gives the blocks in it, less
+    menus, headers, footers, sidebars, notices, adverts, forms and comments by
+    their elements, roles and class names, and less blocks that such strings
+    cover in `least` different articles and in a `share` of the host's pages,
+    unless nothing would be left; so passages and whole articles that some
+    pages share stay.  Any other page gives its remaining blocks, less all
+    such strings that also stand outside the articles of another page.  A null
+    page has an empty text; rows that repeat an id and html are one page, those
+    that repeat an id with other html are pages of their own; an empty table
+    gives no rows.
     """
-    made = stored(parsed(pages, id_col, url_col, html_col))
-    loose = made.where("text is null").select("id", "url", "rest", F.col("codes").alias("text"))
-    ranges = repeated_ranges(loose.select("id", "text").where("text <> ''"), apart=True).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = loose.join(ranges, F.col("id").eqNullSafe(F.col("of")), "left").select("id", "url", "rest", "ranges")
+    rows = named_pages(pages, id_col, url_col, html_col)
+    joined = rows.join(stored(boilerplate(rows, share, least)), "page", "left").select("id", "url", "html", "gone")
+
+    def text_of(page, gone):
+        inside, outside, _ = zones(page)
+        parts = inside or " ".join(outside).split()
+        lost = set(gone or ())
+        left = [part for n, part in enumerate(parts) if n not in lost]
+        return " ".join(left or inside)
 
     def kept(batches):
         for batch in batches:
-            texts = [unique_runs(rest or "", ranges or []) for rest, ranges in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [text_of(*row) for row in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    found = joined.mapInArrow(kept, f"id {id_type(made)}, url string, text string")
-    return made.where("text is not null").select("id", "url", "text").unionByName(found).select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    found = joined.mapInArrow(kept, f"id {id_type(rows)}, url string, text string")
+    return found.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

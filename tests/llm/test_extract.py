@@ -6,7 +6,7 @@ import html
 import re
 
 from repoloom.llm.common import table
-from repoloom.llm.extract import blocks, main_text, page_texts
+from repoloom.llm.extract import blocks, main_text, page_texts, zones
 
 SF = "/root/testdata/sf0.001"
 PAGE = "page_id long, url string, html string, id string, text string, codes string"
@@ -59,3 +59,35 @@ def test_host_boilerplate(spark):
     assert got[7] == menu and got[8] == f"{menu} {menu}"
     assert main_text(pages.where("false")).count() == 0
     assert main_text(pages.union(pages)).count() == 18
+
+
+def words(lead: str, n: int) -> str:
+    return " ".join(f"{lead}{i}" for i in range(n))
+
+
+def test_all_pages_are_searched(spark):
+    """Menus of pages with an article tell what is a menu of a page without one, whether they are marked there or not."""
+    menu, legal = words("menu", 14), words("legal", 12)
+    rows = [(n, "http://h.org/a", f"<div>{menu}</div><article>{words(f'own{n}x', 20)}</article><footer>{legal}</footer>") for n in range(3)]
+    rows += [(3, "http://h.org/b", f"<div>{menu}</div><p>{words('loose', 20)}</p><p>{legal}</p>"),
+             (4, "http://h.org/print", f"<p>{words('own0x', 20)}</p>"), (5, "http://other.org/b", f"<div>{menu}</div><p>{legal}</p>")]
+    pages = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], PAGE)
+    got = {r.page_id: r.text for r in main_text(pages).collect()}
+    assert [got[n] for n in range(3)] == [words(f"own{n}x", 20) for n in range(3)]
+    assert got[3] == words("loose", 20) and got[4] == words("own0x", 20) and got[5] == f"{menu} {legal}"
+
+
+def test_boilerplate_in_articles(spark):
+    """A block in the articles of most pages of a host goes; what fewer pages or copies of one article share stays."""
+    plea, shared = words("plea", 12), words("shared", 15)
+    rows = [(n, "http://h.org/a", f"<article><p>{words(f'own{n}x', 20)}</p><div class='x1'>{plea}</div><p>end{n}</article>") for n in range(6)]
+    rows += [(n, "http://h.org/a", f"<article><p>{words(f'own{n}x', 20)}</p><p>{shared}</p></article>") for n in range(6, 9)]
+    rows += [(n, "http://copies.org/a", f"<article><p>{words('copy', 20)}</p><p>{shared}</p></article>") for n in range(9, 19)]
+    rows += [(n, "http://few.org/a", f"<article><p>{words(f'few{n}x', 20)}</p><p>{plea}</p></article>") for n in range(19, 23)]
+    rows += [(23, "http://h.org/plea", f"<main>{plea}</main>"), (23, "http://h.org/plea", f"<main>{plea} and more</main>"), (None, "http://h.org/c", None)]
+    pages = spark.createDataFrame([(*r, "x", "y", "z") for r in rows], PAGE)
+    got = {(r.page_id, r.text) for r in main_text(pages).collect()}
+    want = {(n, f"{words(f'own{n}x', 20)} end{n}") for n in range(6)} | {(n, f"{words(f'own{n}x', 20)} {shared}") for n in range(6, 9)}
+    want |= {(n, f"{words('copy', 20)} {shared}") for n in range(9, 19)} | {(n, f"{words(f'few{n}x', 20)} {plea}") for n in range(19, 23)}
+    assert got == want | {(23, plea), (23, f"{plea} and more"), (None, "")}
+    assert zones("<nav>a<p>b</nav><article>c<aside>d</aside>e</article>f") == (["c", "e"], ["f"], ["a", "b", "d"])
