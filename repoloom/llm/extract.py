@@ -141,26 +141,24 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
     return zones(page)[:2]
 
 
-def stream(page: int, host: str | None, parts: tuple[list[str], ...]) -> list[str]:
-    """Names of the tokens of a page's zones(), which differ between hosts and between articles and the rest; each zone ends in a name of its own."""
-    names: list[str] = []
+def streams(host: str | None, parts: tuple[list[str], ...]) -> list[np.ndarray]:
+    """128-bit hashes, as two columns, of the tokens of a page's zones(); they differ between hosts and between articles and the rest."""
+    found = []
     for n, texts in enumerate(parts):
-        lead = f"{host or ''}\0{n == 0}\0"
-        names += [lead + token for text in texts for token in text.split()]
-        names.append(f"\0{page}\0{n}")
-    return names
-
-
-def least_grams(names: list[str]) -> np.ndarray:
-    """For each string of SPAN tokens the least hash of its grams; equal strings have equal ones."""
-    if len(names) < SPAN:
-        return np.zeros(0, np.uint64)
-    of = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
-    size = len(of) - GRAM + 1
-    grams = of[:size]
+        lead = np.frombuffer(xxhash.xxh128_digest(f"{host or ''}\0{n == 0}"), np.uint64)
+        found.append(np.frombuffer(b"".join(map(xxhash.xxh128_digest, " ".join(texts).split())), np.uint64).reshape(-1, 2) ^ lead)
+    return found
+
+
+def least_grams(tokens: np.ndarray) -> np.ndarray:
+    """For each string of SPAN tokens 40 bits of the least hash of its grams; equal strings have equal ones."""
+    if len(tokens) < SPAN:
+        return np.zeros(0, np.int64)
+    size = len(tokens) - GRAM + 1
+    grams = tokens[:size, 0]
     for step in range(1, GRAM):
-        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + of[step:step + size]
-    return sliding_least(grams, SPAN - GRAM + 1)
+        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + tokens[step:step + size, 0]
+    return (sliding_least(grams, SPAN - GRAM + 1) >> np.uint64(24)).astype(np.int64)
 
 
 def covered_by(starts: np.ndarray, size: int) -> np.ndarray:
@@ -188,9 +186,9 @@ def gram_pages(rows: DataFrame) -> DataFrame:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 numbers = batch.column(0).to_pylist()
-                keys = [np.unique(least_grams(stream(page, host, zones(text)))) for page, host, text in zip(numbers, *(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+                keys = [np.unique(np.concatenate([least_grams(z) for z in streams(host, zones(text))])) for host, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
                 of = np.repeat(np.array(numbers, np.int64), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(keys).view(np.int64))], names=["page", "key"])
+                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(keys))], names=["page", "key"])
 
     return rows.select("page", "host", "html").mapInArrow(each, "page long, key long")
 
@@ -199,7 +197,7 @@ def parsed(rows: DataFrame) -> DataFrame:
     """(id, host, article, text, tokens, blocks) of the stretches of each page whose strings may stand in another page, all zones of all pages being searched.
 
     `text` has codes of TOKEN_BYTES characters for the tokens of the page's
-    stream(), a name of its own between stretches.  `article` is a hash of the
+    streams(), a code of the page alone after each stretch.  `article` is a hash of the
     blocks in articles; where there are none, `tokens` has (at, token): which
     token of the outside blocks stands where.  `blocks` has (n, hash, a, b) of
     every block in an article that lies whole in a stretch.  A string that is
@@ -212,14 +210,18 @@ def parsed(rows: DataFrame) -> DataFrame:
 
     def one(page, host, text, keys):
         parts = zones(text)
-        names = stream(page, host, parts)
-        held = covered_by(np.isin(least_grams(names).view(np.int64), np.array(keys, np.int64)), len(names))
-        place = np.cumsum(held) - 1 + np.cumsum(np.diff(held.astype(np.int8), prepend=1) < 0)  # a name of its own after each stretch
-        codes, last = [], True
-        for name, kept in zip(names, held.tolist(), strict=True):
-            if kept or last:
-                codes.append(xxhash.xxh128_hexdigest(name if kept else f"\0{page}\0{len(codes)}-")[:TOKEN_BYTES])
-            last = kept
+        tokens, masks = [], []
+        for zone in streams(host, parts):
+            tokens += [zone, np.zeros((1, 2), np.uint64)]
+            masks += [covered_by(np.isin(least_grams(zone), keys), len(zone)), [False]]
+        held = np.concatenate(masks)
+        gaps = np.diff(held.astype(np.int8), prepend=1) < 0  # a code of its own stands after each stretch
+        place = np.cumsum(held | gaps) - 1
+        codes = np.zeros((place[-1] + 1, 2), np.uint64)
+        codes[place[held]] = np.concatenate(tokens)[held]
+        for at in place[gaps].tolist():
+            codes[at] = np.frombuffer(xxhash.xxh128_digest(f"\0{page}\0{at}"), np.uint64)
+        coded = codes.view(np.uint8)[:, :TOKEN_BYTES // 2].tobytes().hex()
         inside, outside, _ = parts
         found, at = [], 0
         for n, block in enumerate(inside):
@@ -228,7 +230,7 @@ def parsed(rows: DataFrame) -> DataFrame:
                 found.append((n, xxhash.xxh64_intdigest(block) - 2**63, int(place[at]), int(place[at]) + size))
             at += size
         loose = [] if inside else [(int(place[t]), t - 1) for t in np.flatnonzero(held[:1 + sum(b.count(" ") + 1 for b in outside)]).tolist() if t]
-        return page, host, xxhash.xxh64_intdigest("\n".join(inside)) - 2**63 if inside else None, "".join(codes), loose, found
+        return page, host, xxhash.xxh64_intdigest("\n".join(inside)) - 2**63 if inside else None, coded, loose, found
 
     numbers = pa.int64()
     schema = pa.schema([
