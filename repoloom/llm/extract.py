@@ -197,9 +197,9 @@ def parsed(rows: DataFrame) -> DataFrame:
     """(id, host, article, text, tokens, blocks) of the stretches of each page whose strings may stand in another page, all zones of all pages being searched.
 
     `text` has codes of TOKEN_BYTES characters for the tokens of the page's
-    streams(), a code of the page alone after each stretch.  `article` is a hash of the
-    blocks in articles; where there are none, `tokens` has (at, token): which
-    token of the outside blocks stands where.  `blocks` has (n, hash, a, b) of
+    streams(), a code of the page alone after each stretch.  `article` is a
+    hash of the blocks in articles; where there are none, `tokens` has (at,
+    token): which token of the outside blocks stands where.  `blocks` has (n, hash, a, b) of
     every block in an article that lies whole in a stretch.  A string that is
     left out has a least gram that no other page has.
     """
@@ -286,8 +286,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     menus, headers, footers, sidebars, notices, adverts, forms and comments by
     their elements, roles and class names, and less blocks that such strings
     cover in `least` different articles and in a `share` of the host's pages,
-    unless nothing would be left; so passages and whole articles that some
-    pages share stay.  Any other page gives its remaining blocks, less all
+    unless they are over half of its text, which makes it a version of another
+    article; so passages and whole articles that some pages share stay.  Any other page gives its remaining blocks, less all
     such strings that also stand outside the articles of another page.  A null
     page has an empty text; rows that repeat an id and html are one page, those
     that repeat an id with other html are pages of their own; an empty table
@@ -301,7 +301,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         parts = inside or " ".join(outside).split()
         lost = set(gone or ())
         left = [part for n, part in enumerate(parts) if n not in lost]
-        return " ".join(left or inside)
+        if inside and 2 * sum(map(len, left)) < sum(map(len, inside)):
+            return " ".join(inside)
+        return " ".join(left)
 
     def kept(batches):
         for batch in batches:

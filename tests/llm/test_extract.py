@@ -91,3 +91,10 @@ def test_boilerplate_in_articles(spark):
     want |= {(n, f"{words('copy', 20)} {shared}") for n in range(9, 19)} | {(n, f"{words(f'few{n}x', 20)} {plea}") for n in range(19, 23)}
     assert got == want | {(23, plea), (23, f"{plea} and more"), (None, "")}
     assert zones("<nav>a<p>b</nav><article>c<aside>d</aside>e</article>f") == (["c", "e"], ["f"], ["a", "b", "d"])
+
+
+def test_versions_of_an_article(spark):
+    """Blocks that are most of an article stay, however many versions of it a host has."""
+    want = {n: f"{words('long', 30)} version{n} {words('end', 15)}" for n in range(7)}
+    rows = [(n, "http://v.org/a", f"<main><p>{words('long', 30)}</p><p>version{n}</p><p>{words('end', 15)}</p></main>", "x", "y", "z") for n in want]
+    assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()} == want
