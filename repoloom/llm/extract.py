@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +13,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches_of, id_type, stored
-from .suffixes import LENGTH, repeated_ranges, sliding_least
+from .suffixes import repeats, sliding_least
 from .url_filters import host_of
 
-TOKEN_BYTES = 20
-SPAN = LENGTH // TOKEN_BYTES  # tokens of the shortest string that counts as repeated
+SPAN = 10  # tokens of the shortest string that counts as repeated
 GRAM = 4
+LONGEST_RUN = 32
+PAGES = 500  # pages whose tokens are handled at once
+BLOCK = 1 << 18  # tokens of a suffix array
+HOT = 4096  # pages with a gram, from which on it is no key
+_DRAW = np.random.default_rng(11)
+_BYTE = _DRAW.integers(0, 2**63, 256, dtype=np.uint64)
+_BASE = 0xD1342543DE82EF93
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 # Fixed values of HTML: elements without content, with raw text, and those that don't break a line.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -141,24 +149,65 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
     return zones(page)[:2]
 
 
-def streams(host: str | None, parts: tuple[list[str], ...]) -> list[np.ndarray]:
-    """128-bit hashes, as two columns, of the tokens of a page's zones(); they differ between hosts and between articles and the rest."""
+def token_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the tokens between the single spaces of a text: differences of running sums of bytes times powers."""
+    data = np.frombuffer(text, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    ends = np.append(np.flatnonzero(data == 32), len(data))
+    starts = np.append(0, ends[:-1] + 1)
     found = []
-    for n, texts in enumerate(parts):
-        lead = np.frombuffer(xxhash.xxh128_digest(f"{host or ''}\0{n == 0}"), np.uint64)
-        found.append(np.frombuffer(b"".join(map(xxhash.xxh128_digest, " ".join(texts).split())), np.uint64).reshape(-1, 2) ^ lead)
-    return found
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(data), 1 << 20)), len(starts)))
+    for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # stretches of about 1 MiB
+        base, size = starts[low], ends[high - 1] - starts[low]
+        power = np.cumprod(np.append(np.uint64(1), np.full(size, _BASE, np.uint64)))
+        sums = np.append(np.uint64(0), np.cumsum(_BYTE[data[base:base + size]] * power[:-1]))
+        a, b = starts[low:high] - base, ends[low:high] - base
+        back = np.uint64(pow(_BASE, -int(size), 1 << 64))  # so that a token's place doesn't count
+        value = (sums[b] - sums[a]) * power[size - a] * back + (b - a).astype(np.uint64) * _MIX
+        value = (value ^ (value >> np.uint64(32))) * _MIX
+        found.append(value ^ (value >> np.uint64(29)))
+    return np.concatenate(found)
+
+
+def streams(hosts: list[str | None], parts: list[tuple[list[str], ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sizes): the tokens of the zones() of pages laid end to end, 0 after each zone, and how many each zone has.
+
+    Hashes differ between hosts and between articles and the rest.
+    """
+    texts = [" ".join(zone) for zones_ in parts for zone in zones_]
+    sizes = np.array([t.count(" ") + 1 if t else 0 for t in texts])
+    lead = np.array([xxhash.xxh64_intdigest(f"{host or ''}\0{n == 0}") for host, zones_ in zip(hosts, parts, strict=True) for n in range(len(zones_))], np.uint64)
+    hashes = token_hashes(" ".join(filter(None, texts)).encode()) ^ np.repeat(lead, sizes)
+    out = np.zeros(sizes.sum() + len(sizes), np.uint64)
+    out[np.arange(len(hashes)) + np.repeat(np.arange(len(sizes)), sizes)] = np.maximum(hashes, 1)
+    return out, sizes
+
 
+def least_grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, at, n): runs of at most LONGEST_RUN neighbouring strings of SPAN tokens, none of them 0, with the same least hash of their grams.
 
-def least_grams(tokens: np.ndarray) -> np.ndarray:
-    """For each string of SPAN tokens 40 bits of the least hash of its grams; equal strings have equal ones."""
+    Equal strings have equal keys, wherever they stand.
+    """
     if len(tokens) < SPAN:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     size = len(tokens) - GRAM + 1
-    grams = tokens[:size, 0]
+    grams = tokens[:size]
     for step in range(1, GRAM):
-        grams = (grams ^ (grams >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + tokens[step:step + size, 0]
-    return (sliding_least(grams, SPAN - GRAM + 1) >> np.uint64(24)).astype(np.int64)
+        grams = (grams ^ (grams >> np.uint64(31))) * _MIX + tokens[step:step + size]
+    least = sliding_least((grams ^ (grams >> np.uint64(29))) * _MIX, SPAN - GRAM + 1)
+    stops = np.append(0, np.cumsum(tokens == 0))
+    at = np.flatnonzero(stops[SPAN:] == stops[:-SPAN])
+    key = least[at]
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1))[:len(at)])
+    within = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    first = np.flatnonzero(within % LONGEST_RUN == 0)
+    return key[first], at[first], np.diff(np.append(first, len(at)))
+
+
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, `sizes` of them, end to end."""
+    return np.arange(sizes.sum()) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
 
 
 def covered_by(starts: np.ndarray, size: int) -> np.ndarray:
@@ -178,88 +227,233 @@ def named_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> D
     return rows.withColumn("page", F.xxhash64("id", "host", "html"))
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], size: int = PAGES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of at most `size` rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def gram_pages(rows: DataFrame) -> DataFrame:
-    """(page, key): the least grams of all strings of SPAN tokens of each page."""
+    """(page, key): 40 bits of the least grams of all strings of SPAN tokens of each page."""
 
     def each(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                numbers = batch.column(0).to_pylist()
-                keys = [np.unique(np.concatenate([least_grams(z) for z in streams(host, zones(text))])) for host, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
-                of = np.repeat(np.array(numbers, np.int64), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(np.concatenate(keys))], names=["page", "key"])
+        for batch in pieces_of(batches):
+            parts = [zones(text) for text in batch.column(2).to_pylist()]
+            tokens, sizes = streams(batch.column(1).to_pylist(), parts)
+            key, at, _ = least_grams(tokens)
+            of = np.searchsorted(np.cumsum(sizes.reshape(-1, 3).sum(axis=1) + 3), at, "right")
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), pa.array((key >> np.uint64(24)).view(np.int64))], names=["page", "key"])
 
     return rows.select("page", "host", "html").mapInArrow(each, "page long, key long")
 
 
-def parsed(rows: DataFrame) -> DataFrame:
-    """(id, host, article, text, tokens, blocks) of the stretches of each page whose strings may stand in another page, all zones of all pages being searched.
-
-    `text` has codes of TOKEN_BYTES characters for the tokens of the page's
-    streams(), a code of the page alone after each stretch.  `article` is a
-    hash of the blocks in articles; where there are none, `tokens` has (at,
-    token): which token of the outside blocks stands where.  `blocks` has (n, hash, a, b) of
-    every block in an article that lies whole in a stretch.  A string that is
-    left out has a least gram that no other page has.
-    """
+def met_keys(rows: DataFrame, hot: int) -> DataFrame:
+    """(page, keys, crowded): the keys of gram_pages() that other pages have too, and those of them that over `hot` pages have."""
     window = Window.partitionBy("key")
-    met = gram_pages(rows).withColumn("several", F.min("page").over(window) < F.max("page").over(window)).where("several")
-    keys = met.groupBy("page").agg(F.collect_list("key").alias("keys"))
-    asked = rows.select("page", "host", "html").join(keys, "page").select("page", "host", "html", "keys")
-
-    def one(page, host, text, keys):
-        parts = zones(text)
-        tokens, masks = [], []
-        for zone in streams(host, parts):
-            tokens += [zone, np.zeros((1, 2), np.uint64)]
-            masks += [covered_by(np.isin(least_grams(zone), keys), len(zone)), [False]]
-        held = np.concatenate(masks)
-        gaps = np.diff(held.astype(np.int8), prepend=1) < 0  # a code of its own stands after each stretch
-        place = np.cumsum(held | gaps) - 1
-        codes = np.zeros((place[-1] + 1, 2), np.uint64)
-        codes[place[held]] = np.concatenate(tokens)[held]
-        for at in place[gaps].tolist():
-            codes[at] = np.frombuffer(xxhash.xxh128_digest(f"\0{page}\0{at}"), np.uint64)
-        coded = codes.view(np.uint8)[:, :TOKEN_BYTES // 2].tobytes().hex()
-        inside, outside, _ = parts
-        found, at = [], 0
-        for n, block in enumerate(inside):
-            size = block.count(" ") + 1
-            if held[at:at + size].all():
-                found.append((n, xxhash.xxh64_intdigest(block) - 2**63, int(place[at]), int(place[at]) + size))
-            at += size
-        loose = [] if inside else [(int(place[t]), t - 1) for t in np.flatnonzero(held[:1 + sum(b.count(" ") + 1 for b in outside)]).tolist() if t]
-        return page, host, xxhash.xxh64_intdigest("\n".join(inside)) - 2**63 if inside else None, coded, loose, found
+    counted = gram_pages(rows).select("page", "key", (F.min("page").over(window) < F.max("page").over(window)).alias("several"), F.count("*").over(window).alias("m"))
+    return counted.where("several").groupBy("page").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("m") > hot, F.col("key"))).alias("crowded"))
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(page, host, zones): the zones() of each page, compressed."""
+
+    def each(batches):
+        for batch in pieces_of(batches):
+            texts = ("\t".join("\n".join(zone) for zone in zones(text)).encode() for text in batch.column(2).to_pylist())  # no block has such white space
+            found = [len(t).to_bytes(4, "little") + pa.compress(t, "zstd", asbytes=True) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["page", "host", "zones"])
+
+    return rows.select("page", "host", "html").mapInArrow(each, "page long, host string, zones binary")
+
 
+def unpacked(held: bytes) -> tuple[list[str], ...]:
+    text = pa.decompress(held[4:], int.from_bytes(held[:4], "little"), "zstd", asbytes=True).decode()
+    return tuple(zone.split("\n") if zone else [] for zone in text.split("\t"))
+
+
+def parsed(rows: DataFrame, hot: int = HOT) -> DataFrame:
+    """(page, host, article, stream, crowded, tokens, blocks) of the stretches of each page whose strings may stand in another page, all zones of all pages being searched.
+
+    `stream` has the hashes of the tokens, 8 bytes each, 0 after each stretch.
+    `article` is a hash of the blocks in articles; where there are none,
+    `tokens` has (at, token): which token of the outside blocks stands where.
+    `blocks` has (n, hash, a, b) of every block in an article that lies whole
+    in a stretch.  A string that is left out has a least gram that no other
+    page has.
+    """
+    asked = packed(rows).join(stored(met_keys(rows, hot)), "page").select("page", "host", "zones", "keys", "crowded")
     numbers = pa.int64()
     schema = pa.schema([
-        ("id", numbers), ("host", pa.string()), ("article", numbers), ("text", pa.string()), ("tokens", pa.list_(pa.struct([("at", pa.int32()), ("token", pa.int32())]))),
+        ("page", numbers), ("host", pa.string()), ("article", numbers), ("stream", pa.binary()), ("crowded", pa.list_(numbers)),
+        ("tokens", pa.list_(pa.struct([("at", pa.int32()), ("token", pa.int32())]))),
         ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("hash", numbers), ("a", pa.int32()), ("b", pa.int32())])))])
 
+    def found(batch):
+        pages, hosts, zipped, keys, crowded = (c.to_pylist() for c in batch.columns)
+        parts = [unpacked(z) for z in zipped]
+        tokens, sizes = streams(hosts, parts)
+        begins = np.append(0, np.cumsum(sizes + 1))
+        key, at, n = least_grams(tokens)
+        of = np.searchsorted(begins[3::3], at, "right")
+        wanted = np.array([k << 24 | page for page, some in enumerate(keys) for k in some], np.uint64)
+        met = np.isin((key >> np.uint64(24)) << np.uint64(24) | of.astype(np.uint64), wanted)
+        starts = np.zeros(len(tokens), bool)
+        starts[spread(at[met], n[met])] = True
+        held = covered_by(starts, len(tokens))
+        kept = held | (np.diff(held.astype(np.int8), prepend=0) < 0)
+        place = np.append(0, np.cumsum(kept))
+        whole = np.append(0, np.cumsum(held))
+        left = np.where(held, tokens, 0)
+        for page, (inside, outside, _) in enumerate(parts):
+            begin, middle, last, end = begins[3 * page:3 * page + 4].tolist()
+            base = place[begin]
+            sizes_of = np.array([b.count(" ") + 1 for b in inside], np.int64)
+            b = begin + np.cumsum(sizes_of)
+            a = b - sizes_of
+            blocks_of = [(n, xxhash.xxh64_intdigest(inside[n]) - 2**63, int(place[a[n]] - base), int(place[a[n]] - base + sizes_of[n]))
+                         for n in np.flatnonzero(whole[b] - whole[a] == sizes_of).tolist()]
+            loose = [] if inside else [(int(place[t] - base), t - middle) for t in (middle + np.flatnonzero(held[middle:last])).tolist()]
+            article = xxhash.xxh64_intdigest("\n".join(inside)) - 2**63 if inside else None
+            yield pages[page], hosts[page], article, left[begin:end][kept[begin:end]].tobytes(), crowded[page], loose, blocks_of
+
+    def each(batches):
+        return batches_of((row for batch in pieces_of(batches) for row in found(batch)), schema, PAGES)
+
+    return asked.mapInArrow(each, "page long, host string, article long, stream binary, crowded array<long>, tokens array<struct<at:int,token:int>>, blocks array<struct<n:int,hash:long,a:int,b:int>>")
+
+
+def string_runs(made: DataFrame) -> DataFrame:
+    """(key, content, tokens, places): runs of strings of the streams with the same least gram, and the (page, at) where they stand.
+
+    Of a gram that very many pages have each string is a run, its hash the key.
+    """
+
     def each(batches):
-        return batches_of((one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema, 500)
+        for batch in pieces_of(batches, 4 * PAGES):
+            held = batch.column(1).to_pylist()
+            tokens = np.frombuffer(b"".join(held), np.uint64)
+            ends = np.cumsum([len(h) // 8 for h in held])
+            key, at, n = least_grams(tokens)
+            of = np.searchsorted(ends, at, "right")
+            wanted = np.array([k << 24 | page for page, some in enumerate(batch.column(2).to_pylist()) for k in some], np.uint64)
+            single = np.isin((key >> np.uint64(24)) << np.uint64(24) | of.astype(np.uint64), wanted)
+            at, of = np.append(at[~single], spread(at[single], n[single])), np.append(of[~single], np.repeat(of[single], n[single]))
+            n = np.append(n[~single], np.ones(len(at) - np.sum(~single), np.int64))
+            key, alone = key[~single], len(key) - np.sum(single)
+            if not len(at):
+                continue
+            content = n.astype(np.uint64)
+            for step in range(int(n.max()) + SPAN - 1):
+                more = step < n + SPAN - 1
+                content[more] = (content[more] ^ (content[more] >> np.uint64(31))) * _MIX + tokens[at[more] + step]
+            key = np.append(key, content[alone:])
+            order = np.lexsort((content, key))
+            key, content, at, n, of = (x[order] for x in (key, content, at, n, of))
+            first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+            sizes = n[first] + SPAN - 1
+            data = tokens[spread(at[first], sizes)]
+            begins = np.append(0, ends)[of]
+            places = pa.StructArray.from_arrays([batch.column(0).take(pa.array(of)), pa.array((at - begins).astype(np.int32))], names=["page", "at"])
+            offsets = np.append(0, np.cumsum(sizes * 8)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[first].view(np.int64)), pa.array(content[first].view(np.int64)),
+                 pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]),
+                 pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype(np.int32)), places)],
+                names=["key", "content", "tokens", "places"])
+
+    return made.select("page", "stream", "crowded").mapInArrow(each, "key long, content long, tokens binary, places array<struct<page:long,at:int>>")
+
+
+def shared_strings(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
+    """For each piece, which of its strings of SPAN tokens stand in several pages; a piece stands in pages from `low` to `high`."""
+    sizes = np.array([len(p) // 8 for p in pieces])
+    _, symbols = np.unique(np.frombuffer(b"".join(pieces), np.uint64), return_inverse=True)
+    text = np.empty(sizes.sum() + len(pieces) + 1, np.int64)
+    begin = np.append(0, np.cumsum(sizes + 1))
+    text[spread(begin[:-1], sizes)] = symbols
+    text[np.append(begin[1:] - 1, len(text) - 1)] = len(symbols) + np.arange(len(pieces) + 1)  # each end is another symbol
+    order, group = repeats(text, SPAN, 2)
+    real = np.zeros(len(text), bool)
+    real[spread(begin[:-1], sizes - SPAN + 1)] = True
+    of = np.append(np.repeat(np.arange(len(pieces)), sizes + 1), 0)[order]
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    limits = np.iinfo(np.int64)
+    several = np.minimum.reduceat(np.where(real[order], low[of], limits.max), first) < np.maximum.reduceat(np.where(real[order], high[of], limits.min), first)
+    twice = np.empty(len(text), bool)
+    twice[order] = several[group]
+    return [twice[a:a + n] for a, n in zip(begin[:-1].tolist(), (sizes - SPAN + 1).tolist(), strict=True)]
+
+
+def _solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """(page, a, b): strings [a, b) of streams that stand in several pages, from rows of (key, content, tokens, pages, places)."""
+    names, pieces, low, high = [], [], [], []
+    for key, content, tokens, pages, _ in rows:
+        if not names or names[-1] != (key, content):
+            names.append((key, content))
+            pieces.append(tokens)
+            low.append(pages.min())
+            high.append(pages.max())
+        low[-1], high[-1] = min(low[-1], pages.min()), max(high[-1], pages.max())
+    marks = dict(zip(names, shared_strings(pieces, np.array(low), np.array(high)), strict=True))
+    for at in range(0, len(rows), 5000):
+        pages, firsts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for key, content, _, numbers, places in rows[at:at + 5000]:
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], marks[key, content].astype(np.int8), [0]))))
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                pages.append(numbers)
+                firsts.append(places + np.int32(a))
+                ends.append(places + np.int32(b))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (pages, firsts, ends)], names=["page", "a", "b"])
+
+
+def repeated_strings(made: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(page, a, b): where strings start in the streams that stand in another page too.
+
+    Equal strings have the same key.  The runs of neighbouring keys make a
+    suffix array of about `block` tokens each.
+    """
 
-    return asked.mapInArrow(each, "id long, host string, article long, text string, tokens array<struct<at:int,token:int>>, blocks array<struct<n:int,hash:long,a:int,b:int>>")
+    def each(batches):
+        rows, size, last = [], 0, None
+        for batch in pieces_of(batches, 2000):
+            lists = batch.column(3)
+            bounds = lists.offsets.to_numpy()
+            flat = lists.values
+            pages, places = (flat.field(i).to_numpy() for i in (0, 1))
+            for n, (key, content, tokens) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
+                if size >= block and key != last:
+                    yield from _solved(rows)
+                    rows, size = [], 0
+                if not rows or rows[-1][:2] != (key, content):
+                    size += len(tokens) // 8
+                size += int(bounds[n + 1] - bounds[n]) // 8
+                rows.append((key, content, tokens, pages[bounds[n]:bounds[n + 1]], places[bounds[n]:bounds[n + 1]]))
+                last = key
+        if rows:
+            yield from _solved(rows)
+
+    return string_runs(made).repartition("key").sortWithinPartitions("key", "content").mapInArrow(each, "page long, a int, b int")
 
 
 def repeated_parts(made: DataFrame) -> DataFrame:
     """(page, host, article, gone, blocks): tokens of the outside blocks, and (n, hash) of blocks in articles, that repeated strings cover."""
-    ranges = repeated_ranges(made.select("id", "text"), apart=True).groupBy(F.col("id").alias("of")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    joined = made.join(ranges, F.col("id") == F.col("of")).select("id", "host", "article", F.octet_length("text").alias("size"), "tokens", "blocks", "ranges")
+    ranges = repeated_strings(made).groupBy("page").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    asked = made.where("size(tokens) > 0 or size(blocks) > 0")  # of other pages no part is covered whole
+    joined = asked.select("page", "host", "article", F.expr("octet_length(stream) div 8").alias("size"), "tokens", "blocks").join(ranges, "page")
 
     def one(page, host, article, size, tokens, blocks, ranges):
-        starts = np.zeros(size // TOKEN_BYTES, bool)
+        starts = np.zeros(size, bool)
         for r in ranges:
-            starts[-(-r["a"] // TOKEN_BYTES):-(-r["b"] // TOKEN_BYTES)] = True
-        covered = covered_by(starts, len(starts))
+            starts[r["a"]:r["b"]] = True
+        covered = covered_by(starts, size)
         return page, host, article, [t["token"] for t in tokens if covered[t["at"]]], [(b["n"], b["hash"]) for b in blocks if covered[b["a"]:b["b"]].all()]
 
     schema = pa.schema([("page", pa.int64()), ("host", pa.string()), ("article", pa.int64()), ("gone", pa.list_(pa.int32())),
                         ("blocks", pa.list_(pa.struct([("n", pa.int32()), ("hash", pa.int64())])))])
 
     def each(batches):
-        return batches_of((one(*row) for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema, 2000)
+        return batches_of((one(*row) for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("page", "host", "article", "size", "tokens", "blocks", "ranges")), strict=True)), schema, 2000)
 
     return joined.mapInArrow(each, "page long, host string, article long, gone array<int>, blocks array<struct<n:int,hash:long>>")
 

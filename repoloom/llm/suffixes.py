@@ -159,19 +159,22 @@ def shared_keys(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(scanned, "key long, grams long").groupBy("key").agg(F.sum("grams").alias("total")).where("total > 1").select("key")
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Order of all rotations of a text that ends in a byte found nowhere else, by prefix doubling."""
+def suffix_order(text: np.ndarray, first: int = 8) -> np.ndarray:
+    """Order of all rotations of a text that ends in a symbol found nowhere else, by prefix doubling.
+
+    A symbol has 64 / `first` bits; so many are compared at first.
+    """
     n = len(text)
-    wrapped = np.resize(text, n + 8).astype(np.uint64)
+    wrapped = np.resize(text, n + first).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = (key << np.uint64(8)) | wrapped[j:j + n]
+    for j in range(first):
+        key = (key << np.uint64(64 // first)) | wrapped[j:j + n]
     order = np.argsort(key, kind="stable")
     sorted_key = key[order]
     fresh = np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    step = 8
+    step = first
     while not fresh.all():
         alone = fresh & np.append(fresh[1:], True)
         open_ = np.flatnonzero(~alone)
@@ -186,53 +189,53 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     return order
 
 
-def repeats(text: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): rows of the suffix order, and for each row the group of those with the same `length` first bytes.
+def repeats(text: np.ndarray, length: int = LENGTH, first: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): rows of the suffix order, and for each row the group of those with the same `length` first symbols.
 
     Common prefixes of neighbours in the suffix order come by increasing
     value.  An interval of rows has the suffixes with one prefix; extending it
-    backward by each byte that stands before them in the transform gives the
+    backward by each symbol that stands before them in the transform gives the
     intervals of longer prefixes, and the row after such an interval has a
     common prefix of the present value with its neighbour, if it had none yet.
     Only those intervals go on, breadth first, until `length` is reached: rows
     without a value share at least that much with their neighbour.
     """
     n = len(text)
-    order = suffix_order(text)
+    order = suffix_order(text, first)
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    back = place[order - 1]  # the row of the suffix one byte longer
+    back = place[order - 1]  # the row of the suffix one symbol longer
     before = text[order - 1]
-    wrapped = np.resize(text, n + 8)
-    shared = np.zeros(n, np.int64)  # bytes shared with the row above, up to 8
+    wrapped = np.resize(text, n + first)
+    shared = np.zeros(n, np.int64)  # symbols shared with the row above, up to `first`
     same = np.ones(n, bool)
-    for j in range(min(8, length)):
+    for j in range(min(first, length)):
         symbol = wrapped[order + j]
         same[1:] &= symbol[1:] == symbol[:-1]
         same[0] = False
         shared += same
-    if length <= 8:
+    if length <= first:
         return order, np.cumsum(shared < length) - 1
-    known = np.append(shared < 8, True)
-    by_symbol = np.argsort(before, kind="stable")  # rows by the byte before, each byte's in order: `back` ascends
+    known = np.append(shared < first, True)
+    by_symbol = np.argsort(before, kind="stable")  # rows by the symbol before, each symbol's in order: `back` ascends
     after, ahead = np.full(n, n, np.int64), np.full(n, -1, np.int64)
     alike = before[by_symbol[1:]] == before[by_symbol[:-1]]
     after[by_symbol[:-1][alike]] = by_symbol[1:][alike]
     ahead[by_symbol[1:][alike]] = by_symbol[:-1][alike]
     starts = np.flatnonzero(known[:-1])
     ends = np.append(starts[1:], n) - 1
-    seeds = np.append(shared, 7)[ends + 1] == 7
+    seeds = np.append(shared, first - 1)[ends + 1] == first - 1
     low, high = starts[seeds], ends[seeds]
-    for _ in range(8, length):
+    for _ in range(first, length):
         if not len(low):
             break
         sizes = high - low + 1
         of = np.repeat(np.arange(len(low)), sizes)
         rows = np.arange(len(of)) + (low - np.concatenate(([0], np.cumsum(sizes)[:-1])))[of]
-        last = np.sort(back[rows[after[rows] > high[of]]])
-        first = np.sort(back[rows[ahead[rows] < low[of]]])
-        new = ~known[last + 1]
-        low, high = first[new], last[new]
+        lasts = np.sort(back[rows[after[rows] > high[of]]])
+        firsts = np.sort(back[rows[ahead[rows] < low[of]]])
+        new = ~known[lasts + 1]
+        low, high = firsts[new], lasts[new]
         known[high + 1] = True
     return order, np.cumsum(known[:-1]) - 1
 

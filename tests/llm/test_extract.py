@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 
 from repoloom.llm.common import table
-from repoloom.llm.extract import blocks, main_text, page_texts, zones
+from repoloom.llm.extract import blocks, main_text, named_pages, page_texts, parsed, repeated_parts, repeated_strings, token_hashes, zones
 
 SF = "/root/testdata/sf0.001"
 PAGE = "page_id long, url string, html string, id string, text string, codes string"
@@ -98,3 +99,53 @@ def test_versions_of_an_article(spark):
     want = {n: f"{words('long', 30)} version{n} {words('end', 15)}" for n in range(7)}
     rows = [(n, "http://v.org/a", f"<main><p>{words('long', 30)}</p><p>version{n}</p><p>{words('end', 15)}</p></main>", "x", "y", "z") for n in want]
     assert {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()} == want
+
+
+def test_repeated_strings_by_brute_force(spark):
+    """Every string of ten tokens that another page of the host has is found, whatever its context, from 8 bytes for each token that is kept."""
+    draw = random.Random(3)
+    shared = [[f"s{n}x{i}" for i in range(draw.randrange(9, 16))] for n in range(4)] + [["again"] * 60]
+    rows = []
+    for n in range(40):
+        parts = [f"<p>{' '.join(draw.choice(shared))} {words(f'own{n}x{k}x', draw.randrange(12))}</p>" for k in range(6)]
+        body = "".join(parts[:3]) if n % 3 else f"<main>{''.join(parts[:3])}</main>"
+        rows.append((n, f"http://h{n % 2}.org/", body + f"<nav>{''.join(parts[3:])}</nav>", "x", "y", "z"))
+    pages = named_pages(spark.createDataFrame(rows + rows[:2], PAGE), "page_id", "url", "html").localCheckpoint()
+    seen: dict[tuple, set] = {}
+    held = {}
+    for r in pages.collect():
+        held[r.page] = zones(r.html)
+        for n, zone in enumerate(held[r.page]):
+            tokens = " ".join(zone).split()
+            for at in range(len(tokens) - 9):
+                seen.setdefault((r.host, n == 0, *tokens[at:at + 10]), set()).add(r.page)
+    want = {}
+    for r in pages.collect():
+        cover = []
+        for n, zone in enumerate(held[r.page][:2]):
+            tokens = " ".join(zone).split()
+            found = [len(seen[r.host, n == 0, *tokens[at:at + 10]]) > 1 for at in range(len(tokens) - 9)]
+            cover.append([any(found[max(0, t - 9):t + 1]) for t in range(len(tokens))])
+        at, whole = 0, []
+        for n, block in enumerate(held[r.page][0]):
+            size = len(block.split())
+            whole += [n] * all(cover[0][at:at + size])
+            at += size
+        gone = [] if held[r.page][0] else [t for t, c in enumerate(cover[1]) if c]
+        if gone or whole:
+            want[r.page] = (gone, whole)
+    assert len(want) > 20
+    for hot in (10_000, 2):
+        made = parsed(pages, hot).localCheckpoint()
+        assert all(len(r.stream) % 8 == 0 and len(r.stream) <= 8 * sum(len(b.split()) + 1 for zone in held[r.page] for b in zone) for r in made.collect())
+        assert {r.page: (r.gone, [b.n for b in r.blocks]) for r in repeated_parts(made).collect() if r.gone or r.blocks} == want
+        several = repeated_strings(made, block=50).collect()
+        assert {(r.page, t) for r in several for t in range(r.a, r.b)} == {(r.page, t) for r in repeated_strings(made).collect() for t in range(r.a, r.b)}
+
+
+def test_hashes_of_tokens():
+    """Equal tokens have equal hashes wherever they stand in a text, others don't."""
+    text = " ".join(["one", "two", "語", "eno", "one", "x" * 3_000_000, *(f"w{i}" for i in range(300_000)), "one", "\0one", "on"])
+    got = token_hashes(text.encode()).tolist()
+    assert len(set(got)) == len(set(text.split(" "))) and got[0] == got[4] == got[-3]
+    assert len(token_hashes(b"")) == 0 and token_hashes(b"one").tolist() == got[:1]
