@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ WORDS = {
 BOXES = {"area", "bar", "block", "box", "btn", "button", "bottom", "col", "container", "content", "group", "inner", "item", "items", "left", "link", "links",
          "list", "outer", "panel", "right", "row", "section", "slot", "text", "title", "top", "unit", "wrap", "wrapper", "zone"}
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>])*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
+    r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^\"'>]+)*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _MARKS = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -57,6 +58,7 @@ def _marked(name: str) -> bool:
     return bool(words) and words[-1] in WORDS
 
 
+@lru_cache(maxsize=20_000)
 def _is_apart(name: str, attributes: str) -> bool:
     """Whether an element's name, role or names of classes mark what is no main text."""
     if name in APART:
@@ -74,6 +76,11 @@ def _is_apart(name: str, attributes: str) -> bool:
     return False
 
 
+@lru_cache
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
+
+
 def zones(page: str) -> tuple[list[str], list[str], list[str]]:
     """Texts of the blocks of the page in its articles, outside them, and in menus and the like.
 
@@ -89,27 +96,31 @@ def zones(page: str) -> tuple[list[str], list[str], list[str]]:
     apart = article = False
 
     def flush() -> None:
-        if held:
-            text = " ".join(html.unescape("".join(held)).split())
-            if text:
-                (marked if apart else inside if article else outside).append(text)
-            held.clear()
+        words = html.unescape("".join(held)).split()
+        if words:
+            (marked if apart else inside if article else outside).append(" ".join(words))
+        held.clear()
 
-    at = 0
+    at, search = 0, _MARKUP.search
     while True:
-        m = _MARKUP.search(page, at)
-        held.append(page[at:m.start() if m else len(page)])
+        m = search(page, at)
         if not m:
+            held.append(page[at:])
             flush()
             return inside, outside, marked
-        at = m.end()
-        closing, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
+        start, end_ = m.span()
+        if start > at:
+            held.append(page[at:start])
+        at = end_
+        closing, name, attributes, *loose = m.groups()
+        if not name:
+            closing, name, attributes = loose
         if not name:
             continue
         name = name.lower()
         if name in RAW:
             if not closing:
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
+                end = _end_of(name).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if name in VOID:
@@ -118,10 +129,10 @@ def zones(page: str) -> tuple[list[str], list[str], list[str]]:
             elif name != "wbr":
                 held.append(" ")
             continue
-        if name not in INLINE:
+        if held and name not in INLINE:
             flush()
         if closing:
-            if any(x[0] == name for x in open_):
+            if open_ and (open_[-1][0] == name or any(x[0] == name for x in open_)):
                 while True:
                     last, was_apart, was_article = open_.pop()
                     if last == name:
@@ -365,46 +376,44 @@ def string_runs(made: DataFrame) -> DataFrame:
     return made.select("page", "stream", "crowded").mapInArrow(each, "key long, content long, tokens binary, places array<struct<page:long,at:int>>")
 
 
-def shared_strings(pieces: list[bytes], low: np.ndarray, high: np.ndarray) -> list[np.ndarray]:
-    """For each piece, which of its strings of SPAN tokens stand in several pages; a piece stands in pages from `low` to `high`."""
-    sizes = np.array([len(p) // 8 for p in pieces])
-    _, symbols = np.unique(np.frombuffer(b"".join(pieces), np.uint64), return_inverse=True)
-    text = np.empty(sizes.sum() + len(pieces) + 1, np.int64)
+def shared_strings(tokens: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which strings of SPAN tokens of pieces laid end to end stand in several pages; a piece stands in pages from `low` to `high`."""
+    symbols = np.unique(tokens, return_inverse=True)[1]
+    text = np.empty(len(tokens) + len(sizes) + 1, np.int64)
     begin = np.append(0, np.cumsum(sizes + 1))
     text[spread(begin[:-1], sizes)] = symbols
-    text[np.append(begin[1:] - 1, len(text) - 1)] = len(symbols) + np.arange(len(pieces) + 1)  # each end is another symbol
+    text[np.append(begin[1:] - 1, len(text) - 1)] = len(symbols) + np.arange(len(sizes) + 1)  # each end is another symbol
     order, group = repeats(text, SPAN, 2)
+    strings = spread(begin[:-1], sizes - SPAN + 1)
     real = np.zeros(len(text), bool)
-    real[spread(begin[:-1], sizes - SPAN + 1)] = True
-    of = np.append(np.repeat(np.arange(len(pieces)), sizes + 1), 0)[order]
+    real[strings] = True
+    of = np.append(np.repeat(np.arange(len(sizes)), sizes + 1), 0)[order]
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     limits = np.iinfo(np.int64)
     several = np.minimum.reduceat(np.where(real[order], low[of], limits.max), first) < np.maximum.reduceat(np.where(real[order], high[of], limits.min), first)
     twice = np.empty(len(text), bool)
     twice[order] = several[group]
-    return [twice[a:a + n] for a, n in zip(begin[:-1].tolist(), (sizes - SPAN + 1).tolist(), strict=True)]
-
-
-def _solved(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    """(page, a, b): strings [a, b) of streams that stand in several pages, from rows of (key, content, tokens, pages, places)."""
-    names, pieces, low, high = [], [], [], []
-    for key, content, tokens, pages, _ in rows:
-        if not names or names[-1] != (key, content):
-            names.append((key, content))
-            pieces.append(tokens)
-            low.append(pages.min())
-            high.append(pages.max())
-        low[-1], high[-1] = min(low[-1], pages.min()), max(high[-1], pages.max())
-    marks = dict(zip(names, shared_strings(pieces, np.array(low), np.array(high)), strict=True))
-    for at in range(0, len(rows), 5000):
-        pages, firsts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-        for key, content, _, numbers, places in rows[at:at + 5000]:
-            edge = np.flatnonzero(np.diff(np.concatenate(([0], marks[key, content].astype(np.int8), [0]))))
-            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
-                pages.append(numbers)
-                firsts.append(places + np.int32(a))
-                ends.append(places + np.int32(b))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (pages, firsts, ends)], names=["page", "a", "b"])
+    return twice[strings]
+
+
+def _solved(key, content, sizes, tokens, counts, pages, places) -> Iterator[pa.RecordBatch]:
+    """(page, a, b): strings [a, b) of streams that stand in several pages, from rows with `sizes` tokens and `counts` places, sorted by key and content."""
+    first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (content[1:] != content[:-1])))
+    begin = (np.cumsum(counts) - counts)[first]  # places of a piece
+    stand = np.diff(np.append(begin, len(pages)))
+    marks = shared_strings(tokens[spread((np.cumsum(sizes) - sizes)[first], sizes[first])], sizes[first], np.minimum.reduceat(pages, begin), np.maximum.reduceat(pages, begin))
+    strings = sizes[first] - SPAN + 1
+    at = np.cumsum(strings + 1) - strings - 1
+    apart = np.zeros(len(marks) + len(first), np.int8)
+    apart[spread(at, strings)] = marks
+    edge = np.flatnonzero(np.diff(apart, prepend=0, append=0))
+    of = np.searchsorted(at, edge[::2], "right") - 1
+    for few in range(0, len(of), 20_000):
+        part = slice(few, few + 20_000)
+        piece = of[part]
+        where, span = spread(begin[piece], stand[piece]), np.repeat(np.arange(len(piece)), stand[piece])
+        a, b = ((edge[side::2][part] - at[piece])[span].astype(np.int32) + places[where] for side in (0, 1))
+        yield from pieces_of([pa.RecordBatch.from_arrays([pa.array(pages[where]), pa.array(a), pa.array(b)], names=["page", "a", "b"])], 100_000)
 
 
 def repeated_strings(made: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -414,24 +423,28 @@ def repeated_strings(made: DataFrame, block: int = BLOCK) -> DataFrame:
     suffix array of about `block` tokens each.
     """
 
+    def columns(batch):
+        held, lists = batch.column(2).cast(pa.binary()), batch.column(3)
+        bounds, listed = np.frombuffer(held.buffers()[1], np.int32)[held.offset:held.offset + len(held) + 1], lists.offsets.to_numpy()
+        tokens = np.frombuffer(held.buffers()[2], np.uint64, (bounds[-1] - bounds[0]) // 8, bounds[0])
+        pages, places = (lists.values.field(i).to_numpy()[listed[0]:listed[-1]] for i in (0, 1))
+        return batch.column(0).to_numpy(), batch.column(1).to_numpy(), np.diff(bounds).astype(np.int64) // 8, tokens, np.diff(listed).astype(np.int64), pages, places
+
     def each(batches):
-        rows, size, last = [], 0, None
+        waiting, size = [], 0
         for batch in pieces_of(batches, 2000):
-            lists = batch.column(3)
-            bounds = lists.offsets.to_numpy()
-            flat = lists.values
-            pages, places = (flat.field(i).to_numpy() for i in (0, 1))
-            for n, (key, content, tokens) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
-                if size >= block and key != last:
-                    yield from _solved(rows)
-                    rows, size = [], 0
-                if not rows or rows[-1][:2] != (key, content):
-                    size += len(tokens) // 8
-                size += int(bounds[n + 1] - bounds[n]) // 8
-                rows.append((key, content, tokens, pages[bounds[n]:bounds[n + 1]], places[bounds[n]:bounds[n + 1]]))
-                last = key
-        if rows:
-            yield from _solved(rows)
+            waiting.append(columns(batch))
+            size += len(waiting[-1][3]) + len(waiting[-1][5]) // 8
+            if size < block or waiting[0][0][0] == waiting[-1][0][-1]:
+                continue
+            key, content, sizes, tokens, counts, pages, places = (np.concatenate(c) for c in zip(*waiting, strict=True))
+            n = np.searchsorted(key, key[-1])  # the last key may go on
+            t, p = sizes[:n].sum(), counts[:n].sum()
+            yield from _solved(key[:n], content[:n], sizes[:n], tokens[:t], counts[:n], pages[:p], places[:p])
+            waiting = [(key[n:], content[n:], sizes[n:], tokens[t:], counts[n:], pages[p:], places[p:])]
+            size = len(tokens) - t + (len(pages) - p) // 8
+        if waiting:
+            yield from _solved(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
 
     return string_runs(made).repartition("key").sortWithinPartitions("key", "content").mapInArrow(each, "page long, a int, b int")
 
