@@ -259,7 +259,7 @@ def repeated_windows(regions: list[bytes], counts: list[int], length: int = LENG
         of = np.repeat(np.arange(len(regions)), sizes + 1)
         of = np.append(of, len(regions))[order]
         real = weight[order] > 0
-        numbers = {v: n for n, v in enumerate(sorted({*low, *high}, key=repr))}
+        numbers = {v: n for n, v in enumerate(sorted({*low, *high}, key=lambda v: (v is not None, v)))}
         least = np.append([numbers[v] for v in low], 0)[of]
         most = np.append([numbers[v] for v in high], 0)[of]
         begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))

@@ -143,6 +143,13 @@ def test_repeated_strings_by_brute_force(spark):
         assert {(r.page, t) for r in several for t in range(r.a, r.b)} == {(r.page, t) for r in repeated_strings(made).collect() for t in range(r.a, r.b)}
 
 
+def test_two_pages_of_each_host(spark):
+    """A menu goes from both of the only two pages that have it, however their numbers are ordered."""
+    rows = [(2 * n + k, f"http://h{n}.org/", f"<div>{words(f'menu{n}x', 60)}</div><p>{words(f'own{n}x{k}x', 12)}</p>", "x", "y", "z") for n in range(20) for k in range(2)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, PAGE)).collect()}
+    assert got == {2 * n + k: words(f"own{n}x{k}x", 12) for n in range(20) for k in range(2)}
+
+
 def test_hashes_of_tokens():
     """Equal tokens have equal hashes wherever they stand in a text, others don't."""
     text = " ".join(["one", "two", "語", "eno", "one", "x" * 3_000_000, *(f"w{i}" for i in range(300_000)), "one", "\0one", "on"])

@@ -146,3 +146,10 @@ def test_ids_with_several_texts(spark, make_docs, passages):
     removed = {r.n_bytes: r.n_removed for r in dedup_report(lone).collect() if r.doc_id == 1}
     other = len("other text " * 40)
     assert removed[other] == plain({0: "other text " * 40})[0][1]
+
+
+def test_copies_of_two_documents():
+    """A region of two documents counts, whichever way their ids are written."""
+    for low, high in ((9, 10), (-5, 3), (-10, -9), ("9", "a")):
+        assert suffixes.repeated_windows([bytes(range(240))], [2], 200, [low], [high])[0].all()
+    assert not suffixes.repeated_windows([bytes(range(240))], [2], 200, [7], [7])[0].any()
