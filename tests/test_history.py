@@ -411,6 +411,46 @@ def test_many_heads_of_one_repo(spark):
     assert {(r.head, r.hash) for r in got} == {(f"c{i}", h) for i in range(90) for h in ancestors(edges, f"c{i}")}
 
 
+def test_pairs_of_many_heads_are_not_stored(spark, monkeypatch):
+    """Merges everywhere, heads all along and a history of several blocks: what is written doesn't grow with the pairs."""
+    counted = []
+
+    def store(df, where=None):
+        df = materialize(df, where)
+        counted.append(df.count())
+        return df
+
+    monkeypatch.setattr(history, "materialize", store)
+    monkeypatch.setattr(history, "BLOCK", 250)
+    edges = [("r", "c0", [])]
+    for i in range(1, 600):
+        edges += [("r", f"s{i}", [f"c{i - 1}"])] * (i % 2) + [("r", f"c{i}", [f"c{i - 1}", *[f"s{i}"] * (i % 2)])]
+    asked = [f"s{i}" for i in range(1, 600, 10)]
+    heads = spark.createDataFrame([("r", h) for h in asked], "repo string, head string")
+    got = history.reachable(graph(spark, edges), heads).collect()
+    assert len(got) == len(set(got)) and {(r.head, r.hash) for r in got} == {(h, x) for h in asked for x in ancestors(edges, h)}
+    assert max(counted) <= 2 * len(edges) and sum(counted) <= 6 * len(edges)
+
+
+def test_blocks_with_many_ways_out(spark, monkeypatch):
+    """Parents far away in time make joints within a block; commits that are their own ancestors end; heads are told in chunks."""
+    for name, size in (("BLOCK", 150), ("NEAR", 4), ("HEADS", 8), ("SETS", 3), ("PIECE", 5)):
+        monkeypatch.setattr(history, name, size)
+    late, early = datetime(2024, 1, 1), datetime(2020, 1, 1)
+    edges = [("r", f"b{j}", [f"b{j - 1}"] if j else [], early + timedelta(hours=j)) for j in range(80)]
+    edges += [("r", f"c{i}", [f"c{i - 1}"] * (i > 0) + [f"b{i // 5}"] * (i % 5 == 0), late + timedelta(hours=i)) for i in range(400)]
+    edges += [("r", "x1", ["x2"], late), ("r", "x2", ["x1", "c10", None, "gone"], late), ("r", "none", None, None), ("q", "c0", ["c0"], late)]
+    commits = spark.createDataFrame([(r, h, p, "A", "a@x", t, "s") for r, h, p, t in edges], COMMITS)
+    asked = [f"c{i}" for i in range(0, 400, 7)] + ["x1", "none", "b40", "b0", "nope"]
+    heads = spark.createDataFrame([("r", h) for h in asked] + [("q", "c0"), ("q", None), (None, "c0")], "repo string, head string")
+    known = [(r, h, [u for u in p or [] if u]) for r, h, p, _ in edges if r == "r"]
+    got = history.reachable(commits, heads).collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == {("r", h, x) for h in asked for x in ancestors(known, h)} | {("q", "c0", "c0")}
+    part = pa.table({"repo": ["r"] * 484, "block": ["0"] * 484, "hash": [h for _, h, *_ in edges], "parents": [p or [] for _, _, p, _ in edges], "seen": [t for *_, t in edges]}).slice(80, 400)
+    near = history._near(part, pa.table({"hash": ["c399"], "head": [True], "joint": [False]}))
+    assert near.num_rows > 10 and max(map(len, near["parents"].to_pylist())) <= 6
+
+
 def test_dropped_checkouts_leave_the_stored_index(spark, tmp_path):
     from repoloom.sources import tables
 
