@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from datetime import datetime, timedelta
 
 import pyarrow as pa
@@ -87,6 +88,55 @@ def test_newest_in_small_windows(spark, clock):
     assert got == want
 
 
+def test_many_commits_of_one_moment_at_the_edge_of_a_block(spark, monkeypatch):
+    """Commits of the same time are in no order, so parents of a block's first ones stand in the block before; no head is walked whole for that."""
+    monkeypatch.setattr(history, "reachable", None)
+    n, start = 3600, datetime(2024, 1, 1)
+    hashes = [f"{i * 7919 % 3607:04}" for i in range(n)]
+    rows = [("r", hashes[i], hashes[i - 1 : i] if i else [], "A", "a@x", start + timedelta(days=i // 60), "s") for i in range(n)]
+    commits = materialize(spark.createDataFrame(rows, COMMITS))
+    asked = range(0, n, 7)
+    heads = spark.createDataFrame([("r", hashes[i]) for i in asked], "repo string, head string")
+    got = {}
+    for r in history.newest(commits, heads, 3, window=12).collect():
+        got.setdefault(r.head, set()).add(r.hash)
+    days = [sorted(hashes[d : d + 60]) for d in range(0, n, 60)]
+    want = {hashes[i]: set((sorted(hashes[i - i % 60 : i + 1]) + (days[i // 60 - 1] if i >= 60 else []))[:3]) for i in asked}
+    assert got == want
+
+
+def test_work_grows_with_commits_not_with_heads(spark):
+    """A window of one moment, where every head has to look at all that it reaches: 12,000 heads in little time."""
+    n, now = 12_000, datetime(2024, 1, 1)
+    ups = [[f"c{j:05}" for j in {max(0, i - 1), max(0, i - 1 - i % 3)} if i] for i in range(n)]
+    names = [f"c{i:05}" for i in range(n)]
+    part = pa.table({"repo": ["r"] * n, "hash": names, "ts": [now] * n, "bound": [now] * n, "parents": pa.array(ups, pa.list_(pa.string())), "asked": [True] * n})
+    begin = time.process_time()
+    rows = history._newest_of(part.take(pa.array(random.Random(2).sample(range(n), n))), 3).to_pylist()
+    assert time.process_time() - begin < 20
+    got = {}
+    for r in rows:
+        got.setdefault(r["head"], []).append(r["hash"])
+    assert got == {names[i]: names[: min(i + 1, 3)] if i < 3 else names[:3] for i in range(n)} and len(rows) == 3 * n - 3
+
+
+def test_newest_of_commits_on_a_circle():
+    day = [datetime(2024, 1, d) for d in range(1, 7)]
+    rows = [("a", [], day[0]), ("b", ["a"], day[1]), ("x", ["y", "x"], day[2]), ("y", ["z"], day[3]), ("z", ["x", "b", "far"], day[4]), ("t", ["y"], day[5])]
+    part = pa.table({"repo": ["r"] * 6, "hash": [h for h, *_ in rows], "ts": [t for *_, t in rows], "bound": [day[5]] * 2 + [day[4]] * 3 + [day[5]],
+                     "parents": [p for _, p, _ in rows], "asked": [True] * 6})
+    got = {}
+    for r in history._newest_of(part, 2).to_pylist():
+        got.setdefault(r["head"], []).append(r["hash"])
+    # What is outside has at most the least bound, which the second newest of z and t doesn't pass.
+    assert got == {"a": ["a"], "b": ["b", "a"], "x": [None], "y": [None], "z": [None], "t": [None]}
+    inside = part.set_column(4, "parents", pa.array([[u for u in p if u != "far"] for _, p, _ in rows], pa.list_(pa.string())))
+    got = {}
+    for r in history._newest_of(inside, 2).to_pylist():
+        got.setdefault(r["head"], []).append(r["hash"])
+    assert got == {"a": ["a"], "b": ["b", "a"], "x": ["z", "y"], "y": ["z", "y"], "z": ["z", "y"], "t": ["t", "z"]}
+
+
 def test_bounds_hold(spark):
     edges = random_graph(4, 80)
     rng = random.Random(1)
