@@ -482,6 +482,13 @@ def test_pairs_of_many_heads_are_not_stored(spark, monkeypatch):
     assert max(counted) <= 2 * len(edges) and sum(counted) <= 6 * len(edges)
 
 
+def test_a_commit_that_names_itself_is_reached(spark):
+    """As it happens when rows of a commit come twice."""
+    edges = [("r", "a", []), ("r", "b", ["b", "a"]), ("r", "c", ["b"]), ("r", "d", ["c"])]
+    heads = spark.createDataFrame([("r", "d")], "repo string, head string")
+    assert sorted(r.hash for r in history.reachable(graph(spark, edges), heads).collect()) == ["a", "b", "c", "d"]
+
+
 def test_blocks_with_many_ways_out(spark, monkeypatch):
     """Parents far away in time make joints within a block; commits that are their own ancestors end; heads are told in chunks."""
     for name, size in (("BLOCK", 150), ("NEAR", 4), ("HEADS", 8), ("SETS", 3), ("PIECE", 5)):
